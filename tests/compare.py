@@ -24,6 +24,11 @@ def _cell(v):
     return v
 
 
+# how the two engines name the same column types
+SAME_TYPE = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE",
+             "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN"}
+
+
 def differences(df, con, sql: str) -> str | None:
     """None when both sides agree, else a short description."""
     cur = con.execute(sql)
@@ -31,6 +36,10 @@ def differences(df, con, sql: str) -> str | None:
     theirs = cur.fetchall()
     if sorted(names) != sorted(df.columns):
         return f"columns {sorted(df.columns)} vs {sorted(names)}"
+    kinds = {c[0]: str(c[1]) for c in cur.description}
+    mixed = {c: (t, kinds[c]) for c, t in df.dtypes if SAME_TYPE.get(t, t) != kinds[c]}
+    if mixed:
+        return f"types {mixed}"
     order = [names.index(c) for c in sorted(names)]
     right = Counter(tuple(_cell(r[i]) for i in order) for r in theirs)
     left = Counter(tuple(_cell(r[c]) for c in sorted(names)) for r in df.collect())
