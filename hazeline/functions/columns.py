@@ -54,22 +54,26 @@ def detect_value_column(df: DataFrame) -> str:
     raise ValueError(f"no PM2.5 column among {df.columns}")
 
 
-def parse_time(df: DataFrame, variant: str = "canonical") -> DataFrame:
+def parse_time(df: DataFrame, variant: str = "canonical", strict: bool = True) -> DataFrame:
     """Parse the time column.
 
     canonical: ``timestamp`` -> ``datetime`` plus ``date`` and ``hour``, strict;
     legacy: ``date`` in place, else ``timestamp`` -> ``date`` with the source dropped, strict;
     tolerant: first of the candidate names -> ``date``, unparsable becomes NULL, source dropped.
+    ``strict=False`` turns unparsable into NULL in every form.
     """
+    def parsed(name: str) -> Column:
+        return F.col(name).cast("timestamp") if strict else F.try_to_timestamp(F.col(name).cast("string"))
+
     if variant == "canonical":
         if "timestamp" not in df.columns:
             return df
-        return with_calendar(df.withColumn("datetime", F.col("timestamp").cast("timestamp")))
+        return with_calendar(df.withColumn("datetime", parsed("timestamp")))
     if variant == "legacy":
         if "date" in df.columns:
-            return df.withColumn("date", F.col("date").cast("timestamp"))
+            return df.withColumn("date", parsed("date"))
         if "timestamp" in df.columns:
-            return df.withColumn("date", F.col("timestamp").cast("timestamp")).drop("timestamp")
+            return df.withColumn("date", parsed("timestamp")).drop("timestamp")
         return df
     if variant == "tolerant":
         for name in K.TIME_COLUMNS_TOLERANT:

@@ -27,7 +27,8 @@ def attach(facts: DataFrame, dim: DataFrame, on: str = "sensor_id", how: str = "
     every fact row takes one of ``salts`` buckets by its own hash and the dimension is repeated
     per bucket, so a key holding a third of the rows is spread over ``salts`` tasks. Sides that
     a salted join cannot preserve (right, outer) are completed with the unmatched dimension rows.
-    Duplicate dimension keys multiply rows, as in any equi-join.
+    Duplicate dimension keys multiply rows, as in any equi-join. Other columns that both sides have
+    get the endings ``_x`` (facts) and ``_y`` (dimension).
     """
     how = {"full": "outer", "full_outer": "outer", "fullouter": "outer",
            "left_outer": "left", "leftouter": "left", "right_outer": "right", "rightouter": "right"}.get(how, how)
@@ -35,6 +36,9 @@ def attach(facts: DataFrame, dim: DataFrame, on: str = "sensor_id", how: str = "
         raise ValueError(f"unsupported join type: {how}")
     if on not in facts.columns:
         return facts
+    shared = [c for c in facts.columns if c in dim.columns and c != on]
+    facts = facts.withColumnsRenamed({c: f"{c}_x" for c in shared})
+    dim = dim.withColumnsRenamed({c: f"{c}_y" for c in shared})
     kept = "inner" if how in ("inner", "right") else "left"
     if fits_broadcast(dim, max_rows):
         joined = facts.join(F.broadcast(dim), on, kept)
