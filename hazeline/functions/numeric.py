@@ -26,12 +26,14 @@ def null_if_nan(col: Column) -> Column:
 def epoch_micros(df: DataFrame, ts: str) -> Column:
     """Microseconds since 1970-01-01 of a timestamp, NTZ timestamp or date column.
 
-    NTZ values are taken apart field by field, so the session time zone never shifts them.
+    Under UTC an NTZ value and the instant are the same number. In any other session time zone NTZ
+    values are taken apart field by field, so that changes of the clock never shift them.
     """
     kind = df.schema[ts].dataType
     col = F.col(f"`{ts}`")
-    if isinstance(kind, T.TimestampType):
-        return F.unix_micros(col)
+    utc = df.sparkSession.conf.get("spark.sql.session.timeZone") in ("UTC", "Etc/UTC", "GMT", "Z", "+00:00")
+    if isinstance(kind, T.TimestampType) or (utc and isinstance(kind, T.TimestampNTZType)):
+        return F.unix_micros(col.cast("timestamp"))
     days = F.unix_date(F.to_date(col)).cast("long") * F.lit(DAY_US)
     if isinstance(kind, T.DateType):
         return days

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from hazeline.functions.columns import detect_value_column
 from hazeline.operators.quantiles import one_row, quantiles
 from hazeline.operators.series import fill_gaps
+from hazeline.session import materialized
 
 OUTLIER_METHODS = ("iqr", "zscore")
 
@@ -69,9 +70,15 @@ def outliers_to_null(df: DataFrame, value: str = "pm25", method: str = "iqr", th
 def clean_series(df: DataFrame, value: str | None = None, ts: str = "date", keys: Sequence[str] = ("sensor_id",),
                  order: Sequence[str] = (), remove_outliers: bool = True, handle_missing: bool = True,
                  outlier_method: str = "iqr", missing_method: str = "interpolate_time") -> DataFrame:
-    """Basic clean, then outliers at k=3, then gaps at limit 7; the last two can be switched off."""
+    """Basic clean, then outliers at k=3, then gaps at limit 7; the last two can be switched off.
+
+    The distinct rows are written to the shared folder once: limits and gap filling read them several
+    times, and without that each reading would repeat the shuffle that removes duplicates.
+    """
     value = value or detect_value_column(df)
     out = basic_clean(df, value, ts)
+    if remove_outliers or handle_missing:
+        out = materialized(out, "distinct")
     if remove_outliers:
         out = outliers_to_null(out, value, outlier_method)
     if handle_missing:
@@ -87,7 +94,7 @@ def cleaning_log(df: DataFrame, value: str | None = None, ts: str = "date", keys
     v = F.col(value)
     unique = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_copies"))
     unique = unique.withColumn("_negative", F.coalesce(v < 0, F.lit(False)))
-    unique = unique.withColumn(value, F.when(~(v < 0), v))
+    unique = materialized(unique.withColumn(value, F.when(~(v < 0), v)), "distinct")
     tested, flag = _outlier_flag(unique, value, outlier_method, 3.0, ())
     tested = tested.withColumn("_outlier", F.coalesce(flag, F.lit(False))).drop("_lim")
     tested = tested.withColumn(value, F.when(~F.col("_outlier"), v)).withColumn("_gap", v.isNull())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
@@ -19,7 +20,7 @@ def fits_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes:
     return row["rows"] <= max_rows and row["bytes"] <= max_bytes
 
 
-def attach(facts: DataFrame, dim: DataFrame, on: str = "sensor_id", how: str = "left",
+def attach(facts: DataFrame, dim: DataFrame, on: str | Sequence[str] = "sensor_id", how: str = "left",
            max_rows: int = MAX_BROADCAST_ROWS, salts: int = 32) -> DataFrame:
     """Join facts to a dimension without ever shuffling the facts by a hot key alone.
 
@@ -34,9 +35,10 @@ def attach(facts: DataFrame, dim: DataFrame, on: str = "sensor_id", how: str = "
            "left_outer": "left", "leftouter": "left", "right_outer": "right", "rightouter": "right"}.get(how, how)
     if how not in ("inner", "left", "right", "outer"):
         raise ValueError(f"unsupported join type: {how}")
-    if on not in facts.columns:
+    on = [on] if isinstance(on, str) else list(on)
+    if not set(on) <= set(facts.columns):
         return facts
-    shared = [c for c in facts.columns if c in dim.columns and c != on]
+    shared = [c for c in facts.columns if c in dim.columns and c not in on]
     facts = facts.withColumnsRenamed({c: f"{c}_x" for c in shared})
     dim = dim.withColumnsRenamed({c: f"{c}_y" for c in shared})
     kept = "inner" if how in ("inner", "right") else "left"
@@ -45,11 +47,11 @@ def attach(facts: DataFrame, dim: DataFrame, on: str = "sensor_id", how: str = "
     else:
         bucket = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in facts.columns]), F.lit(salts)).cast("int")
         repeated = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        joined = facts.withColumn("_salt", bucket).join(repeated, [on, "_salt"], kept).drop("_salt")
+        joined = facts.withColumn("_salt", bucket).join(repeated, [*on, "_salt"], kept).drop("_salt")
     if how in ("inner", "left"):
         return joined
     # map-side combined distinct keys: one row per key and task is shuffled, whatever the skew
-    unmatched = dim.join(facts.select(on).distinct(), on, "left_anti")
+    unmatched = dim.join(facts.select(*on).distinct(), on, "left_anti")
     return joined.unionByName(unmatched, allowMissingColumns=True)
 
 

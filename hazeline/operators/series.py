@@ -1,7 +1,8 @@
 """Order-dependent operators: gap filling, resampling, rolling means.
 
 A window over one sensor would put that sensor's whole history into one task. Here a window only
-ever spans one (sensor, time bucket). What a bucket needs from outside, the nearest known reading
+ever spans one (sensor, time bucket), and buckets that hold too many rows are cut into slices. What a
+bucket needs from outside, the nearest known reading
 before and after it, is found on a table of one row per bucket and added to the bucket as two
 boundary rows, which are removed again after the window has run.
 """
@@ -14,26 +15,51 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from hazeline.functions.numeric import HOUR_US, epoch_micros, floor_div
 from hazeline.operators.aggregate import daily_mean
+from hazeline.operators.joins import attach
+from hazeline.session import materialized
 
 FILL_METHODS = ("interpolate_time", "interpolate_linear", "ffill", "bfill", "mean")
-# rows without a time take part in no window; they are spread over this many spare buckets
+# rows without a place in a series are spread over this many spare buckets, ahead of all others
 _SPARE_BUCKETS = 1024
+_SPARE_BASE = -(1 << 40)
 # bucket width when a row number stands in for time
 _ROWS_PER_BUCKET = 1 << 20
+_MAX_SLICES = 1 << 20
 
 
 def _spare_bucket(*cols: str) -> Column:
-    return F.pmod(F.xxhash64(*[F.col(c) for c in cols]), F.lit(_SPARE_BUCKETS)) - (1 << 60)
+    return F.pmod(F.xxhash64(*[F.col(c) for c in cols]), F.lit(_SPARE_BUCKETS)) + _SPARE_BASE
 
 
-def _bucketed(df: DataFrame, ts: str, order: Sequence[str], width_us: int) -> DataFrame:
-    """Add the position on the axis (``_us``) and its bucket; without a time column the first order column is it."""
+def _bucketed(df: DataFrame, ts: str, group: Sequence[str], order: Sequence[str], width_us: int,
+              max_rows: int | None) -> DataFrame:
+    """Add the position on the axis (``_us``) and its bucket; without a time column the first order column is it.
+
+    Rows without time or key belong to no series. Buckets with more than ``max_rows`` rows are found by
+    one narrow count and cut into slices of equal time between their first and last row; usually there are none and nothing is joined.
+    """
     if ts in df.columns:
         axis, width = epoch_micros(df, ts), width_us
     else:
         axis, width = F.col(order[0]).cast("long"), _ROWS_PER_BUCKET
-    timed = df.withColumn("_us", axis)
-    return timed.withColumn("_bucket", F.coalesce(floor_div(F.col("_us"), width), _spare_bucket(*(order or [ts]))))
+    for k in group:
+        axis = F.when(F.col(k).isNotNull(), axis)
+    out = df.withColumn("_us", axis).withColumn(
+        "_bucket", F.coalesce(floor_div(F.col("_us"), width), _spare_bucket(*(order or [ts]))))
+    if max_rows is None:
+        return out
+    slices = F.least(F.ceil(F.col("n") * 4 / max_rows), F.lit(_MAX_SLICES))  # four times what an even spread needs
+    dense = (out.where(F.col("_us").isNotNull()).groupBy(*group, "_bucket")
+             .agg(F.count(F.lit(1)).alias("n"), F.min("_us").alias("_from"), F.max("_us").alias("_to"))
+             .where(F.col("n") > max_rows)
+             .select(*group, "_bucket", "_from",
+                     F.ceil((F.col("_to") - F.col("_from") + 1) / slices).cast("long").alias("_step")))
+    dense = materialized(dense, "dense-buckets")
+    if dense.isEmpty():
+        return out
+    piece = F.call_function("div", F.col("_us") - F.col("_from"), F.col("_step"))
+    cut = F.col("_bucket") * F.lit(_MAX_SLICES).cast("long") + F.coalesce(piece, F.lit(0))
+    return attach(out, dense, [*group, "_bucket"]).withColumn("_bucket", cut).drop("_from", "_step")
 
 
 def _boundary_rows(edges: DataFrame, group: Sequence[str]) -> DataFrame:
@@ -44,9 +70,9 @@ def _boundary_rows(edges: DataFrame, group: Sequence[str]) -> DataFrame:
                  .withColumn("_after", F.last("_first", ignorenulls=True).over(later)))
 
 
-def _fill_time(df: DataFrame, value: str, ts: str, group: list[str], order: Sequence[str], width_us: int) -> DataFrame:
+def _fill_time(rows: DataFrame, value: str, group: list[str], order: Sequence[str]) -> DataFrame:
     seq = F.struct(*[F.col(c) for c in order]) if order else F.lit(0)
-    rows = _bucketed(df, ts, order, width_us).withColumn("_edge", F.lit(False))
+    rows = rows.withColumn("_edge", F.lit(False))
     knot = F.when(F.col(value).isNotNull() & F.col("_us").isNotNull(),
                   F.struct(F.col("_us").alias("us"), seq.alias("seq"), F.col(value).cast("double").alias("v")))
     edges = rows.groupBy(*group, "_bucket").agg(F.min(knot).alias("_first"), F.max(knot).alias("_last"))
@@ -69,9 +95,9 @@ def _fill_time(df: DataFrame, value: str, ts: str, group: list[str], order: Sequ
     return filled.withColumn(value, result)
 
 
-def _fill_position(df: DataFrame, value: str, ts: str, group: list[str], order: Sequence[str], width_us: int,
-                   method: str, limit: int | None) -> DataFrame:
-    rows = _bucketed(df, ts, order, width_us).withColumn("_edge", F.lit(False))
+def _fill_position(rows: DataFrame, value: str, group: list[str], order: Sequence[str], method: str,
+                   limit: int | None) -> DataFrame:
+    rows = rows.withColumn("_edge", F.lit(False))
     part = W.partitionBy(*group, "_bucket")
     asc = [F.asc("_us"), *[F.asc(c) for c in order]]
     desc = [F.desc("_us"), *[F.desc(c) for c in order]]
@@ -131,7 +157,7 @@ def _fill_position(df: DataFrame, value: str, ts: str, group: list[str], order:
 
 def fill_gaps(df: DataFrame, value: str = "pm25", ts: str = "date", keys: Sequence[str] = ("sensor_id",),
               order: Sequence[str] = (), method: str = "interpolate_time", limit: int | None = 7,
-              bucket_hours: int = 24) -> DataFrame:
+              bucket_hours: int = 720, max_bucket_rows: int | None = 2_000_000) -> DataFrame:
     """Fill missing readings.
 
     interpolate_time   linear in elapsed time; leading gaps stay, trailing ones take the last value
@@ -141,7 +167,8 @@ def fill_gaps(df: DataFrame, value: str = "pm25", ts: str = "date", keys: Sequen
 
     ``order`` breaks ties between equal times and should make rows unique. With ``keys=()`` the whole
     table is one series, as in the original tool; it is still processed bucket by bucket. Rows without
-    a time are left as they are. Without a ``ts`` column every method becomes linear along the
+    a time or a key are left as they are. ``df`` is read three times (count, boundaries, rows): pass a table or
+    a cheap plan, and ``materialized`` anything else. Without a ``ts`` column every method becomes linear along the
     first ``order`` column, a row number.
     """
     if method not in FILL_METHODS:
@@ -157,11 +184,11 @@ def fill_gaps(df: DataFrame, value: str = "pm25", ts: str = "date", keys: Sequen
     work = df
     if not group:
         group, work = ["_all"], df.withColumn("_all", F.lit(0))
-    width_us = bucket_hours * HOUR_US
+    rows = _bucketed(work, ts, group, order, bucket_hours * HOUR_US, max_bucket_rows)
     if method == "interpolate_time":
-        out = _fill_time(work, value, ts, group, order, width_us)
+        out = _fill_time(rows, value, group, order)
     else:
-        out = _fill_position(work, value, ts, group, order, width_us, method, limit)
+        out = _fill_position(rows, value, group, order, method, limit)
     return out.select(*columns)
 
 
@@ -179,7 +206,9 @@ def rolling_means(df: DataFrame, hours: Sequence[int] = (3, 6), value: str = "pm
     """Mean of the readings in the ``h`` hours before each row, the row itself excluded.
 
     Rows close to the end of a bucket are repeated in the buckets their reading can still reach, so
-    each (sensor, bucket) window is complete on its own.
+    each (sensor, bucket) window is complete on its own. A mean is the difference of two running sums
+    that both frames build up row by row, so dense sensors cost no more per row than sparse ones.
+    Readings have to be finite.
     """
     columns = df.columns
     width_us = bucket_hours * HOUR_US
@@ -189,8 +218,19 @@ def rolling_means(df: DataFrame, hours: Sequence[int] = (3, 6), value: str = "pm
     last = F.coalesce(floor_div(F.col("_us") + F.lit(reach), width_us), F.col("_own"))
     out = timed.withColumn("_own", own).withColumn("_bucket", F.explode(F.sequence(F.col("_own"), last)))
     part = W.partitionBy(*keys, "_bucket").orderBy("_us")
+    v = F.col(value).cast("double")
+
+    def until(back_us: int) -> tuple[Column, Column]:
+        """Sum and count of the readings at least ``back_us`` old: a frame that only grows."""
+        frame = part.rangeBetween(W.unboundedPreceding, -back_us)
+        return F.coalesce(F.sum(v).over(frame), F.lit(0.0)), F.count(v).over(frame)
+
+    total, rows = until(1)
+    out = out.withColumn("_sum", total).withColumn("_rows", rows)
     for h in hours:
-        mean = F.avg(value).over(part.rangeBetween(-h * HOUR_US, -1))
-        out = out.withColumn(f"{value}_mean_{h}h", F.when(F.col("_us").isNotNull(), mean))
+        old_total, old_rows = until(h * HOUR_US + 1)
+        n = F.col("_rows") - old_rows
+        mean = F.when((n > 0) & F.col("_us").isNotNull(), (F.col("_sum") - old_total) / n)
+        out = out.withColumn(f"{value}_mean_{h}h", mean)
     return (out.where(F.col("_own") == F.col("_bucket"))
                .select(*columns, *[f"{value}_mean_{h}h" for h in hours]))

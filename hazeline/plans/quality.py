@@ -7,15 +7,13 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, functions as F
 
 from hazeline.operators import learn
-from hazeline.session import fresh_path
+from hazeline.session import materialized
 
 
 def materialized_features(df: DataFrame, ts: str = "datetime", key: str = "sensor_id", value: str = "pm25") -> DataFrame:
     """Features written once to the shared folder: training reads them many times, and a lost executor
     re-reads files instead of repeating the windows."""
-    path = fresh_path(df.sparkSession, "features")
-    learn.model_features(df, ts, key, value).write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return materialized(learn.model_features(df, ts, key, value), "features")
 
 
 def model_quality(features: DataFrame, kind: str, **params) -> tuple[DataFrame, object]:

@@ -211,6 +211,7 @@ def test_epoch_micros_ignores_session_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert sorted(got) == [-1, 1711852200500000]
+    assert sorted(r[0] for r in df.select(epoch_micros(df, "a")).collect()) == [-1, 1711852200500000]
     assert spark.range(1).select(floor_div(F.lit(-1).cast("long"), 10)).first()[0] == -1
 
 
