@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hazeline.functions.columns import detect_value_column
+from hazeline.operators.joins import attach
 from hazeline.operators.quantiles import one_row, quantiles
 from hazeline.operators.series import fill_gaps
 from hazeline.session import materialized
@@ -54,7 +55,9 @@ def _outlier_flag(df: DataFrame, value: str, method: str, threshold: float,
         raise ValueError(f"unknown outlier method: {method}; expected one of {OUTLIER_METHODS}")
     if not keys:
         return df.withColumn("_lim", one_row(limits)), test
-    return df.join(limits.select(*keys, F.struct(*names).alias("_lim")), list(keys), "left"), test
+    # one row per key, written once: its size is then measured without computing it again
+    per_key = materialized(limits.select(*keys, F.struct(*names).alias("_lim")), "limits")
+    return attach(df, per_key, keys), test
 
 
 def outliers_to_null(df: DataFrame, value: str = "pm25", method: str = "iqr", threshold: float = 3.0,

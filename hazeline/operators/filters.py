@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hazeline.functions import constants as K
+from hazeline.operators.joins import attach
 
 
 def valid_readings(df: DataFrame, value: str = "pm25") -> DataFrame:
@@ -66,9 +67,15 @@ def min_count(df: DataFrame, n: int, column: str = "measurements_count") -> Data
     return df.where(F.col(column) >= n)
 
 
-def allow_listed(df: DataFrame, allowed: DataFrame, on: str | list[str] = "sensor_id") -> DataFrame:
-    """Keep rows whose key is in ``allowed``."""
-    return df.join(allowed, on, "left_semi")
+def allow_listed(df: DataFrame, allowed: DataFrame, on: str = "sensor_id", fixed_size: bool = False) -> DataFrame:
+    """Keep rows whose key is in ``allowed``.
+
+    ``fixed_size`` says that the list is bounded by construction, such as a top-n; any other list is
+    measured before it is broadcast.
+    """
+    if fixed_size:
+        return df.join(F.broadcast(allowed.select(on)), on, "left_semi")
+    return attach(df, allowed.select(on).distinct(), on, "inner").select(*df.columns)
 
 
 def flag_exceedance(df: DataFrame, value: str = "pm25") -> DataFrame:

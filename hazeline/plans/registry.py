@@ -420,7 +420,7 @@ def fill_mean(spark, d):
 @query
 def resample_daily_top5(spark, d):
     m = _dated(spark, d)
-    return settled(resample_daily(X.allow_listed(m, A.top_by_mean(m, 5).select("sensor_id"))))
+    return settled(resample_daily(X.allow_listed(m, A.top_by_mean(m, 5), fixed_size=True)))
 
 
 @query

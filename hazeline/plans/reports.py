@@ -192,7 +192,7 @@ def exploration(df: DataFrame, sensors: DataFrame, location: Sequence[str] = ("l
                 ts: str = "datetime") -> dict[str, DataFrame]:
     """Q15: range and counts, description, station and place means, daily series of the five highest sensors."""
     highest = A.top_by_mean(df, 5)
-    daily = resample_daily(with_calendar(allow_listed(df, highest.select("sensor_id")), ts))
+    daily = resample_daily(with_calendar(allow_listed(df, highest, fixed_size=True), ts))
     return {"range": A.distinct_and_range(df, ["sensor_id"], ts), "describe": A.describe(df),
             "stations": A.station_means(df, sensors), "places": A.location_means(df, sensors, location),
             "highest": highest, "daily": daily}
