@@ -35,8 +35,7 @@ def _bucketed(df: DataFrame, ts: str, group: Sequence[str], order: Sequence[str]
               max_rows: int | None) -> DataFrame:
     """Add the position on the axis (``_us``) and its bucket; without a time column the first order column is it.
 
-    Rows without time or key belong to no series. Buckets with more than ``max_rows`` rows are found by
-    one narrow count and cut into slices of equal time between their first and last row; usually there are none and nothing is joined.
+    Rows without time or key belong to no series.
     """
     if ts in df.columns:
         axis, width = epoch_micros(df, ts), width_us
@@ -44,22 +43,34 @@ def _bucketed(df: DataFrame, ts: str, group: Sequence[str], order: Sequence[str]
         axis, width = F.col(order[0]).cast("long"), _ROWS_PER_BUCKET
     for k in group:
         axis = F.when(F.col(k).isNotNull(), axis)
-    out = df.withColumn("_us", axis).withColumn(
-        "_bucket", F.coalesce(floor_div(F.col("_us"), width), _spare_bucket(*(order or [ts]))))
+    return _with_buckets(df.withColumn("_us", axis), group, order or [ts], width, max_rows)
+
+
+def _with_buckets(placed: DataFrame, group: Sequence[str], spread_by: Sequence[str], width: int,
+                  max_rows: int | None) -> DataFrame:
+    """Add ``_bucket`` for ``_us``. Buckets with more than ``max_rows`` rows are found by one narrow count and cut
+    into slices of equal time between their first and last row; usually there are none and nothing is joined.
+    """
+    out = placed.withColumn("_bucket", F.coalesce(floor_div(F.col("_us"), width), _spare_bucket(*spread_by)))
     if max_rows is None:
         return out
+    dense = _dense_buckets(out, group, max_rows)
+    if dense is None:
+        return out
+    piece = F.call_function("div", F.col("_us") - F.col("_from"), F.col("_step"))
+    cut = F.col("_bucket") * F.lit(_MAX_SLICES).cast("long") + F.coalesce(piece, F.lit(0))
+    return attach(out, dense, [*group, "_bucket"]).withColumn("_bucket", cut).drop("_from", "_step")
+
+
+def _dense_buckets(bucketed: DataFrame, group: Sequence[str], max_rows: int) -> DataFrame | None:
+    """Buckets with more than ``max_rows`` rows, their first position and slice width; None when there are none."""
     slices = F.least(F.ceil(F.col("n") * 4 / max_rows), F.lit(_MAX_SLICES))  # four times what an even spread needs
-    dense = (out.where(F.col("_us").isNotNull()).groupBy(*group, "_bucket")
+    dense = (bucketed.where(F.col("_us").isNotNull()).groupBy(*group, "_bucket")
              .agg(F.count(F.lit(1)).alias("n"), F.min("_us").alias("_from"), F.max("_us").alias("_to"))
              .where(F.col("n") > max_rows)
              .select(*group, "_bucket", "_from",
                      F.ceil((F.col("_to") - F.col("_from") + 1) / slices).cast("long").alias("_step")))
-    if dense.isEmpty():
-        return out
-    dense = materialized(dense, "dense-buckets")
-    piece = F.call_function("div", F.col("_us") - F.col("_from"), F.col("_step"))
-    cut = F.col("_bucket") * F.lit(_MAX_SLICES).cast("long") + F.coalesce(piece, F.lit(0))
-    return attach(out, dense, [*group, "_bucket"]).withColumn("_bucket", cut).drop("_from", "_step")
+    return None if dense.isEmpty() else materialized(dense, "dense-buckets")
 
 
 def _boundary_rows(edges: DataFrame, group: Sequence[str]) -> DataFrame:
@@ -202,21 +213,32 @@ def resample_daily(df: DataFrame, keys: Sequence[str] = ("sensor_id",), value: s
 
 
 def rolling_means(df: DataFrame, hours: Sequence[int] = (3, 6), value: str = "pm25", ts: str = "datetime",
-                  keys: Sequence[str] = ("sensor_id",), bucket_hours: int = 24) -> DataFrame:
+                  keys: Sequence[str] = ("sensor_id",), bucket_hours: int = 24,
+                  max_bucket_rows: int | None = 2_000_000) -> DataFrame:
     """Mean of the readings in the ``h`` hours before each row, the row itself excluded.
 
     Rows close to the end of a bucket are repeated in the buckets their reading can still reach, so
     each (sensor, bucket) window is complete on its own. A mean is the difference of two running sums
     that both frames build up row by row, so dense sensors cost no more per row than sparse ones.
-    Readings have to be finite.
+    Should some bucket hold more than ``max_bucket_rows`` rows, a sweep that needs no repeated rows and
+    splits at any time takes over. Readings have to be finite; rows without time or key get no mean.
     """
     columns = df.columns
     width_us = bucket_hours * HOUR_US
+    timed = _bucketed(df, ts, keys, columns, width_us, None)
+    if max_bucket_rows is not None and _dense_buckets(timed, keys, max_bucket_rows) is not None:
+        out = _rolling_sweep(timed.drop("_bucket"), hours, value, keys, columns, width_us, max_bucket_rows)
+    else:
+        out = _rolling_repeated(timed, hours, value, keys, width_us)
+    return out.select(*columns, *[f"{value}_mean_{h}h" for h in hours])
+
+
+def _rolling_repeated(timed: DataFrame, hours: Sequence[int], value: str, keys: Sequence[str],
+                      width_us: int) -> DataFrame:
     reach = max(hours) * HOUR_US
-    timed = df.withColumn("_us", epoch_micros(df, ts))
-    own = F.coalesce(floor_div(F.col("_us"), width_us), _spare_bucket(*columns))
     last = F.coalesce(floor_div(F.col("_us") + F.lit(reach), width_us), F.col("_own"))
-    out = timed.withColumn("_own", own).withColumn("_bucket", F.explode(F.sequence(F.col("_own"), last)))
+    out = (timed.withColumnRenamed("_bucket", "_own")
+                .withColumn("_bucket", F.explode(F.sequence(F.col("_own"), last))))
     part = W.partitionBy(*keys, "_bucket").orderBy("_us")
     v = F.col(value).cast("double")
 
@@ -232,5 +254,46 @@ def rolling_means(df: DataFrame, hours: Sequence[int] = (3, 6), value: str = "pm
         n = F.col("_rows") - old_rows
         mean = F.when((n > 0) & F.col("_us").isNotNull(), (F.col("_sum") - old_total) / n)
         out = out.withColumn(f"{value}_mean_{h}h", mean)
-    return (out.where(F.col("_own") == F.col("_bucket"))
-               .select(*columns, *[f"{value}_mean_{h}h" for h in hours]))
+    return out.where(F.col("_own") == F.col("_bucket"))
+
+
+def _rolling_sweep(timed: DataFrame, hours: Sequence[int], value: str, keys: Sequence[str], columns: Sequence[str],
+                   width_us: int, max_rows: int) -> DataFrame:
+    """Every reading enters all windows at its time and leaves the ``h`` window ``h`` hours later.
+
+    The running sum of these changes is the content of a window at any moment. Buckets start from the
+    sum of all changes before them, taken from a table of one row per bucket.
+    """
+    us = F.col("_us")
+    counted = F.col(value).isNotNull() & us.isNotNull()
+    v = F.when(counted, F.col(value).cast("double")).otherwise(0.0)
+    one = counted.cast("long")
+    sums, counts = [f"_s{h}" for h in hours], [f"_n{h}" for h in hours]
+
+    def change(at: Column, real: bool, sign: int, touched: Sequence[int]) -> Column:
+        return F.struct(
+            at.alias("at"), F.lit(real).alias("real"),
+            *[(v * sign if h in touched else F.lit(0.0)).alias(f"s{h}") for h in hours],
+            *[(one * sign if h in touched else F.lit(0).cast("long")).alias(f"n{h}") for h in hours])
+
+    changes = timed.withColumn("_c", F.explode(F.array(
+        change(us, True, 1, hours), *[change(us + F.lit(h * HOUR_US), False, -1, [h]) for h in hours])))
+    changes = changes.where(F.col("_c.real") | us.isNotNull())
+    payload = [c for c in columns if c not in keys]
+    changes = changes.select(
+        *keys, *[F.when(F.col("_c.real"), F.col(c)).alias(c) for c in payload],
+        F.col("_c.at").alias("_us"), F.col("_c.real").alias("_real"),
+        *[F.col(f"_c.s{h}").alias(f"_s{h}") for h in hours], *[F.col(f"_c.n{h}").alias(f"_n{h}") for h in hours])
+    placed = _with_buckets(changes, keys, columns, width_us, max_rows)
+
+    earlier = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    per_bucket = placed.groupBy(*keys, "_bucket").agg(*[F.sum(c).alias(c) for c in [*sums, *counts]])
+    opening = per_bucket.select(*keys, "_bucket", F.lit(-(1 << 62)).alias("_us"), F.lit(False).alias("_real"),
+                                *[F.sum(c).over(earlier).alias(c) for c in [*sums, *counts]])
+    before = W.partitionBy(*keys, "_bucket").orderBy("_us").rangeBetween(W.unboundedPreceding, -1)
+    out = placed.unionByName(opening, allowMissingColumns=True)
+    for h in hours:
+        n = F.sum(f"_n{h}").over(before)
+        out = out.withColumn(f"{value}_mean_{h}h",
+                             F.when((n > 0) & F.col("_us").isNotNull(), F.sum(f"_s{h}").over(before) / n))
+    return out.where("_real")

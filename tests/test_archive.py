@@ -92,7 +92,7 @@ def test_mixed_headers_do_not_shift(archive):
 
 
 def test_first_candidate_only_versus_coalesce(archive):
-    # the reference keeps only the first candidate column of the union
+    # only the first candidate column of the union is used
     assert archive.pm25((2025, 2025), [1, 2]).count() == 2
     assert archive.pm25((2025, 2025), [1, 2], mode="coalesce").count() == 4
 
