@@ -233,15 +233,15 @@ class Encoder:
 
 def _rows(shared, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = shared.value
-        if not hasattr(vocabulary, "encoder"):  # a worker serves many tasks and keeps the value
-            vocabulary.encoder = Encoder(vocabulary)
-            vocabulary.names = {rank: str(rank) for rank in vocabulary.bytes_of}
-        name = vocabulary.names.__getitem__
+        kept = shared.value  # a worker serves many tasks and keeps this dict, and so what is put into it
+        if "encoder" not in kept:
+            kept["names"] = {rank: str(rank) for rank in kept["ranks"].values()}
+            kept["encoder"] = Encoder(Vocabulary(kept["ranks"], kept["pattern"]))
+        encoder, name = kept["encoder"], kept["names"].__getitem__
         for batch in batches:
             for first, end, data, at in slices(batch.column(1)):
                 counts, digests, decoded, lists = [], [], [], []
-                for ids, back in vocabulary.encoder.encode(data, at):
+                for ids, back in encoder.encode(data, at):
                     counts.append(len(ids))
                     digests.append(hashlib.sha256(",".join(map(name, ids)).encode()).hexdigest())
                     decoded.append(hashlib.sha256(back).hexdigest())
@@ -262,7 +262,7 @@ def tokenized(docs: DataFrame, path: str, pattern: str, keep_ids: bool = False)
 
     The rank file is read by the driver and sent once to each executor.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(read_ranks(path), pattern))
+    shared = docs.sparkSession.sparkContext.broadcast({"ranks": read_ranks(path), "pattern": pattern})
     kind = docs.schema["doc_id"].dataType.simpleString()
     fields = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
     return docs.select("doc_id", "text").mapInArrow(_rows(shared, keep_ids), fields)

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hazeline.llm import bpe, neardup
+from hazeline.llm import bpe, decontaminate, divergence, neardup, toxicity
 from hazeline.sources.tables import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.quality(table(spark, sf_dir, "documents"))
+
+
 def op2_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -20,4 +24,12 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.tokenized(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op2_superminhash, op3_byte_bpe)}
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_divergence, op2_superminhash, op3_byte_bpe, op4_decontamination, op6_toxicity)}
