@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hazeline.llm import bpe, decontaminate, divergence, neardup, toxicity
+from hazeline.llm import bpe, decontaminate, divergence, neardup, pii, toxicity
 from hazeline.sources.tables import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -32,4 +32,9 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_divergence, op2_superminhash, op3_byte_bpe, op4_decontamination, op6_toxicity)}
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_divergence, op2_superminhash, op3_byte_bpe, op4_decontamination, op6_toxicity,
+                                  op10_personal_data)}
