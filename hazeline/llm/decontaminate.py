@@ -22,10 +22,10 @@ from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from hazeline.llm.bits import bit_table, in_table
 from hazeline.session import materialized
 
 WINDOW, SHINGLE = 13, 3
-TABLE_BITS = 1 << 22
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -58,31 +58,16 @@ def _key(size: int) -> Column:
     return F.when(F.col(f"w{size - 1}").isNotNull(), F.xxhash64(F.lit(size), *[f"w{i}" for i in range(size)]))
 
 
-def _bit_table(keys: DataFrame, key: str) -> DataFrame:
-    """One row: TABLE_BITS bits as longs, with a bit set for each key."""
-    bit = F.col(key).bitwiseAND(TABLE_BITS - 1)
-    set_ = (keys.select(F.shiftright(bit, 6).alias("at"), F.expr(f"shiftleft(1L, cast({key} & 63 as int))").alias("bit"))
-            .groupBy("at").agg(F.bit_or("bit").alias("bits")))
-    places = keys.sparkSession.range(TABLE_BITS // 64).withColumnRenamed("id", "at")
-    filled = places.join(set_, "at", "left").select("at", F.coalesce("bits", F.lit(0)).alias("bits"))
-    return filled.agg(F.sort_array(F.collect_list(F.struct("at", "bits"))).getField("bits").alias("bits"))
-
-
-def _in_table(key: Column, table: Column) -> Column:
-    place = F.shiftright(key.bitwiseAND(TABLE_BITS - 1), 6).cast("int")
-    return F.coalesce(F.getbit(F.get(table, place), key.bitwiseAND(63).cast("int")) == 1, F.lit(False))
-
-
 def _positions(docs: DataFrame, keys: DataFrame, sizes: list[int], *keep: str) -> DataFrame:
     """(keep, pos, key) of document positions whose shingle may be one of the keys."""
-    table = materialized(_bit_table(keys, "key"), "bits").scalar()
+    table = materialized(bit_table(keys, "key"), "bits").scalar()
     placed = _shingles(docs, *keep)
     hit = F.filter(F.array(*[_key(s) for s in sizes]), lambda k: k.isNotNull())
     if len(sizes) == 1:
-        return placed.select(*keep, "pos", _key(sizes[0]).alias("key")).where(_in_table(F.col("key"), table))
+        return placed.select(*keep, "pos", _key(sizes[0]).alias("key")).where(in_table(F.col("key"), table))
     any_ = None
     for s in sizes:
-        one = _in_table(_key(s), table)
+        one = in_table(_key(s), table)
         any_ = one if any_ is None else any_ | one
     return placed.where(any_).select(*keep, "pos", F.explode(hit).alias("key"))
 
@@ -129,8 +114,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     aligned = (placed.join(chosen, "key").where(room >= F.col("window"))
                .select("k1", "k2", "item", "window", start).distinct())
     aligned = materialized(aligned, "aligned")
-    table = materialized(_bit_table(aligned.select("k1").distinct(), "k1"), "bits").scalar()
-    texts = (docs.select(*text_keys(), F.col("text")).where(_in_table(F.col("k1"), table))
+    table = materialized(bit_table(aligned.select("k1").distinct(), "k1"), "bits").scalar()
+    texts = (docs.select(*text_keys(), F.col("text")).where(in_table(F.col("k1"), table))
              .groupBy("k1", "k2").agg(F.min("text").alias("text")))
     both = (aligned.join(texts, ["k1", "k2"])
             .select("k1", "k2", "item", "window", "start", words(F.col("text")).alias("d"), F.split("item", " ").alias("i")))

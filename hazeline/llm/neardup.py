@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from hazeline.llm.bits import bit_table, in_table
 from hazeline.llm.components import components
 from hazeline.llm.spans import U64, mixed, shingle_sets, slices
 from hazeline.llm.superminhash import signatures
@@ -107,12 +108,14 @@ def verified(pairs: DataFrame, nodes: DataFrame, percent: int, k: int = 5) -> Da
 
 
 def _alike(percent: int):
-    """Rows of one block pair of a bucket in, pairs that may be links out."""
+    """Rows of one block pair of a bucket in, pairs that may be links out, each in the first bucket that it shares."""
     least = max(0.0, percent / 100 - SLACK)
 
     def run(table: pa.Table) -> pa.Table:
         node, comp, size, shared, side = (table[c].to_numpy() for c in ("node", "comp", "n", "shared", "side"))
         sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(len(node), -1)
+        bands = table["bands"].combine_chunks().flatten().to_numpy().reshape(len(node), -1)
+        bucket = table["bucket"][0].as_py()
         rows = np.flatnonzero(side == 0)
         cols = np.flatnonzero(side == 1) if side.any() else rows
         found = []
@@ -122,6 +125,7 @@ def _alike(percent: int):
             others = others[100 * both >= percent * (size[i] + size[others] - both)]
             if len(others):
                 near = (sketch[others] == sketch[i]).mean(axis=1) >= least
+                near &= bands[i][(bands[others] == bands[i]).argmax(axis=1)] == bucket
                 found += [(node[i], node[j]) for j in others[near]]
         pairs = np.array(found, np.int64).reshape(-1, 2)
         return pa.table({"a": np.minimum(pairs[:, 0], pairs[:, 1]), "b": np.maximum(pairs[:, 0], pairs[:, 1])})
@@ -177,9 +181,9 @@ def _residual_pairs(members: DataFrame, nodes: DataFrame, first: DataFrame, perc
              .agg(F.count("*").alias("times"), F.min("node").alias("node")).where("times = 1")
              .groupBy("node").agg(F.count("*").alias("alone")))
     able = materialized(
-        texts.select("node", "n", "sketch").join(alone, "node", "left")
+        texts.select("node", "n", "sketch", "bands").join(alone, "node", "left")
         .withColumn("shared", F.col("n") - F.coalesce("alone", F.lit(0)))
-        .where(F.col("shared") * 100 >= percent * F.col("n")).select("node", "n", "shared", "sketch"), "able")
+        .where(F.col("shared") * 100 >= percent * F.col("n")).select("node", "n", "shared", "sketch", "bands"), "able")
     rows = left.join(able.select("node"), "node")
     sizes = (rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
              .where("lo <> hi").select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("parts")))
@@ -199,11 +203,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5) -> DataFrame
     crowded = (places.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
                .select("bucket"))
     members = materialized(places.join(crowded, "bucket").select("bucket", "node").distinct(), "members")
-    sketches = (known.select("node", "n_shingles", "text_key", "sketch").join(members.select("node").distinct(), "node")
+    sketches = (known.select("node", "n_shingles", "text_key", "sketch", "bands").join(members.select("node").distinct(), "node")
                 .groupBy("node").agg(F.max("n_shingles").alias("n"), F.min("text_key").alias("text_key"),
-                                     F.min("sketch").alias("sketch")))
-    texts = docs.select(F.xxhash64("text").alias("text_key"), "text")
+                                     F.min("sketch").alias("sketch"), F.min("bands").alias("bands")))
     sketches = materialized(sketches, "sketches")
+    table = materialized(bit_table(sketches, "text_key"), "bits").scalar()
+    texts = docs.select(F.xxhash64("text").alias("text_key"), "text").where(in_table(F.col("text_key"), table))
     nodes = materialized(sketches.join(
         texts.join(sketches.select("node", "text_key"), "text_key").groupBy("node").agg(F.min("text").alias("text")),
         "node"), "nodes")
