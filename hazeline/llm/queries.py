@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hazeline.llm import bpe, decontaminate, divergence, neardup, pii, toxicity
+from hazeline.llm import bpe, decontaminate, divergence, htmlcrf, kneser, neardup, pii, toxicity
 from hazeline.sources.tables import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -28,13 +28,21 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_block_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmlcrf.extracted(table(spark, sf_dir, "pages"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_divergence, op2_superminhash, op3_byte_bpe, op4_decontamination, op6_toxicity,
-                                  op10_personal_data)}
+QUERIES = {f.__name__: f for f in (op1_divergence, op2_superminhash, op3_byte_bpe, op4_decontamination, op5_block_crf, op6_toxicity,
+                                  op9_kneser_ney, op10_personal_data)}
