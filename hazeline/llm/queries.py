@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hazeline.llm import bpe, decontaminate, divergence, htmlcrf, kneser, neardup, pii, toxicity
+from hazeline.llm import bpe, decontaminate, divergence, htmlcrf, kneser, neardup, pii, substrings, toolcalls, toxicity
 from hazeline.sources.tables import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -36,6 +36,15 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_merged_bwt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.without_repeats(table(spark, sf_dir, "documents"))
+
+
+def op8_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = toolcalls.calls_of(table(spark, sf_dir, "conversations"))
+    return toolcalls.digests(toolcalls.linked(calls, results, toolcalls.answer_schema(calls)))
+
+
 def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -45,4 +54,4 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_divergence, op2_superminhash, op3_byte_bpe, op4_decontamination, op5_block_crf, op6_toxicity,
-                                  op9_kneser_ney, op10_personal_data)}
+                                  op7_merged_bwt, op8_tool_calls, op9_kneser_ney, op10_personal_data)}
