@@ -12,10 +12,13 @@ def round_stable(col: Column, digits: int) -> Column:
     """Round half up, after a nudge far below the last kept digit.
 
     An average that should sit exactly on a tie carries summation noise that depends on
-    how rows were partitioned; the nudge sends all of those the same way.
+    how rows were partitioned; the nudge sends all of those the same way. From 2^52 steps on a double has
+    no digits left to round and stays as it is; NaN is missing.
     """
     scale = float(10**digits)
-    return (F.floor(col * F.lit(scale) + F.lit(0.500001)) / F.lit(scale)).cast("double")
+    steps = col.cast("double") * F.lit(scale)
+    rounded = (F.floor(steps + F.lit(0.500001)) / F.lit(scale)).cast("double")
+    return F.when(F.isnan(steps), None).when(F.abs(steps) < F.lit(float(1 << 52)), rounded).otherwise(col.cast("double"))
 
 
 def null_if_nan(col: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -36,12 +36,11 @@ def only_sensors(df: DataFrame, sensors: Iterable[int] | None, key: str = "senso
 
 
 def year_span(years) -> tuple[int, int]:
-    """one year, or a pair read as an inclusive range."""
-    if isinstance(years, int):
-        return years, years
-    if isinstance(years, (list, tuple)) and len(years) == 2:
-        return years[0], years[1]
-    raise ValueError("years must be an int or a (start, end) pair")
+    """first and last year of a period given as one year or as its two ends."""
+    ends = [years] if isinstance(years, int) else list(years) if isinstance(years, Sequence) and not isinstance(years, str) else []
+    if not 1 <= len(ends) <= 2 or (len(ends) == 1 and not isinstance(years, int)):
+        raise ValueError(f"not a year and not a pair of years: {years!r}")
+    return ends[0], ends[-1]
 
 
 def in_months(df: DataFrame, years, months=None) -> DataFrame:
@@ -57,9 +56,9 @@ def pm25_parameter_only(df: DataFrame, column: str = "parameter") -> DataFrame:
 
 
 def since(df: DataFrame, as_of, days: int, ts: str = "date") -> DataFrame:
-    """rows of the last ``days`` days before ``as_of`` (a timestamp literal or column)."""
-    start = as_of if isinstance(as_of, Column) else F.lit(as_of)
-    return df.where(F.col(ts) >= start - F.make_dt_interval(F.lit(days)))
+    """rows of the last ``days`` days up to ``as_of`` (a timestamp literal or column), nothing later."""
+    end = as_of if isinstance(as_of, Column) else F.lit(as_of)
+    return df.where((F.col(ts) >= end - F.make_dt_interval(F.lit(days))) & (F.col(ts) <= end))
 
 
 def min_count(df: DataFrame, n: int, column: str = "measurements_count") -> DataFrame:

@@ -5,18 +5,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 MAX_BROADCAST_ROWS = 500_000
 MAX_BROADCAST_BYTES = 64 << 20
 
 
 def fits_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
-    """Measure a small side before broadcasting it; reads at most ``max_rows + 1`` rows of it."""
-    row = (df.limit(max_rows + 1)
-             .agg(F.count(F.lit(1)).alias("rows"),
-                  F.coalesce(F.sum(F.length(F.to_json(F.struct("*")))), F.lit(0)).alias("bytes"))
-             .first())
+    """Measure a small side before broadcasting it: each task sends one count and one size, no rows."""
+    row = df.agg(F.count(F.lit(1)).alias("rows"),
+                 F.coalesce(F.sum(F.length(F.to_json(F.struct("*")))), F.lit(0)).alias("bytes")).first()
     return row["rows"] <= max_rows and row["bytes"] <= max_bytes
 
 
@@ -25,7 +23,7 @@ def attach(facts: DataFrame, dim: DataFrame, on: str | Sequence[str] = "sensor_i
     """Join facts to a dimension without ever shuffling the facts by a hot key alone.
 
     A dimension measured to be small is broadcast. A larger one is joined on (key, salt):
-    every fact row takes one of ``salts`` buckets by its own hash and the dimension is repeated
+    every fact row takes one of ``salts`` buckets by a hash of its plain columns and the dimension is repeated
     per bucket, so a key holding a third of the rows is spread over ``salts`` tasks. Sides that
     a salted join cannot preserve (right, outer) are completed with the unmatched dimension rows.
     Duplicate dimension keys multiply rows, as in any equi-join. Other columns that both sides have
@@ -45,7 +43,8 @@ def attach(facts: DataFrame, dim: DataFrame, on: str | Sequence[str] = "sensor_i
     if fits_broadcast(dim, max_rows):
         joined = facts.join(F.broadcast(dim), on, kept)
     else:
-        bucket = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in facts.columns]), F.lit(salts)).cast("int")
+        plain = [f.name for f in facts.schema.fields if isinstance(f.dataType, T.AtomicType)]
+        bucket = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in plain]), F.lit(salts)).cast("int")
         repeated = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         joined = facts.withColumn("_salt", bucket).join(repeated, [*on, "_salt"], kept).drop("_salt")
     if how in ("inner", "left"):

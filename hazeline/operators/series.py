@@ -13,7 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from hazeline.functions.numeric import HOUR_US, epoch_micros, floor_div
+from hazeline.functions.numeric import HOUR_US, epoch_micros, floor_div, null_if_nan
 from hazeline.operators.aggregate import daily_mean
 from hazeline.operators.joins import attach
 from hazeline.session import materialized
@@ -213,87 +213,58 @@ def resample_daily(df: DataFrame, keys: Sequence[str] = ("sensor_id",), value: s
 
 
 def rolling_means(df: DataFrame, hours: Sequence[int] = (3, 6), value: str = "pm25", ts: str = "datetime",
-                  keys: Sequence[str] = ("sensor_id",), bucket_hours: int = 24,
-                  max_bucket_rows: int | None = 2_000_000) -> DataFrame:
+                  keys: Sequence[str] = ("sensor_id",), bucket_hours: int = 24, slot_minutes: int = 5) -> DataFrame:
     """Mean of the readings in the ``h`` hours before each row, the row itself excluded.
 
-    Rows close to the end of a bucket are repeated in the buckets their reading can still reach, so
-    each (sensor, bucket) window is complete on its own. A mean is the difference of two running sums
-    that both frames build up row by row, so dense sensors cost no more per row than sparse ones.
-    Should some bucket hold more than ``max_bucket_rows`` rows, a sweep that needs no repeated rows and
-    splits at any time takes over. Readings have to be finite; rows without time or key get no mean.
+    A window is the rest of the slot in which it begins, the whole slots after it, and the start of the row's own slot.
+    Each part is a sum that only grows, over the readings of one slot or over a table of one row per slot, so no reading
+    outside the window ever touches its mean, and a row costs the same in a dense series as in a sparse one. Slots of
+    ``slot_minutes`` (a divisor of 60) and buckets of slots bound what one task sorts. A missing reading, NaN included,
+    counts for nothing; rows without time or key get no mean.
     """
-    columns = df.columns
-    width_us = bucket_hours * HOUR_US
-    timed = _bucketed(df, ts, keys, columns, width_us, None)
-    if max_bucket_rows is not None and _dense_buckets(timed, keys, max_bucket_rows) is not None:
-        out = _rolling_sweep(timed.drop("_bucket"), hours, value, keys, columns, width_us, max_bucket_rows)
-    else:
-        out = _rolling_repeated(timed, hours, value, keys, width_us)
-    return out.select(*columns, *[f"{value}_mean_{h}h" for h in hours])
-
-
-def _rolling_repeated(timed: DataFrame, hours: Sequence[int], value: str, keys: Sequence[str],
-                      width_us: int) -> DataFrame:
-    reach = max(hours) * HOUR_US
-    last = F.coalesce(floor_div(F.col("_us") + F.lit(reach), width_us), F.col("_own"))
-    out = (timed.withColumnRenamed("_bucket", "_own")
-                .withColumn("_bucket", F.explode(F.sequence(F.col("_own"), last))))
-    part = W.partitionBy(*keys, "_bucket").orderBy("_us")
-    v = F.col(value).cast("double")
-
-    def until(back_us: int) -> tuple[Column, Column]:
-        """Sum and count of the readings at least ``back_us`` old: a frame that only grows."""
-        frame = part.rangeBetween(W.unboundedPreceding, -back_us)
-        return F.coalesce(F.sum(v).over(frame), F.lit(0.0)), F.count(v).over(frame)
-
-    total, rows = until(1)
-    out = out.withColumn("_sum", total).withColumn("_rows", rows)
+    if slot_minutes < 1 or 60 % slot_minutes:
+        raise ValueError("slot_minutes must divide an hour")
+    columns, slot_us = df.columns, slot_minutes * 60_000_000
+    per_hour = 60 // slot_minutes
+    rows = _bucketed(df, ts, keys, columns, slot_us, None).withColumnRenamed("_bucket", "_slot")
+    v = null_if_nan(F.col(value).cast("double"))
+    rows = rows.withColumn("_v", F.when(F.col("_us").isNotNull(), v))
+
+    # whole slots before each slot, from one row per slot; slots near a bucket's end are repeated in the next ones
+    slots = (rows.where("_us is not null").groupBy(*keys, "_slot")
+             .agg(F.coalesce(F.sum("_v"), F.lit(0.0)).alias("_s"), F.count("_v").alias("_n")))
+    width, reach = bucket_hours * per_hour, max(hours) * per_hour
+    own = floor_div(F.col("_slot"), width)
+    spread = slots.withColumn("_own", own).withColumn(
+        "_bucket", F.explode(F.sequence("_own", floor_div(F.col("_slot") + F.lit(reach), width))))
+    near = W.partitionBy(*keys, "_bucket").orderBy("_slot")
     for h in hours:
-        old_total, old_rows = until(h * HOUR_US + 1)
-        n = F.col("_rows") - old_rows
-        mean = F.when((n > 0) & F.col("_us").isNotNull(), (F.col("_sum") - old_total) / n)
-        out = out.withColumn(f"{value}_mean_{h}h", mean)
-    return out.where(F.col("_own") == F.col("_bucket"))
-
-
-def _rolling_sweep(timed: DataFrame, hours: Sequence[int], value: str, keys: Sequence[str], columns: Sequence[str],
-                   width_us: int, max_rows: int) -> DataFrame:
-    """Every reading enters all windows at its time and leaves the ``h`` window ``h`` hours later.
-
-    The running sum of these changes is the content of a window at any moment. Buckets start from the
-    sum of all changes before them, taken from a table of one row per bucket.
-    """
-    us = F.col("_us")
-    counted = F.col(value).isNotNull() & us.isNotNull()
-    v = F.when(counted, F.col(value).cast("double")).otherwise(0.0)
-    one = counted.cast("long")
-    sums, counts = [f"_s{h}" for h in hours], [f"_n{h}" for h in hours]
-
-    def change(at: Column, real: bool, sign: int, touched: Sequence[int]) -> Column:
-        return F.struct(
-            at.alias("at"), F.lit(real).alias("real"),
-            *[(v * sign if h in touched else F.lit(0.0)).alias(f"s{h}") for h in hours],
-            *[(one * sign if h in touched else F.lit(0).cast("long")).alias(f"n{h}") for h in hours])
-
-    changes = timed.withColumn("_c", F.explode(F.array(
-        change(us, True, 1, hours), *[change(us + F.lit(h * HOUR_US), False, -1, [h]) for h in hours])))
-    changes = changes.where(F.col("_c.real") | us.isNotNull())
-    payload = [c for c in columns if c not in keys]
-    changes = changes.select(
-        *keys, *[F.when(F.col("_c.real"), F.col(c)).alias(c) for c in payload],
-        F.col("_c.at").alias("_us"), F.col("_c.real").alias("_real"),
-        *[F.col(f"_c.s{h}").alias(f"_s{h}") for h in hours], *[F.col(f"_c.n{h}").alias(f"_n{h}") for h in hours])
-    placed = _with_buckets(changes, keys, columns, width_us, max_rows)
-
-    earlier = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    per_bucket = placed.groupBy(*keys, "_bucket").agg(*[F.sum(c).alias(c) for c in [*sums, *counts]])
-    opening = per_bucket.select(*keys, "_bucket", F.lit(-(1 << 62)).alias("_us"), F.lit(False).alias("_real"),
-                                *[F.sum(c).over(earlier).alias(c) for c in [*sums, *counts]])
-    before = W.partitionBy(*keys, "_bucket").orderBy("_us").rangeBetween(W.unboundedPreceding, -1)
-    out = placed.unionByName(opening, allowMissingColumns=True)
+        frame = near.rangeBetween(1 - h * per_hour, -1)
+        spread = spread.withColumn(f"_s{h}", F.coalesce(F.sum("_s").over(frame), F.lit(0.0))).withColumn(
+            f"_n{h}", F.coalesce(F.sum("_n").over(frame), F.lit(0)))
+    whole = (spread.where(F.col("_own") == F.col("_bucket"))
+             .select(*keys, "_slot", *[f"_{c}{h}" for h in hours for c in "sn"]))
+
+    # a copy of each reading, h hours later, meets the rows whose window begins in its slot
+    late = F.filter(F.array(*[F.lit(h) for h in (0, *hours)]), lambda h: (h == 0) | F.col("_v").isNotNull())
+    placed = (rows.withColumn("_late", F.explode(late))
+              .withColumn("_slot", F.col("_slot") + F.col("_late") * per_hour)
+              .withColumn("_us", F.col("_us") + F.col("_late").cast("long") * F.lit(HOUR_US)))
+    slot = W.partitionBy(*keys, "_slot").orderBy("_us")
+
+    def part(late_by: int, frame) -> tuple[Column, Column]:
+        mine = F.when(F.col("_late") == late_by, F.col("_v"))
+        return F.coalesce(F.sum(mine).over(frame), F.lit(0.0)), F.count(mine).over(frame)
+
+    head, n_head = part(0, slot.rangeBetween(W.unboundedPreceding, -1))
+    out = placed.withColumn("_head", head).withColumn("_n_head", n_head)
+    backwards = W.partitionBy(*keys, "_slot").orderBy(F.desc("_us")).rangeBetween(W.unboundedPreceding, W.currentRow)
+    for h in hours:
+        tail, n_tail = part(h, backwards)
+        out = out.withColumn(f"_tail{h}", tail).withColumn(f"_n_tail{h}", n_tail)
+    out = out.where(F.col("_late") == 0).join(whole, [*keys, "_slot"], "left")
     for h in hours:
-        n = F.sum(f"_n{h}").over(before)
-        out = out.withColumn(f"{value}_mean_{h}h",
-                             F.when((n > 0) & F.col("_us").isNotNull(), F.sum(f"_s{h}").over(before) / n))
-    return out.where("_real")
+        n = F.col("_n_head") + F.col(f"_n_tail{h}") + F.coalesce(f"_n{h}", F.lit(0))
+        total = F.col("_head") + F.col(f"_tail{h}") + F.coalesce(f"_s{h}", F.lit(0.0))
+        out = out.withColumn(f"{value}_mean_{h}h", F.when((n > 0) & F.col("_us").isNotNull(), total / n))
+    return out.select(*columns, *[f"{value}_mean_{h}h" for h in hours])

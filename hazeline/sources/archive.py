@@ -28,9 +28,9 @@ ON_BAD = ("fail_file", "skip_row", "permissive")
 HEADER_CELL = re.compile(r"^(date|sensor|pm|time)")
 # a comma outside double quotes
 _UNQUOTED_COMMA = ',(?=(?:[^"]*"[^"]*")*[^"]*$)'
-_TEXT_COLUMNS = {"timestamp", "date", "datetime", "time", "parameter", "title", "location_name", "provider",
-                 "district_slug", "sensor_type", "type", "param"}
-_KEY_COLUMNS = {"sensor_id", "id", "station_id"}
+_NUMBER_COLUMNS = {"latitude", "longitude", "altitude", "temperature", "humidity", "pressure"}
+_NUMBER_FORM = re.compile(r"^(pm|p)[0-9]", re.I)
+_KEY_COLUMNS = {"sensor_id", "id"}
 
 
 def file_inventory(spark: SparkSession, measurements_dir: str) -> DataFrame:
@@ -82,12 +82,18 @@ def _token_count(line: Column) -> Column:
 
 
 def _typed(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Cast what the archive knows to be numeric; unreadable cells and NaN become NULL."""
+    """Cast what is known to be numeric, and leave every other column as text.
+
+    Ids go straight to long, so that no digit is lost; ``12.0`` is read as 12. Unreadable cells and NaN become NULL.
+    """
     def cast(name: str) -> Column:
-        if name in _TEXT_COLUMNS:
-            return quoted(name)
-        number = null_if_nan(quoted(name).try_cast("double"))
-        return (number.try_cast("long") if name in _KEY_COLUMNS else number).alias(name)
+        text = quoted(name)
+        if name in _KEY_COLUMNS:
+            whole = F.regexp_extract(text, r"^\s*([-+]?[0-9]+)(?:\.0*)?\s*$", 1)
+            return whole.try_cast("long").alias(name)
+        if name in _NUMBER_COLUMNS or _NUMBER_FORM.match(name):
+            return null_if_nan(text.try_cast("double")).alias(name)
+        return text
     kept = [c for c in df.columns if c not in columns]
     return df.select(*[cast(c) for c in columns], *kept)
 
@@ -204,6 +210,10 @@ class Archive:
                 raise FileNotFoundError(f"sensors file not found: {self.sensors_file}") from err
             raise
         typed = _typed(raw, raw.columns)
+        if "station_id" in typed.columns:  # numbers if all are, else text such as "ST-1"
+            whole = quoted("station_id").try_cast("long")
+            if not typed.where(whole.isNull() & quoted("station_id").isNotNull()).head(1):
+                typed = typed.withColumn("station_id", whole)
         if variant == "legacy":
             if "sensor_id" in typed.columns:
                 typed = keep_first(typed, ["sensor_id"], [c for c in typed.columns if c != "sensor_id"])
@@ -252,15 +262,20 @@ class Archive:
         return self.measurements_tolerant(year, year, [month], nrows)
 
     def recent(self, days: int = 30, as_of=None, ordered: bool = True) -> DataFrame:
-        """The newest three files, cut to the last ``days`` days before ``as_of`` (default: now)."""
-        newest = (self.inventory().where(F.col("year").isNotNull() & F.col("month").isNotNull())
-                  .orderBy(F.desc("year"), F.desc("month")).limit(3))
-        paths = [r["path"] for r in newest.select("path").collect()]
-        if not paths:
+        """The last ``days`` days up to ``as_of`` (default: now), from the files of all months they touch."""
+        end = F.current_timestamp() if as_of is None else as_of if isinstance(as_of, Column) else F.lit(as_of)
+        files = self.inventory().where(F.col("year").isNotNull() & F.col("month").isNotNull())
+        if files.isEmpty():
             raise ValueError("no measurement files found")
+        month = F.make_date("year", "month", F.lit(1))
+        touched = files.where(month.between(F.trunc(end - F.make_dt_interval(F.lit(days)), "month"), F.to_date(end)))
+        paths = [r["path"] for r in touched.orderBy("year", "month").select("path").collect()]
+        if not paths:  # the columns of the newest file, without rows
+            newest = files.orderBy(F.desc("year"), F.desc("month")).select("path").head(1)
+            paths = [r["path"] for r in newest]
         rows = parse_time(scan_csv(self.spark, paths, "fail_file").drop("_file"), "legacy", strict=False)
         if "date" in rows.columns:
-            rows = since(rows, F.current_timestamp() if as_of is None else as_of, days)
+            rows = since(rows, end, days)
         return rows.orderBy("date", "sensor_id") if ordered and "date" in rows.columns else rows
 
     def pm25(self, years=2025, months: Sequence[int] | None = None, sensors: Sequence[int] | None = None,

@@ -9,8 +9,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 def write_measurements(df: DataFrame, path: str, partitions: Sequence[str] = ("year", "month"),
                        mode: str = "overwrite") -> None:
-    """Parquet partitioned by period; the rebalance hint splits big months and merges small ones."""
-    df.hint("rebalance", *partitions).write.mode(mode).partitionBy(*partitions).parquet(path)
+    """Parquet partitioned by period; the rebalance hint splits big months and merges small ones.
+
+    Overwriting replaces the periods that ``df`` holds and leaves all others as they are.
+    """
+    (df.hint("rebalance", *partitions).write.mode(mode).option("partitionOverwriteMode", "dynamic")
+     .partitionBy(*partitions).parquet(path))
 
 
 def read_measurements(spark: SparkSession, path: str) -> DataFrame:

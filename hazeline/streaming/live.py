@@ -72,15 +72,19 @@ def run_snapshots(stream: DataFrame, path: str, checkpoint: str) -> None:
 
 
 def latest_snapshot_table(spark: SparkSession, path: str) -> DataFrame:
-    """The state written by the newest micro-batch."""
+    """The state written by the newest micro-batch; without one, an error that says so."""
     states = spark.read.parquet(path)
     return states.where(F.col("batch") == states.agg(F.max("batch")).scalar()).drop("batch")
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A Parquet table replayed as a file stream."""
-    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    path = f"{sf_dir}/{name}.parquet"
+    batch = spark.read.parquet(path)
+    stream = spark.readStream.schema(batch.schema)
+    if f"/{name}.parquet/" in (batch.inputFiles() or [""])[0]:
+        return stream.parquet(path)  # a folder of part files
+    return stream.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
 def replay_latest(stream: DataFrame, **kwargs) -> DataFrame:

@@ -185,8 +185,8 @@ def test_tolerant_dataset_and_sample(archive):
 def test_recent(archive):
     as_of = dt.datetime(2025, 5, 2)
     assert archive.recent(30, as_of).count() == 1
-    # files 06, 05 and 04 are the newest; 04 is rejected, 06 has another delimiter
-    assert archive.recent(3650, as_of).where("sensor_id = 41").count() == 1
+    # every month in reach is read: 04 is rejected, 06 has another delimiter, the others hold four rows
+    assert archive.recent(3650, as_of).where("sensor_id = 41").count() == 4
 
 
 def test_headerless_file(spark, tmp_path):
@@ -255,3 +255,34 @@ def test_report_sink_keeps_line_order(spark, tmp_path):
     assert got == [f"l{i}" for i in sorted(range(200), key=lambda i: (i % 20, i))]
     sinks.write_table(lines, str(tmp_path / "t"))
     assert spark.read.parquet(str(tmp_path / "t")).count() == 200
+
+
+def test_unknown_text_and_large_ids_survive(spark, tmp_path):
+    (tmp_path / "measurements").mkdir()
+    (tmp_path / "measurements" / "measurements_2025_01.csv").write_text(
+        "SET\ntimestamp,sensor_id,pm2.5,note\n2025-01-01 00:00:00,9007199254740993,5.5,windy\n")
+    (tmp_path / "sensors.csv").write_text("id,station_id,model,city\n9007199254740993,ST-1,X200,Graz\n")
+    row = Archive(spark, str(tmp_path)).pm25(2025).collect()[0]
+    assert (row["sensor_id"], row["note"], row["station_id"], row["model"], row["city"]) == (
+        9007199254740993, "windy", "ST-1", "X200", "Graz")
+
+
+def test_recent_reads_every_month_it_needs(spark, tmp_path):
+    (tmp_path / "measurements").mkdir()
+    for month in range(1, 13):
+        (tmp_path / "measurements" / f"measurements_2024_{month:02d}.csv").write_text(
+            f"SET\ntimestamp,sensor_id,pm2.5\n2024-{month:02d}-15 00:00:00,1,5.0\n")
+    archive = Archive(spark, str(tmp_path))
+    assert archive.recent(365, F.lit("2024-12-31").cast("timestamp")).count() == 12
+    assert archive.recent(40, F.lit("2024-06-20").cast("timestamp")).count() == 2
+
+
+def test_second_ingest_keeps_other_periods(spark, tmp_path):
+    (tmp_path / "measurements").mkdir()
+    for year in (2023, 2024):
+        (tmp_path / "measurements" / f"measurements_{year}_01.csv").write_text(
+            f"SET\ntimestamp,sensor_id,pm2.5\n{year}-01-15 00:00:00,1,5.0\n")
+    archive, out = Archive(spark, str(tmp_path)), str(tmp_path / "out")
+    archive.ingest((2023, 2024), out)
+    archive.ingest(2024, out)
+    assert spark.read.parquet(out).count() == 2

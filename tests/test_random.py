@@ -64,9 +64,8 @@ def test_fill_equals_pandas(spark, method, bucket_hours, keys):
 @pytest.mark.parametrize("bucket_hours", [2, 24, 24 * 400])
 def test_rolling_equals_pandas(spark, bucket_hours):
     pdf = readings(5).dropna()
-    # with 24 hours per bucket some are over the limit, so the sweep runs
     got = rolling_means(to_spark(spark, pdf), (3, 6), ts="date", bucket_hours=bucket_hours,
-                        max_bucket_rows=20 if bucket_hours == 24 else None)
+                        slot_minutes=5 if bucket_hours == 24 else 60)
     assert got.count() == len(pdf)
     got = got.toPandas().set_index("i").sort_index()
     for h in (3, 6):
@@ -80,12 +79,24 @@ def test_rolling_keeps_rows_without_time(spark):
     assert [r["pm25_mean_3h"] for r in rolling_means(df).collect()] == [None, None]
     pdf = readings(6, 400)
     some = to_spark(spark, pdf).withColumn("date", F.when(F.col("i") % 9 > 0, F.col("date")))
-    swept = rolling_means(some, ts="date", max_bucket_rows=3)
-    repeated = rolling_means(some, ts="date", max_bucket_rows=None)
+    narrow = rolling_means(some, ts="date", slot_minutes=1)
+    wide = rolling_means(some, ts="date", slot_minutes=60, bucket_hours=1)
     def means(df):
         return df.toPandas().set_index("i").sort_index()[["pm25_mean_3h", "pm25_mean_6h"]].to_numpy(float)
-    np.testing.assert_allclose(means(swept), means(repeated), rtol=1e-9)
-    assert swept.columns == repeated.columns
+    np.testing.assert_allclose(means(narrow), means(wide), rtol=1e-9)
+    assert narrow.columns == wide.columns == [*some.columns, "pm25_mean_3h", "pm25_mean_6h"]
+
+
+def test_rolling_forgets_a_spike_and_ignores_nan(spark):
+    rows = [(1, f"2025-01-{1 + i // 144:02d} {i // 6 % 24:02d}:{i % 6 * 10:02d}:00", 0.1) for i in range(300)]
+    rows[0] = (*rows[0][:2], 1e17)
+    rows[100] = (*rows[100][:2], float("nan"))
+    df = spark.createDataFrame(rows, "sensor_id int, t string, pm25 double").select(
+        "sensor_id", F.to_timestamp("t").alias("datetime"), "pm25")
+    for bucket_hours in (1, 24, 2400):
+        got = rolling_means(df, bucket_hours=bucket_hours).orderBy("datetime").collect()
+        assert all(abs(r["pm25_mean_3h"] - 0.1) < 1e-12 and abs(r["pm25_mean_6h"] - 0.1) < 1e-12 for r in got[37:])
+        assert got[1]["pm25_mean_3h"] == 1e17
 
 
 @pytest.mark.parametrize("keys", [[], ["sensor_id"]])

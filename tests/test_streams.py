@@ -52,3 +52,13 @@ def test_hourly_files(spark, tmp_path):
     stream = live.hourly_file_stream(spark, str(tmp_path / "land"), ["timestamp", "sensor_id", "pm2.5"])
     out = {r["sensor_id"]: r["pm25"] for r in live.replay_latest(stream).collect()}
     assert out == {41: None, 45: 3.0}
+
+
+def test_a_folder_of_part_files_streams_like_one_file(spark, tmp_path):
+    from hazeline.streaming.live import table_stream
+
+    spark.read.parquet("/root/testdata/sf0.001/events.parquet").limit(40).repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    stream = table_stream(spark, str(tmp_path), "events")
+    query = stream.writeStream.format("memory").queryName("folder_stream").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert spark.table("folder_stream").count() == 40
