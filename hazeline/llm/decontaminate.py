@@ -23,6 +23,7 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hazeline.llm.bits import bit_table, in_table
+from hazeline.llm.names import unused
 from hazeline.session import materialized
 
 WINDOW, SHINGLE = 13, 3
@@ -143,8 +144,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that are not contaminated, with their own columns."""
     rows = docs.select(F.struct(*text_keys()).alias("doc_id"), "text")
+    a, b, bad_a, bad_b = unused(docs.columns, "__a", "__b", "__k1", "__k2")
     bad = contamination(rows, benchmark).where("contaminated").select(
-        F.col("doc_id.k1").alias("__k1"), F.col("doc_id.k2").alias("__k2")).distinct()
+        F.col("doc_id.k1").alias(bad_a), F.col("doc_id.k2").alias(bad_b)).distinct()
     k1, k2 = text_keys()
-    return (docs.withColumns({"__a": k1, "__b": k2})
-            .join(bad, F.expr("__a = __k1 and __b = __k2"), "left_anti").select(docs.columns))
+    return (docs.withColumns({a: k1, b: k2})
+            .join(bad, (F.col(a) == F.col(bad_a)) & (F.col(b) == F.col(bad_b)), "left_anti").select(docs.columns))

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from hazeline.llm.bits import bit_table, in_table
 from hazeline.llm.components import components
+from hazeline.llm.names import unused
 from hazeline.llm.spans import U64, mixed, shingle_sets, slices
 from hazeline.llm.superminhash import signatures
 from hazeline.session import materialized
@@ -231,11 +232,11 @@ def one_of_each_group(docs: DataFrame, percent: int = 85, k: int = 5) -> DataFra
     """
     both = F.struct("doc_id", F.xxhash64("text").alias("key"))
     found = near_duplicates(docs.select(both.alias("doc_id"), "text"), percent, k)
+    mine, other, key = unused(docs.columns, "__key", "__id", "__of")
     stay = found.where("kept and n_shingles > 0").select("doc_id").distinct().select(
-        F.col("doc_id.doc_id").alias("__id"), F.col("doc_id.key").alias("__key"))
+        F.col("doc_id.doc_id").alias(other), F.col("doc_id.key").alias(key))
     words = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    keyed = docs.withColumn("__key", F.xxhash64("text"))
-    first = (keyed.where(words).join(stay.withColumnRenamed("__key", "__of"),
-                                     F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__of")), "left_semi")
-             .dropDuplicates(["doc_id", "__key"]).select(docs.columns))
+    keyed = docs.withColumn(mine, F.xxhash64("text"))
+    first = (keyed.where(words).join(stay, F.col("doc_id").eqNullSafe(F.col(other)) & (F.col(mine) == F.col(key)), "left_semi")
+             .dropDuplicates(["doc_id", mine]).select(docs.columns))
     return first.unionAll(docs.where(~words))

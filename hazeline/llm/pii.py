@@ -23,6 +23,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from hazeline.llm.names import unused
 from hazeline.session import materialized
 
 KINDS = ("email", "ip", "card", "phone", "secret", "ssn", "iban", "address")
@@ -231,9 +232,12 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
 def redacted(docs: DataFrame) -> DataFrame:
     """docs with every span replaced by its kind in brackets and n_chars counted anew; null texts stay null."""
-    found = candidates(docs.select("text"))
-    rows = candidates(docs.withColumn("__null", F.col("text").isNull()))
-    kept = rows.withColumn("__kept", _kept(learned(found)))
+    blank, kept_name, new, found_name = unused([*docs.columns, "found"], "__null", "__kept", "__new", "__found")
+    classifier = learned(candidates(docs.select("text")))
+    own = docs.withColumnRenamed("found", found_name) if "found" in docs.columns else docs
+    kept = candidates(own.withColumn(blank, F.col("text").isNull())).withColumn(kept_name, _kept(classifier)).drop("found")
+    if "found" in docs.columns:
+        kept = kept.withColumnRenamed(found_name, "found")
 
     def merged(spans: Column) -> Column:
         start = F.expr("cast(array() as array<struct<start:int,end:int,kind:int>>)")
@@ -255,11 +259,11 @@ def redacted(docs: DataFrame) -> DataFrame:
         last = F.get(spans, F.size(spans) - 1)["end"]
         return F.concat(F.array_join(pieces, ""), F.substring(F.col("text"), last + 1, F.char_length("text") - last))
 
-    text = F.when(F.col("__null"), None).when(F.size("__kept") == 0, F.col("text")).otherwise(
-        _bound(merged(F.col("__kept")), rewritten))
-    out = kept.withColumn("__new", text)
-    changes = {"text": F.col("__new")}
+    text = F.when(F.col(blank), None).when(F.size(kept_name) == 0, F.col("text")).otherwise(
+        _bound(merged(F.col(kept_name)), rewritten))
+    out = kept.withColumn(new, text)
+    changes = {"text": F.col(new)}
     if "n_chars" in docs.columns:
-        changes["n_chars"] = F.when(F.size("__kept") == 0, F.col("n_chars")).otherwise(
-            F.char_length("__new").cast(docs.schema["n_chars"].dataType))
+        changes["n_chars"] = F.when(F.size(kept_name) == 0, F.col("n_chars")).otherwise(
+            F.char_length(new).cast(docs.schema["n_chars"].dataType))
     return out.withColumns(changes).select(docs.columns)

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from hazeline.llm.names import unused
 from hazeline.llm.spans import BYTE_VALUES, range_hashes, slices
 
 SAMPLE = 20_000
@@ -154,35 +155,36 @@ def learned(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
     return fitted([x.values.to_numpy() for x in rows["words"]], rows["toxic"].to_numpy().astype(float))
 
 
-def _scored(shared):
+def _scored(shared, text: str, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(*shared.value)
         for batch in batches:
-            at = batch.schema.names.index("__text")
+            at = batch.schema.names.index(text)
             parts = [model.scores(data, bounds) for _, _, data, bounds in slices(batch.column(at))]
             score = pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
             columns = [c for i, c in enumerate(batch.columns) if i != at]
             names = [c for i, c in enumerate(batch.schema.names) if i != at]
-            yield pa.RecordBatch.from_arrays([*columns, score], [*names, "__score"])
+            yield pa.RecordBatch.from_arrays([*columns, score], [*names, name])
     return run
 
 
-def scored(rows: DataFrame, text: str, model: Model) -> DataFrame:
-    """rows with the score of the text column as the last column, ``__score``."""
+def scored(rows: DataFrame, text: str, model: Model) -> tuple[DataFrame, str]:
+    """rows with the score of the text column as the last column, and that column's name."""
     shared = rows.sparkSession.sparkContext.broadcast((model.weights, model.intercept))  # BUCKETS numbers, whatever the corpus
-    fields = StructType([*rows.schema.fields, StructField("__score", DoubleType())])
-    return rows.withColumn("__text", F.col(text)).mapInArrow(_scored(shared), fields)
+    copy, score = unused(rows.columns, "__text", "__score")
+    fields = StructType([*rows.schema.fields, StructField(score, DoubleType())])
+    return rows.withColumn(copy, F.col(text)).mapInArrow(_scored(shared, copy, score), fields), score
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score and predicted for each row of docs (doc_id, text)."""
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     rows = docs.select("doc_id", held.alias("held_out"), F.col("text").alias("body"))
-    found = scored(rows, "body", learned(docs, labels, most))
-    return found.select("doc_id", "held_out", F.col("__score").alias("score"),
-                        (F.col("__score") >= 0.5).cast("int").alias("predicted"))
+    found, score = scored(rows, "body", learned(docs, labels, most))
+    return found.select("doc_id", "held_out", F.col(score).alias("score"), (F.col(score) >= 0.5).cast("int").alias("predicted"))
 
 
 def without_toxic(docs: DataFrame, original: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
     """The rows of docs that the model, learned from the original documents, does not call toxic."""
-    return scored(docs, "text", learned(original, labels, most)).where("__score < 0.5").drop("__score")
+    found, score = scored(docs, "text", learned(original, labels, most))
+    return found.where(F.col(score) < 0.5).drop(score)
