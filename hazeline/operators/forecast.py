@@ -23,9 +23,10 @@ def seasonal_forecast(df: DataFrame, hours: int = 24, noise_sd: float = NOISE_SD
     Step i < 24 is the i-th of the last 24 readings times (1 + noise); later steps are 0.95 of the
     previous forecast plus 0.05 of the mean. Every step is rounded to one decimal and not below zero,
     and the next step starts from the rounded value. Sensors with fewer than 24 readings get none.
-    ``hours`` is clamped to 1..48. Times count from the sensor's last reading.
+    Times count from the sensor's last reading. ``hours`` outside 1..48 is an error: further steps would be the mean.
     """
-    hours = min(max(hours, 1), 48)
+    if not 1 <= hours <= 48:
+        raise ValueError("hours must lie between 1 and 48")
     recent = latest_n(df.select(key, ts, *tie, value).where(F.col(value).isNotNull()), HISTORY, ts, tie, (key,))
     # 24 entries at most per sensor
     history = (recent.groupBy(key)

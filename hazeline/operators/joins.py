@@ -66,17 +66,20 @@ def union_by_name(*frames: DataFrame) -> DataFrame:
 
 
 def live_or_archive(requested: DataFrame, live: DataFrame, archive_mean: DataFrame,
-                    key: str = "sensor_id", value: str = "pm25") -> DataFrame:
+                    key: str = "sensor_id", value: str = "pm25", carry: Sequence[str] = ()) -> DataFrame:
     """Live value if there is one, else the archive mean; ``source`` says which; neither drops the row.
 
-    ``live`` and ``archive_mean`` hold one row per sensor, so both joins move per-sensor rows only.
+    ``live`` and ``archive_mean`` hold one row per sensor, so both joins move per-sensor rows only. Columns in
+    ``carry``, such as the time, come from the same side as the value.
     """
     # a live row wins even when its value is missing: only an absent row falls back
-    now = live.select(key, F.col(value).alias("_live"), F.lit(True).alias("_is_live"))
-    past = archive_mean.select(key, F.col(value).alias("_past"))
+    now = live.select(key, F.col(value).alias("_live"), F.lit(True).alias("_is_live"),
+                      *[F.col(c).alias(f"_live_{c}") for c in carry])
+    past = archive_mean.select(key, F.col(value).alias("_past"), *[F.col(c).alias(f"_past_{c}") for c in carry])
     joined = requested.join(now, key, "left").join(past, key, "left")
     is_live = F.coalesce(F.col("_is_live"), F.lit(False))
     return (joined.where(is_live | F.col("_past").isNotNull())
                   .withColumn(value, F.when(is_live, F.col("_live")).otherwise(F.col("_past")))
                   .withColumn("source", F.when(is_live, "LIVE").otherwise("FILE"))
-                  .drop("_live", "_past", "_is_live"))
+                  .withColumns({c: F.when(is_live, F.col(f"_live_{c}")).otherwise(F.col(f"_past_{c}")) for c in carry})
+                  .drop("_live", "_past", "_is_live", *[f"_{side}_{c}" for side in ("live", "past") for c in carry]))

@@ -49,10 +49,10 @@ def latest_n(df: DataFrame, n: int = 24, ts: str = "datetime", tie: Sequence[str
 
 def last_observed_days(df: DataFrame, days: int = 7, keys: Sequence[str] = ("sensor_id",), value: str = "pm25",
                        day: str = "date") -> DataFrame:
-    """A3 + W4: daily means of the last ``days`` days that have data (at most 30)."""
+    """A3 + W4: daily means of the last ``days`` days that have data."""
     means = daily_mean(df, keys, value, day)
     order = W.partitionBy(*keys).orderBy(F.desc(day))
-    return means.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= min(days, 30)).drop("_rn")
+    return means.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= days).drop("_rn")
 
 
 def first_n_per_group(df: DataFrame, n: int, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -18,8 +18,14 @@ BUCKETS_PER_OCTAVE = 1 << 15
 
 
 def value_counts(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
-    """(keys, value, n) over present values; rows with a missing key drop out, as in a pandas group-by."""
+    """(keys, value, n) over present values; rows with a missing key drop out, as in a pandas group-by.
+
+    Missing keys are dropped by name: a later join on them then adds no filter of its own, and the passes over
+    these counts share one shuffle.
+    """
     present = df.where(F.col(value).isNotNull())
+    for key in keys:
+        present = present.where(F.col(key).isNotNull())
     if keys:
         present = present.dropna(subset=list(keys))
     return present.groupBy(*keys, F.col(value).cast("double").alias("value")).agg(F.count(F.lit(1)).alias("n"))
@@ -52,7 +58,8 @@ def quantiles_from_counts(counts: DataFrame, probs: Mapping[str, float], keys: S
     if not keys:
         counts = counts.withColumn("_all", F.lit(0))
     levels = list(dict.fromkeys(probs.values()))
-    binned = counts.withColumn("bucket", _bucket(F.col("value")))
+    # the filter removes nothing; it spares the join below one, which would keep the shuffle from being reused
+    binned = counts.withColumn("bucket", _bucket(F.col("value"))).where(F.col("bucket").isNotNull())
 
     sizes = binned.groupBy(*group, "bucket").agg(F.sum("n").alias("n"))
     sizes = (sizes.withColumn("total", F.sum("n").over(W.partitionBy(*group)))

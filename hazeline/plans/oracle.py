@@ -278,33 +278,35 @@ SELECT event_id, sensor_id, pm25 FROM m UNION ALL BY NAME
 SELECT datetime, sensor_id, pm25, l_orderkey AS order_id FROM b""")
 
 LIVE = """x AS (SELECT *, CAST(datetime AS DATE) AS date, max(CAST(datetime AS DATE)) OVER () AS last FROM m),
-live AS (SELECT sensor_id, arg_max(pm25, datetime) AS pm25 FROM x WHERE date = last GROUP BY 1),
+live AS (SELECT sensor_id, arg_max(pm25, datetime) AS pm25, max(datetime) AS datetime FROM x WHERE date = last GROUP BY 1),
 past AS (SELECT * FROM x WHERE date < last)"""
 
 
 def fallback(past: str) -> str:
     return f"""SELECT c_custkey AS sensor_id, coalesce(l.pm25, o.pm25) AS pm25,
-CASE WHEN l.sensor_id IS NOT NULL THEN 'LIVE' ELSE 'FILE' END AS source FROM customer
+CASE WHEN l.sensor_id IS NOT NULL THEN 'LIVE' ELSE 'FILE' END AS source,
+CASE WHEN l.sensor_id IS NOT NULL THEN l.datetime ELSE o.datetime END AS datetime, n_name AS district FROM customer
+LEFT JOIN supplier ON c_custkey = s_suppkey LEFT JOIN nation ON s_nationkey = n_nationkey
 LEFT JOIN live l ON c_custkey = l.sensor_id LEFT JOIN ({past}) o ON c_custkey = o.sensor_id
 WHERE l.sensor_id IS NOT NULL OR o.sensor_id IS NOT NULL"""
 
 
-PAST_MEAN = "SELECT sensor_id, avg(pm25) AS pm25 FROM past GROUP BY 1"
-PAST_NEWEST = "SELECT sensor_id, arg_max(pm25, datetime) AS pm25 FROM past GROUP BY 1"
-PAST_24 = """SELECT sensor_id, avg(pm25) AS pm25 FROM (SELECT *, row_number() OVER (PARTITION BY sensor_id
+PAST_MEAN = "SELECT sensor_id, avg(pm25) AS pm25, NULL AS datetime FROM past GROUP BY 1"
+PAST_NEWEST = "SELECT sensor_id, arg_max(pm25, datetime) AS pm25, max(datetime) AS datetime FROM past GROUP BY 1"
+PAST_24 = """SELECT sensor_id, avg(pm25) AS pm25, NULL AS datetime FROM (SELECT *, row_number() OVER (PARTITION BY sensor_id
 ORDER BY datetime DESC, event_id DESC) AS rn FROM past) WHERE rn <= 24 GROUP BY 1"""
 ORACLE["live_or_archive"] = using("m", f"""
 , {LIVE}, t AS ({fallback(PAST_MEAN)}) SELECT sensor_id, {rd(_v)} AS pm25, source FROM t""")
 ORACLE["current_quality"] = using("m", f"""
 , {LIVE}, t AS ({fallback(PAST_NEWEST)}),
 c AS (SELECT avg(pm25) AS a, max(pm25) AS b, min(pm25) AS c, count(*) AS n FROM live WHERE pm25 <> 0)
-SELECT sensor_id, {rd(_v)} AS pm25, source, {band(_v)} AS risk_level, {message(_v)} AS risk_message,
+SELECT sensor_id, district, datetime, {rd(_v)} AS pm25, source, {band(_v)} AS risk_level, {message(_v)} AS risk_message,
 {", ".join(f"{excess(_v, c)} AS {n}_excess_pct" for n, c, _ in K.RISK_COEFFICIENTS if n in K.SHORT_OUTCOMES)},
 {recommend(_v)} AS recommendation, {rd('a')} AS avg_pm25, {rd('b')} AS max_pm25, {rd('c')} AS min_pm25,
 n AS sensor_count FROM t, c""")
 ORACLE["compare_sensors"] = using("ms", f"""
 , {LIVE}, t AS ({fallback(PAST_24)})
-SELECT sensor_id, {rd(_v)} AS pm25, source, {band(_v)} AS risk_level FROM t
+SELECT sensor_id, district, {rd(_v)} AS pm25, source, {band(_v)} AS risk_level FROM t
 WHERE sensor_id IN (SELECT sensor_id FROM s)""")
 
 ORACLE["dedup_rows"] = using("d", "SELECT DISTINCT * FROM d")

@@ -58,7 +58,13 @@ def _live_and_archive(spark, d):
     m = _dated(spark, d)
     last_day = m.agg(F.max("date")).scalar()
     live = latest_per_sensor(m.where(F.col("date") == last_day), tie=TIE)
-    return live.select("sensor_id", "pm25"), m.where(F.col("date") < last_day).drop("date", "hour")
+    return live.select("sensor_id", "pm25", "datetime"), m.where(F.col("date") < last_day).drop("date", "hour")
+
+
+def _with_district(spark, d):
+    """Customers as the sensors asked for; those that are suppliers have a district."""
+    districts = S.sensors(spark, d).select("sensor_id", F.col("district_slug").alias("district"))
+    return J.attach(_customers(spark, d).select("sensor_id"), districts)
 
 
 # --- daily, hourly and grouped statistics -------------------------------------------------------
@@ -502,15 +508,13 @@ def forecast_noisy(spark, d):
 @query
 def current_quality(spark, d):
     live, past = _live_and_archive(spark, d)
-    wanted = _customers(spark, d).select("sensor_id")
-    return settled(R.current_quality(wanted, live, past, tie=TIE).drop("datetime", "event_id"))
+    return settled(R.current_quality(_with_district(spark, d), live, past, tie=TIE))
 
 
 @query
 def compare_sensors(spark, d):
     live, past = _live_and_archive(spark, d)
-    wanted = _customers(spark, d).select("sensor_id")
-    return settled(R.compare_sensors(wanted, S.sensors(spark, d).select("sensor_id"), live, past, tie=TIE))
+    return settled(R.compare_sensors(_with_district(spark, d), S.sensors(spark, d).select("sensor_id"), live, past, tie=TIE))
 
 
 @query

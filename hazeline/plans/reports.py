@@ -33,10 +33,11 @@ def current_quality(requested: DataFrame, live: DataFrame, archive: DataFrame, t
                     tie: Sequence[str] = ()) -> DataFrame:
     """Q1: value, band, risks, recommendation and city summary for every requested sensor.
 
-    A sensor without a live row gets its newest archive row. ``requested`` may carry a district.
+    A sensor without a live row gets its newest archive row. ``requested`` may carry a district; the time of the
+    value is given where the live rows have one.
     """
     newest = latest_per_sensor(archive.select("sensor_id", ts, *tie, MEAN), ts, tie)
-    found = live_or_archive(requested, live, newest)
+    found = live_or_archive(requested, live, newest, carry=[ts] if ts in live.columns else [])
     v = F.col(MEAN)
     out = found.select(*found.columns, risk_band(v).alias("risk_level"), risk_message(v).alias("risk_message"),
                        *excess_risk_columns(v), recommendation(v).alias("recommendation"))
