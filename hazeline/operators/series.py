@@ -226,31 +226,31 @@ def rolling_means(df: DataFrame, hours: Sequence[int] = (3, 6), value: str = "pm
         raise ValueError("slot_minutes must divide an hour")
     columns, slot_us = df.columns, slot_minutes * 60_000_000
     per_hour = 60 // slot_minutes
-    rows = _bucketed(df, ts, keys, columns, slot_us, None).withColumnRenamed("_bucket", "_slot")
+    rows = _bucketed(df, ts, keys, columns, slot_us, None)
     v = null_if_nan(F.col(value).cast("double"))
     rows = rows.withColumn("_v", F.when(F.col("_us").isNotNull(), v))
 
     # whole slots before each slot, from one row per slot; slots near a bucket's end are repeated in the next ones
-    slots = (rows.where("_us is not null").groupBy(*keys, "_slot")
+    slots = (rows.where("_us is not null").groupBy(*keys, "_bucket")
              .agg(F.coalesce(F.sum("_v"), F.lit(0.0)).alias("_s"), F.count("_v").alias("_n")))
     width, reach = bucket_hours * per_hour, max(hours) * per_hour
-    own = floor_div(F.col("_slot"), width)
+    own = floor_div(F.col("_bucket"), width)
     spread = slots.withColumn("_own", own).withColumn(
-        "_bucket", F.explode(F.sequence("_own", floor_div(F.col("_slot") + F.lit(reach), width))))
-    near = W.partitionBy(*keys, "_bucket").orderBy("_slot")
+        "_span", F.explode(F.sequence("_own", floor_div(F.col("_bucket") + F.lit(reach), width))))
+    near = W.partitionBy(*keys, "_span").orderBy("_bucket")
     for h in hours:
         frame = near.rangeBetween(1 - h * per_hour, -1)
         spread = spread.withColumn(f"_s{h}", F.coalesce(F.sum("_s").over(frame), F.lit(0.0))).withColumn(
             f"_n{h}", F.coalesce(F.sum("_n").over(frame), F.lit(0)))
-    whole = (spread.where(F.col("_own") == F.col("_bucket"))
-             .select(*keys, "_slot", *[f"_{c}{h}" for h in hours for c in "sn"]))
+    whole = (spread.where(F.col("_own") == F.col("_span"))
+             .select(*keys, "_bucket", *[f"_{c}{h}" for h in hours for c in "sn"]))
 
     # a copy of each reading, h hours later, meets the rows whose window begins in its slot
     late = F.filter(F.array(*[F.lit(h) for h in (0, *hours)]), lambda h: (h == 0) | F.col("_v").isNotNull())
     placed = (rows.withColumn("_late", F.explode(late))
-              .withColumn("_slot", F.col("_slot") + F.col("_late") * per_hour)
+              .withColumn("_bucket", F.col("_bucket") + F.col("_late") * per_hour)
               .withColumn("_us", F.col("_us") + F.col("_late").cast("long") * F.lit(HOUR_US)))
-    slot = W.partitionBy(*keys, "_slot").orderBy("_us")
+    slot = W.partitionBy(*keys, "_bucket").orderBy("_us")
 
     def part(late_by: int, frame) -> tuple[Column, Column]:
         mine = F.when(F.col("_late") == late_by, F.col("_v"))
@@ -258,11 +258,11 @@ def rolling_means(df: DataFrame, hours: Sequence[int] = (3, 6), value: str = "pm
 
     head, n_head = part(0, slot.rangeBetween(W.unboundedPreceding, -1))
     out = placed.withColumn("_head", head).withColumn("_n_head", n_head)
-    backwards = W.partitionBy(*keys, "_slot").orderBy(F.desc("_us")).rangeBetween(W.unboundedPreceding, W.currentRow)
+    backwards = W.partitionBy(*keys, "_bucket").orderBy(F.desc("_us")).rangeBetween(W.unboundedPreceding, W.currentRow)
     for h in hours:
         tail, n_tail = part(h, backwards)
         out = out.withColumn(f"_tail{h}", tail).withColumn(f"_n_tail{h}", n_tail)
-    out = out.where(F.col("_late") == 0).join(whole, [*keys, "_slot"], "left")
+    out = out.where(F.col("_late") == 0).join(whole, [*keys, "_bucket"], "left")
     for h in hours:
         n = F.col("_n_head") + F.col(f"_n_tail{h}") + F.coalesce(f"_n{h}", F.lit(0))
         total = F.col("_head") + F.col(f"_tail{h}") + F.coalesce(f"_s{h}", F.lit(0.0))

@@ -2,11 +2,11 @@
 
 import pytest
 
-import __spark_entry__ as entry
+from hazeline.plans.registry import QUERIES
 from hazeline.sources import tables as S
 
 SF = "/root/testdata/sf0.001"
-LAZY = [n for n in entry.queries() if not n.startswith(("stream_", "rf_", "gbt_"))]
+LAZY = [n for n in QUERIES if not n.startswith(("stream_", "rf_", "gbt_"))]
 
 
 def plan_of(df):
@@ -14,7 +14,7 @@ def plan_of(df):
 
 
 def plan(spark, name):
-    return plan_of(entry.queries()[name](spark, SF))
+    return plan_of(QUERIES[name](spark, SF))
 
 
 @pytest.mark.parametrize("name", LAZY)
