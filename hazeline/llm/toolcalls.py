@@ -39,10 +39,14 @@ def calls_of(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def answer_schema(calls: DataFrame) -> DataFrame:
-    """The schema of the tool "answer": name, fields with their types, and the required ones."""
-    return calls.sparkSession.range(1).select(
+    """The schema of the tool "answer": name, fields with their types, and the required ones.
+
+    It is written as a table, as schemas of real tools would be: a literal name would turn the join into a nested loop.
+    """
+    schema = calls.sparkSession.range(1).select(
         F.lit("answer").alias("name"), F.expr("map('turn', 'BIGINT', 'text', 'STRING', 'after', 'STRING')").alias("fields"),
         F.array(F.lit("turn"), F.lit("text")).alias("required"))
+    return materialized(schema, "schema")
 
 
 def levels(calls: DataFrame, edges: DataFrame) -> DataFrame:
