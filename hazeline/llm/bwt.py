@@ -55,16 +55,18 @@ def merged_classes(shards: list[tuple[np.ndarray, np.ndarray]], depth: int, symb
     shards: symbols below ``symbols`` and suffix orders. Suffixes that reach an end within ``depth`` stand alone.
     """
     step = 2 if depth % 2 == 0 and symbols ** 2 <= 1 << 16 else 1
-    source = np.repeat(np.arange(len(shards), dtype=np.int32), [len(order) for _, order in shards])
+    if len(shards) > 1 << 16:
+        raise ValueError("too many shards")
+    source = np.repeat(np.arange(len(shards), dtype=np.uint16), [len(order) for _, order in shards])
     streams = [before(text, order, step, symbols) for text, order in shards]
+    stream, closed = (np.concatenate([s[i] for s in streams]) for i in (0, 1))
     total = len(source)
     first = np.zeros(total, bool)
     first[:1] = True
     merged, ends = np.empty(total, np.uint16), np.empty(total, bool)
     for _ in range(depth // step):
-        for k, (stream, closed) in enumerate(streams):
-            mine = source == k
-            merged[mine], ends[mine] = stream, closed
+        turn = np.argsort(source, kind="stable") if len(shards) > 1 else slice(None)
+        merged[turn], ends[turn] = stream, closed
         deal = np.argsort(merged, kind="stable")
         dealt, block = merged[deal], np.cumsum(first, dtype=np.int32)[deal]
         source = source[deal]
@@ -77,8 +79,11 @@ def merged_classes(shards: list[tuple[np.ndarray, np.ndarray]], depth: int, symb
     return source, place, np.cumsum(first) - 1
 
 
-def repeated_starts(strings: list[bytes], depth: int, shard_bytes: int = 1 << 19) -> list[np.ndarray]:
-    """For each string a flag for every start: its ``depth`` bytes also start at another place of these strings."""
+def repeated_starts(strings: list[bytes], depth: int, shard_bytes: int = 1 << 18, owner: np.ndarray | None = None) -> list[np.ndarray]:
+    """For each string a flag for every start: its ``depth`` bytes also start at another place of these strings.
+
+    With ``owner``, a number for each string, only strings of the same owner are compared.
+    """
     texts: list[list[bytes]] = [[]]
     size = 0
     for s in strings:
@@ -101,10 +106,17 @@ def repeated_starts(strings: list[bytes], depth: int, shard_bytes: int = 1 << 19
         shards.append((text, shard_order(text, depth)))
         bounds.append((ends - lengths, lengths))
     source, place, kind = merged_classes(shards, depth, len(used) + 1)
-    twice = np.bincount(kind)[kind] > 1
-    out: list[np.ndarray] = []
+    if owner is None:
+        owner = np.zeros(len(strings), np.int64)
+    keys, at, done = [], [], 0
     for k, (starts, lengths) in enumerate(bounds):
-        flag = np.zeros(len(shards[k][0]), bool)
-        flag[place[(source == k) & twice]] = True
-        out += [flag[a: a + max(0, n - depth + 1)] for a, n in zip(starts, lengths)]
-    return out
+        classes = np.empty(len(shards[k][0]), np.int64)
+        classes[place[source == k]] = kind[source == k]
+        sizes = np.maximum(lengths - depth + 1, 0)
+        offset = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        keys.append(classes[np.repeat(starts, sizes) + offset] * (int(owner.max(initial=0)) + 1)
+                    + np.repeat(owner[done: done + len(lengths)], sizes))
+        at += sizes.tolist()
+        done += len(lengths)
+    _, which, times = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+    return np.split(times[which] > 1, np.cumsum(at)[:-1])

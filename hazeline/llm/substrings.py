@@ -3,16 +3,19 @@
 A string that repeats holds the same least window of ``GRAM`` bytes (by hash) at the same offset wherever it starts.
 So starts are grouped by that window, their key, and only texts of the same key are ever compared:
 
-1. Neighbouring starts of one key are a chunk of at most 2 * LENGTH bytes. A key that has one place in the corpus cannot
-   hold a repeat. (Places are named by text, so that whole copies of a text count once.)
-2. Chunks of the other keys are counted by content. Equal chunks at two places are repeats at once, however many there
-   are; what remains are keys with several contents, which occur where shared passages begin and end.
-3. The contents of those keys are sorted out in tasks by merging the transforms of shards of them (``bwt``): classes of
-   suffixes with a common prefix of LENGTH bytes. A key with more than ``MOST_CONTENTS`` contents would make one task
-   large; the windows of such keys are counted by their hash instead, which gives the same answer split over all tasks.
+1. Keys that have one place in the corpus cannot hold a repeat. (Places are named by text, so that whole copies of a
+   text count once.)
+2. Starts of the other keys form blocks of at most ``BLOCK`` starts, cut by their offset to the key's window. All strings
+   of a block share a core of LENGTH - BLOCK + 1 bytes. Blocks are counted by core and content: equal blocks at two places
+   are repeats at once, however many there are. What remains are cores with several contents, which occur where shared
+   passages begin and end.
+3. There, a content is its few bytes before the core, one symbol for the core, and the few after it. Tasks merge the
+   transforms of shards of these strings (``bwt``): classes of suffixes with a common prefix of BLOCK symbols are strings
+   of LENGTH equal bytes. A core with more than ``MOST_CONTENTS`` contents would make one task large; the strings of such
+   cores are counted by their hash instead, which gives the same answer split over all tasks.
 4. Repeated starts become byte spans of each text; texts that occur twice as a whole are covered from end to end.
 
-Grouping is by 64-bit keys and 128-bit contents; what is removed is decided by bytes, or by 128-bit hashes of them.
+Keys are compared by 64-bit, cores, contents and texts by 128-bit hashes.
 
 Defined results: a null text is the empty text; texts shorter than LENGTH bytes keep all. Texts are told apart by two
 64-bit hashes. Rows that repeat a text are copies, also if they repeat the id. Other columns are not read.
@@ -32,10 +35,12 @@ from hazeline.llm.bwt import repeated_starts
 from hazeline.llm.spans import RAW_VALUES, U64, mixed, powers, slices
 from hazeline.session import materialized
 
-LENGTH, GRAM = 200, 64
+LENGTH, GRAM, BLOCK = 200, 64, 32
+CORE = b"\xff"  # no byte of UTF-8
 MOST_CONTENTS = 4096
 KEY_BITS = 1 << 25
-BATCH_BYTES = 2_000_000
+BATCH_BYTES = 500_000
+SLICE_BYTES = 250_000  # the arrays of a slice stay in the processor's cache
 PIECE = 8_000_000
 _OTHER_VALUES = mixed(RAW_VALUES ^ U64(0x94D049BB133111EB))
 _LOW = U64(0xFFFFFF)
@@ -64,7 +69,7 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 class Chunks:
-    """The chunks of some texts: row of the text, place in it, number of starts, key, and bounds in the bytes."""
+    """Runs of starts of one key in some texts, and their blocks."""
 
     def __init__(self, data: np.ndarray, at: np.ndarray):
         starts = np.arange(len(data) - LENGTH + 1)
@@ -79,16 +84,32 @@ class Chunks:
         first = np.ones(len(starts), bool)
         first[1:] = (which[1:] != which[:-1]) | (row[1:] != row[:-1])
         begin = np.flatnonzero(first)
+        self.data, self.at = data, at
         self.count = np.diff(np.append(begin, len(starts)))
-        self.row, self.begin = row[begin], starts[begin]
-        self.place = self.begin - at[self.row]
-        self.key = hashes[which[begin]].view(np.int64)
-        self.end = self.begin + self.count + LENGTH - 1
+        self.row, self.begin, self.least = row[begin], starts[begin], which[begin]
+        self.key = hashes[self.least].view(np.int64)
+
+    def blocks(self, keep: np.ndarray) -> dict[str, np.ndarray]:
+        """Blocks of the runs to keep: row, first and last start, bounds of the core, and hashes of core and content."""
+        begin, count, least, row = self.begin[keep], self.count[keep], self.least[keep], self.row[keep]
+        high, low = (least - begin) // BLOCK, (least - begin - count + 1) // BLOCK
+        number = high - low + 1
+        run = np.repeat(np.arange(len(begin)), number)
+        step = high[run] - (np.arange(len(run)) - np.repeat(np.cumsum(number) - number, number))
+        core = least[run] - BLOCK * step
+        first = np.maximum(begin[run], core - BLOCK + 1)
+        last = np.minimum(begin[run] + count[run] - 1, core)
+        end = core + LENGTH - BLOCK + 1
+        other = _sums(_OTHER_VALUES[self.data])
+        return {"row": row[run], "first": first, "last": last, "core": core, "end": end,
+                "key": _ranges(self.sums, core, end).view(np.int64), "key2": _ranges(other, core, end).view(np.int64),
+                "h1": _ranges(self.sums, first, last + LENGTH).view(np.int64),
+                "h2": _ranges(other, first, last + LENGTH).view(np.int64)}
 
 
 def _pieces(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets, place of each text's first byte here) of texts; very long ones come in pieces."""
-    for first, end, data, at in slices(texts):
+    for first, end, data, at in slices(texts, SLICE_BYTES):
         if len(data) <= PIECE:
             if len(data) >= LENGTH:
                 yield first, data, at, np.zeros(end - first, np.int64)
@@ -103,8 +124,9 @@ def _passed(key: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return (bits[(at >> U64(6)).astype(np.int64)] >> (at & U64(63))) & U64(1) == 1
 
 
-def _emitted(shared, what: str):
-    """Rows of the chunks of a task, of each text once: keys, or contents as hashes or as bytes for keys in a table."""
+def _emitted(shared, what: str, cores=None):
+    """Rows of the texts of a task, of each text once: keys, or blocks of keys in a table as hashes, or the bytes around
+    the cores in a second table."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value if shared else None
         done: set[tuple[int, int]] = set()
@@ -115,34 +137,42 @@ def _emitted(shared, what: str):
                 fresh.append(pair not in done)
                 if len(done) < 500_000:
                     done.add(pair)
-            mask = pa.array(fresh)
-            k1, k2, texts = k1[fresh], k2[fresh], batch.column(2).filter(mask)
+            texts = batch.column(2).filter(pa.array(fresh))
+            k1, k2 = k1[fresh], k2[fresh]
             for first, data, at, shift in _pieces(texts):
                 c = Chunks(data, at)
-                keep = np.ones(len(c.key), bool) if bits is None else _passed(c.key, bits)
-                if not keep.any():
+                if bits is None:
+                    a, b = k1[first + c.row], k2[first + c.row]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c.key), pa.array(_tags(a, b, c.begin - at[c.row] + shift[c.row]))], ["key", "tag"])
                     continue
-                row, key = c.row[keep], c.key[keep]
-                a, b = k1[first + row], k2[first + row]
-                place = c.place[keep] + shift[row]
-                tag = mixed(a.view(U64) ^ mixed(place.astype(U64) + b.view(U64))).view(np.int64)
-                if what == "keys":
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(tag)], ["key", "tag"])
+                keep = _passed(c.key, bits)
+                if not keep.any():
                     continue
-                begin, end, count = c.begin[keep], c.end[keep], c.count[keep]
-                h1 = _ranges(c.sums, begin, end).view(np.int64)
-                h2 = _ranges(_sums(_OTHER_VALUES[data]), begin, end).view(np.int64)
-                columns = [pa.array(x) for x in (key, h1, h2, tag, a, b, place, count)]
-                names = ["key", "h1", "h2", "tag", "k1", "k2", "place", "count"]
+                x = c.blocks(keep)
+                if cores:
+                    open_ = _passed(x["key"], cores.value)
+                    x = {name: values[open_] for name, values in x.items()}
+                a, b = k1[first + x["row"]], k2[first + x["row"]]
+                place = x["first"] - at[x["row"]] + shift[x["row"]]
+                columns = [pa.array(v) for v in (x["key"], x["key2"], x["h1"], x["h2"], _tags(a, b, place), a, b, place,
+                                                 x["last"] - x["first"] + 1)]
+                names = ["key", "key2", "h1", "h2", "tag", "k1", "k2", "place", "count"]
                 if what == "bytes":
                     raw = data.tobytes()
-                    columns.append(pa.array([raw[i:j] for i, j in zip(begin.tolist(), end.tolist())], pa.binary()))
+                    bounds = zip(*(x[n].tolist() for n in ("first", "core", "end", "last")))
+                    columns.append(pa.array([raw[f:s] + CORE + raw[e: t + LENGTH] for f, s, e, t in bounds], pa.binary()))
                     names.append("content")
                 yield pa.RecordBatch.from_arrays(columns, names)
     return run
 
 
-ROWS = "key bigint, h1 bigint, h2 bigint, tag bigint, k1 bigint, k2 bigint, place bigint, count bigint"
+def _tags(k1: np.ndarray, k2: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return mixed(k1.view(U64) ^ mixed(place.astype(U64) + k2.view(U64))).view(np.int64)
+
+
+CORES = ["key", "key2"]
+ROWS = "key bigint, key2 bigint, h1 bigint, h2 bigint, tag bigint, k1 bigint, k2 bigint, place bigint, count bigint"
 
 
 def _bits(keys: DataFrame):
@@ -162,7 +192,9 @@ def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def settle(rows: pa.Table) -> pa.RecordBatch:
         contents = rows["content"].to_pylist()
-        flags = repeated_starts(contents, LENGTH)
+        parts = [np.diff(rows[c].to_numpy()) != 0 for c in CORES]
+        owner = np.concatenate([[0], np.cumsum(parts[0] | parts[1])])
+        flags = repeated_starts(contents, BLOCK, owner=owner)
         place = rows["place"].to_numpy()
         out = []
         for r, flag in enumerate(flags):
@@ -191,13 +223,15 @@ def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every window of LENGTH bytes of the contents as two hashes."""
+    """Every string of the contents as two hashes, mixed with those of their core."""
     for batch in batches:
-        for i, content in enumerate(batch.column(batch.schema.names.index("content")).to_pylist()):
+        names = batch.schema.names
+        for i, content in enumerate(batch.column(names.index("content")).to_pylist()):
             data = np.frombuffer(content, np.uint8)
-            begin = np.arange(len(data) - LENGTH + 1)
-            h1, h2 = (_ranges(_sums(v[data]), begin, begin + LENGTH).view(np.int64) for v in (RAW_VALUES, _OTHER_VALUES))
-            k1, k2, place = (batch.column(batch.schema.names.index(c))[i].as_py() for c in ("k1", "k2", "place"))
+            begin = np.arange(len(data) - BLOCK + 1)
+            key, key2, k1, k2, place = (batch.column(names.index(c))[i].as_py() for c in (*CORES, "k1", "k2", "place"))
+            h1, h2 = (mixed(_ranges(_sums(v[data]), begin, begin + BLOCK) ^ np.int64(core).view(U64)).view(np.int64)
+                      for v, core in ((RAW_VALUES, key), (_OTHER_VALUES, key2)))
             n = len(begin)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(h1), pa.array(h2), pa.array(np.full(n, k1)), pa.array(np.full(n, k2)), pa.array(begin + place)],
@@ -210,19 +244,19 @@ def repeats(docs: DataFrame, most_contents: int = MOST_CONTENTS) -> DataFrame:
     named = docs.select(F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"), text.alias("text"))
     keys = (named.mapInArrow(_emitted(None, "keys"), "key bigint, tag bigint").groupBy("key")
             .agg(F.min("tag").alias("lo"), F.max("tag").alias("hi")).where("lo <> hi").select("key"))
-    keys = materialized(keys, "keys")
-    chunks = materialized(named.mapInArrow(_emitted(_bits(keys), "hashes"), ROWS).join(keys, "key", "left_semi"), "chunks")
-    contents = materialized(chunks.groupBy("key", "h1", "h2").agg(F.min("tag").alias("lo"), F.max("tag").alias("hi")), "contents")
-    many = contents.where("lo <> hi").select("key", "h1", "h2")
-    at_once = chunks.join(many, ["key", "h1", "h2"], "left_semi").select(
+    bits = _bits(materialized(keys, "keys"))
+    blocks = materialized(named.mapInArrow(_emitted(bits, "hashes"), ROWS), "blocks")
+    contents = materialized(blocks.groupBy(*CORES, "h1", "h2").agg(F.min("tag").alias("lo"), F.max("tag").alias("hi")), "contents")
+    many = contents.where("lo <> hi").select(*CORES, "h1", "h2")
+    at_once = blocks.join(many, [*CORES, "h1", "h2"], "left_semi").select(
         "k1", "k2", F.col("place").alias("from"), (F.col("place") + F.col("count") + LENGTH - 1).alias("to"))
-    open_keys = materialized(contents.groupBy("key").agg(F.count("*").alias("contents")).where("contents > 1"), "open")
+    open_cores = materialized(contents.groupBy(*CORES).agg(F.count("*").alias("contents")).where("contents > 1"), "open")
     one_each = F.struct("tag", "k1", "k2", "place", "content")
-    rows = (named.mapInArrow(_emitted(_bits(open_keys), "bytes"), ROWS + ", content binary")
-            .join(open_keys, "key").groupBy("key", "h1", "h2", "contents").agg(F.min(one_each).alias("one"))
-            .select("key", "contents", "one.k1", "one.k2", "one.place", "one.content"))
+    rows = (named.mapInArrow(_emitted(bits, "bytes", _bits(open_cores)), ROWS + ", content binary")
+            .join(open_cores, CORES).groupBy(*CORES, "h1", "h2", "contents").agg(F.min(one_each).alias("one"))
+            .select(*CORES, "contents", "one.k1", "one.k2", "one.place", "one.content"))
     rows = materialized(rows, "rows")
-    few = (rows.where(F.col("contents") <= most_contents).drop("contents").repartition("key").sortWithinPartitions("key")
+    few = (rows.where(F.col("contents") <= most_contents).drop("contents").repartition(*CORES).sortWithinPartitions(*CORES)
            .mapInArrow(_resolved, "k1 bigint, k2 bigint, from bigint, to bigint"))
     windows = rows.where(F.col("contents") > most_contents).drop("contents").mapInArrow(
         _windows, "h1 bigint, h2 bigint, k1 bigint, k2 bigint, from bigint")
