@@ -253,7 +253,7 @@ def repeats(docs: DataFrame, most_contents: int = MOST_CONTENTS) -> DataFrame:
     open_cores = materialized(contents.groupBy(*CORES).agg(F.count("*").alias("contents")).where("contents > 1"), "open")
     one_each = F.struct("tag", "k1", "k2", "place", "content")
     rows = (named.mapInArrow(_emitted(bits, "bytes", _bits(open_cores)), ROWS + ", content binary")
-            .join(open_cores, CORES).groupBy(*CORES, "h1", "h2", "contents").agg(F.min(one_each).alias("one"))
+            .groupBy(*CORES, "h1", "h2").agg(F.min(one_each).alias("one")).join(open_cores, CORES)
             .select(*CORES, "contents", "one.k1", "one.k2", "one.place", "one.content"))
     rows = materialized(rows, "rows")
     few = (rows.where(F.col("contents") <= most_contents).drop("contents").repartition(*CORES).sortWithinPartitions(*CORES)
