@@ -1,26 +1,36 @@
 """Quality by the perplexity of an interpolated modified Kneser-Ney model (operator 9).
 
-The model is over characters: signs are mapped to 64 symbols, and n-grams of ``ORDER`` symbols of all trusted texts
-are counted. Counts, continuation counts, context sums and discounts are tables sharded by n-gram; joining them gives
-the probability of every n-gram seen and the back-off weight of every context. Since there are 64 symbols, all
-probabilities together are one array of 64^ORDER values at most, whatever the corpus; it is sent to the tasks, which
-read every text once. Thresholds are a quantile of the perplexity of the trusted texts of each language, plus a margin.
+The model is over code points, with no fixed alphabet: n-grams of ``ORDER`` code points of all trusted texts are
+counted. Counts, continuation counts, context sums and back-off weights are tables sharded by n-gram, and nothing of
+them but the counts of counts and the sums of single signs comes to the driver. A table of the cost of every n-gram that
+occurs in any text is made by joins from short n-grams to long ones. Each text's n-grams are counted in slices of
+about ``SLICE_BYTES`` of texts: one row for each n-gram of a slice, and one row with the texts that hold each and how
+often. So a frequent n-gram has one row a slice, not one a text. These rows meet the costs in a join, and a slice's rows
+come together again to be summed by text. Thresholds are a quantile of the perplexity of the trusted texts of each language, plus a margin.
 
-Trusted are texts whose label says quality 1. All of them are counted.
+Trusted are texts whose label says quality 1. All of them are counted. Signs never seen share the mass that single signs
+leave over, spread over all ``CODE_POINTS``.
 
 Defined results: null and empty texts have no perplexity and are not kept; texts of fewer than ``MIN_CHARS`` characters
 are not judged and are kept. A language with fewer than ``MIN_TRUSTED`` trusted texts takes the threshold of all
 languages; without any trusted text everything is kept. Null languages are one language. Null labels are no labels;
 a repeated id is trusted if one of its labels is. Other columns are not read.
+
+``grams`` and ``model`` are the former model over 64 symbols as one array; the query does not use them.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+import pyarrow.ipc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from hazeline.llm.bits import bit_table, in_table
 from hazeline.llm.spans import slices
@@ -32,6 +42,10 @@ SCALE = 1024
 QUANTILE, MARGIN = 0.99, 1.25
 MIN_CHARS, MIN_TRUSTED = 100, 20
 EDGE = 53
+CODE_POINTS = 0x110000
+SLICE_BYTES = 4_000_000
+SLICE_ROWS = 30_000  # rows of a slice are numbered by 16-bit integers
+KEYS = [f"k{j}" for j in range(ORDER)]  # signs of an n-gram, the last one first
 
 
 def _symbols() -> np.ndarray:
@@ -65,17 +79,120 @@ def grams(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, of
 
 
+def point_slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, code points, bounds of the texts) of consecutive rows of about ``SLICE_BYTES``."""
+    for first, end, data, at in slices(column, SLICE_BYTES):
+        for a in range(first, end, SLICE_ROWS):
+            b = min(end, a + SLICE_ROWS)
+            raw, bounds = data[at[a - first]: at[b - first]], at[a - first: b - first + 1] - at[a - first]
+            lead = np.flatnonzero((raw & 0xC0) != 0x80)
+            points = np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+            yield a, b, points, np.searchsorted(lead, bounds)
+
+
+def _numbered(codes: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct codes in order and the place of each code among them; codes are below ``bound``."""
+    if bound > 8 * len(codes) + (1 << 22):
+        return np.unique(codes, return_inverse=True)
+    seen = np.zeros(bound, bool)
+    seen[codes] = True
+    found = np.flatnonzero(seen)
+    place = np.zeros(bound, np.int32)
+    place[found] = np.arange(len(found))
+    return found, place[codes].astype(np.int64)
+
+
+def point_grams(points: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for the n-gram that ends at each sign, and the n-grams by number (signs, the last one first).
+
+    Texts start after line ends. Numbers are those of the slice; they stand for the signs themselves, not for hashes.
+    """
+    n = len(points)
+    seen = np.zeros(CODE_POINTS, bool)
+    seen[points] = True
+    seen[ord("\n")] = True
+    signs = np.flatnonzero(seen)
+    place_of = np.zeros(CODE_POINTS, np.int64)
+    place_of[signs] = np.arange(len(signs))
+    local, edge = place_of[points], place_of[ord("\n")]
+    place = np.arange(n) - np.repeat(of[:-1], np.diff(of))
+    width = len(signs)
+    number, parts = local, signs[:, None]
+    for j in range(1, ORDER):
+        before = np.full(n, edge)
+        before[j:] = local[: n - j] if n > j else before[j:]
+        before[place < j] = edge
+        found, number = _numbered(number * width + before, len(parts) * width)
+        parts = np.concatenate([parts[found // width], signs[found % width][:, None]], axis=1)
+    return number, parts
+
+
+def _gram_columns(parts: np.ndarray) -> list[pa.Array]:
+    return [pa.array(parts[:, j].astype(np.int32), pa.int32()) for j in range(ORDER)]
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of the n-grams of a task's texts: one array of 64^ORDER numbers, whatever the number of texts."""
-    counts = np.zeros(SYMBOLS ** ORDER, np.int32)
+    """The n-grams of each slice of texts and their counts."""
     for batch in batches:
-        for _, _, data, at in slices(batch.column(0)):
-            found, times = np.unique(grams(data, at)[0], return_counts=True)
-            counts[found] += times.astype(np.int32)
-    found = np.flatnonzero(counts)
-    for i in range(0, len(found), 200_000):
-        part = found[i: i + 200_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(counts[part], pa.int64())], ["g", "c"])
+        for _, _, points, of in point_slices(batch.column(0)):
+            if len(points):
+                number, parts = point_grams(points, of)
+                times = np.bincount(number, minlength=len(parts))
+                yield pa.RecordBatch.from_arrays([*_gram_columns(parts), pa.array(times, pa.int64())], [*KEYS, "c"])
+
+
+def _packed(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _held(kind: pa.DataType):
+    """Rows of a slice: each n-gram with its number, and one row with the texts and the n-grams that each holds."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, serial = TaskContext.get().partitionId(), 0
+        names = ["slice", "number", *KEYS, "about"]
+        for batch in batches:
+            for first, end, points, of in point_slices(batch.column(2)):
+                n, name = end - first, (task << 32) + serial
+                number, parts = point_grams(points, of) if len(points) else (np.zeros(0, np.int64), np.zeros((0, ORDER), np.int64))
+                most = len(parts)
+                pairs, times = np.unique(number * n + np.repeat(np.arange(n), np.diff(of)), return_counts=True)
+                sizes, rows = np.bincount(pairs // n, minlength=most), pairs % n
+                for i in range(0, most, 10_000):
+                    part = parts[i: i + 10_000]
+                    # empty, not null: Spark's Arrow writer walks over all nulls so far at each row
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(part), name)), pa.array(np.arange(i, i + len(part)), pa.int32()), *_gram_columns(part),
+                         pa.array([b""] * len(part), pa.binary())], names)
+                # no sign is negative, so this row meets no n-gram; its signs differ by slice, so that such rows are spread
+                signs = [-1, serial, task, -1][:ORDER]
+                lists = [pa.array(x) for x in (np.diff(of), sizes.astype(np.int32), np.diff(rows, prepend=0).astype(np.uint16), times.astype(np.int32))]
+                lists = [batch.column(0).slice(first, n).cast(kind), batch.column(1).slice(first, n).cast(pa.string()), *lists]
+                about = _packed(pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists],
+                                                           ["ids", "langs", "chars", "sizes", "rows", "times"]))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([name]), pa.array([-1], pa.int32()), *[pa.array([k], pa.int32()) for k in signs],
+                     pa.array([about], pa.binary())], names)
+                serial += 1
+    return run
+
+
+def _summed(kind: pa.DataType):
+    """Perplexity of the texts of a slice from all its rows."""
+    def run(table: pa.Table) -> pa.Table:
+        named = pa.compute.less(table["number"], 0)
+        about, grams = pa.ipc.open_stream(table.filter(named)["about"][0].as_py()).read_all(), table.filter(pa.compute.invert(named))
+        bits = np.zeros(grams.num_rows)
+        bits[grams["number"].to_numpy()] = grams["bits"].to_numpy()
+        ids, langs, chars, sizes, rows, times = (about[c].combine_chunks().flatten() for c in about.column_names)
+        rows, times = np.cumsum(rows.to_numpy(), dtype=np.uint16), times.to_numpy()
+        n = chars.to_numpy()
+        sums = np.bincount(rows, weights=times * np.repeat(bits, sizes.to_numpy()), minlength=len(n))
+        return pa.table([ids.cast(kind), langs, chars, pa.array(np.exp2(sums / np.maximum(n, 1)), pa.float64(), mask=n == 0)],
+                        ["doc_id", "lang", "n_chars", "perplexity"])
+    return run
 
 
 def _discounts(counts: DataFrame) -> list[float]:
@@ -127,20 +244,60 @@ def model(counts: DataFrame) -> np.ndarray:
     return np.minimum(-np.log2(np.maximum(costs, 1e-18)) * SCALE, 65_000).astype(np.uint16)
 
 
-def _scored(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        costs = shared.value
-        for batch in batches:
-            for first, end, data, at in slices(batch.column(2)):
-                found, of = grams(data, at)
-                sums = np.concatenate([[0], np.cumsum(costs[found], dtype=np.int64)])
-                n = np.diff(of)
-                bits = (sums[of[1:]] - sums[of[:-1]]) / SCALE / np.maximum(n, 1)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, end - first), batch.column(1).slice(first, end - first),
-                     pa.array(n, pa.int64()), pa.array(np.exp2(bits), pa.float64(), mask=n == 0)],
-                    ["doc_id", "lang", "n_chars", "perplexity"])
-    return run
+def levels(counts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
+    """For each order from 1: share of every seen n-gram after discounting (signs, own), and back-off weights of the
+    contexts (signs before the last, back)."""
+    counted = [materialized(counts, "grams")]
+    for order in range(ORDER - 1, 0, -1):  # in how many ways a shorter n-gram is continued to the left
+        counted.append(materialized(counted[-1].groupBy(KEYS[:order]).agg(F.count("*").alias("c")), "grams"))
+    out = []
+    for order, rows in enumerate(reversed(counted), 1):
+        d = _discounts(rows)
+        off = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
+        context = KEYS[1:order]
+        if not context:
+            total, spared = rows.agg(F.sum("c"), F.sum(off)).first()
+            shares = rows.select("k0", ((F.col("c") - off) / total).alias("own"))
+            backs = rows.sparkSession.range(1).select(F.lit(spared / total).alias("back"))
+        else:
+            sums = materialized(rows.groupBy(context).agg(F.sum("c").alias("total"), F.sum(off).alias("spared")), "contexts")
+            shares = rows.join(sums, context).select(*KEYS[:order], ((F.col("c") - off) / F.col("total")).alias("own"))
+            backs = sums.select(*context, (F.col("spared") / F.col("total")).alias("back"))
+        out.append((shares, backs))
+    return out
+
+
+def costs(wanted: DataFrame, counts: DataFrame) -> DataFrame:
+    """Cost in bits of every n-gram of ``wanted`` (distinct signs): signs and bits, whether the n-gram was seen or not."""
+    asked = [materialized(wanted, "asked")]
+    for order in range(ORDER - 1, 0, -1):
+        asked.append(materialized(asked[-1].select(KEYS[:order]).distinct(), "asked"))
+    below = None
+    for order, (rows, (shares, backs)) in enumerate(zip(reversed(asked), levels(counts)), 1):
+        both = rows.join(shares, KEYS[:order], "left").withColumn("own", F.coalesce("own", F.lit(0.0)))
+        if below is None:
+            p = F.col("own") + F.lit(backs.first()[0] / CODE_POINTS)
+        else:
+            both = (both.join(backs, KEYS[1:order], "left").join(below.withColumnRenamed("p", "q"), KEYS[:order - 1]))
+            p = F.col("own") + F.coalesce("back", F.lit(1.0)) * F.col("q")
+        below = materialized(both.select(*KEYS[:order], p.alias("p")), "level")
+    return below.select(*KEYS, (-F.log2("p")).alias("bits"))
+
+
+def perplexities(docs: DataFrame, counts: DataFrame | None) -> DataFrame:
+    """doc_id, lang, n_chars and perplexity of each row of docs (doc_id, lang, text)."""
+    field = docs.schema["doc_id"].dataType
+    kind, name = to_arrow_type(field), field.simpleString()
+    gram = ", ".join(f"{k} int" for k in KEYS)
+    held = docs.select("doc_id", "lang", "text").mapInArrow(
+        _held(kind), f"slice bigint, number int, {gram}, about binary")
+    if counts is None:
+        held = held.withColumn("bits", F.lit(math.log2(CODE_POINTS)))
+    else:
+        wanted = docs.select("text").mapInArrow(_counted, f"{gram}, c bigint").select(KEYS).distinct()
+        held = held.join(costs(wanted, counts), KEYS, "left")
+    return held.drop(*KEYS).groupBy("slice").applyInArrow(
+        _summed(kind), f"doc_id {name}, lang string, n_chars bigint, perplexity double")
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -154,12 +311,9 @@ def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, marg
     table = materialized(bit_table(trusted.select(F.xxhash64("doc_id").alias("key")), "key"), "bits").scalar()
     texts = (docs.select("doc_id", "text").where(in_table(F.xxhash64("doc_id"), table))
              .join(trusted, "doc_id", "left_semi").select("text"))
-    counts = materialized(texts.mapInArrow(_counted, "g bigint, c bigint").groupBy("g").agg(F.sum("c").alias("c")), "counts")
-    known = bool(counts.head(1))
-    shared = spark.sparkContext.broadcast(model(counts) if known else np.full(SYMBOLS ** ORDER, 6 * SCALE, np.uint16))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = materialized(docs.select("doc_id", "lang", "text").mapInArrow(
-        _scored(shared), f"doc_id {kind}, lang string, n_chars bigint, perplexity double"), "perplexity")
+    gram = ", ".join(f"{k} int" for k in KEYS)
+    counts = materialized(texts.mapInArrow(_counted, f"{gram}, c bigint").groupBy(KEYS).agg(F.sum("c").alias("c")), "counts")
+    scored = materialized(perplexities(docs, counts if counts.head(1) else None), "perplexity")
     judged = scored.join(trusted, "doc_id", "left_semi").where(F.col("n_chars") >= MIN_CHARS)
 
     def limit(name: str) -> Column:

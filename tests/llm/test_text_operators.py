@@ -392,6 +392,35 @@ def test_language_model_is_a_distribution(spark):
     assert np.allclose(p.sum(axis=1), 1, atol=0.01)
 
 
+def test_language_model_tells_code_points_apart(spark):
+    from hazeline.llm.kneser import CODE_POINTS, KEYS, ORDER, costs, perplexities
+
+    rng = random.Random(7)
+    clean = ["".join(rng.choice(["привет ", "мир ", "слово ", "язык "]) for _ in range(40)) for _ in range(40)]
+    # each sign by another with the same remainder of its lead byte and the same length: one symbol to a folded alphabet
+    garbled = ["".join(chr(ord(c) ^ rng.randrange(16)) if c > "~" else c for c in t) for t in clean[:10]]
+    rows = [(i, t, "ru") for i, t in enumerate(clean)] + [(100 + i, t, "ru") for i, t in enumerate(garbled)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(30)], "doc_id bigint, quality int, toxic int")
+    got = {r["doc_id"]: r for r in kneser.quality(docs, labels).collect()}
+    assert all(got[i]["kept"] for i in range(40)) and not any(got[100 + i]["kept"] for i in range(10))
+
+    # against one text's sum of costs, and every context's probabilities add up to 1 over all code points
+    text = "абв абг 中文 abc abd"
+    padded = "\n" * (ORDER - 1) + text
+    grams = Counter(tuple(ord(c) for c in reversed(padded[i: i + ORDER])) for i in range(len(text)))
+    gram = ", ".join(f"{k} int" for k in KEYS)
+    counts = spark.createDataFrame([(*g, c) for g, c in grams.items()], f"{gram}, c bigint")
+    signs = sorted({ord(c) for c in text} | {0x1F600})
+    context = next(iter(grams))[1:]
+    wanted = spark.createDataFrame(sorted({(c, *context) for c in signs} | set(grams)), gram)
+    bits = {tuple(r[k] for k in KEYS): r["bits"] for r in costs(wanted, counts).collect()}
+    mass = sum(2 ** -bits[c, *context] for c in signs[:-1]) + (CODE_POINTS - len(signs) + 1) * 2 ** -bits[signs[-1], *context]
+    assert mass == pytest.approx(1)
+    one = perplexities(spark.createDataFrame([(1, text, "x")], "doc_id bigint, text string, lang string"), counts).first()
+    assert one["perplexity"] == pytest.approx(2 ** (sum(bits[g] * c for g, c in grams.items()) / len(text)))
+
+
 BASE = (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
         ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"))
 
