@@ -35,10 +35,10 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-SECRET = r"(?i)(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\x20?[=:]\x20?[\x22\x27]?[A-Za-z0-9_/+=.-]{12,512}"
+SECRET = r"(?i)(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\x20?[=:]\x20?[\x22\x27]?[A-Za-z0-9_/+=.-]{12,}+"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
-ADDRESS = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]{1,63}(?:(?:\.|\x20?[\[(]dot[\])]\x20?)[A-Za-z0-9-]{1,63}){1,8}"
+ADDRESS = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]++(?:(?:\.|\x20?[\[(]dot[\])]\x20?)[A-Za-z0-9-]++)++"
 FORMS = (EMAIL, IP, CARD, PHONE, SECRET, SSN, IBAN, ADDRESS)
 # a cheap test that a text may hold the kind at all
 HINTS = ("@", None, None, "+", None, "-", None, "at")

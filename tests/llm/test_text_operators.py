@@ -457,6 +457,20 @@ def test_personal_data(docs, texts, empty):
     assert any("mail [EMAIL] or [IP], [CARD] and [PHONE] now" in (t or "") for t in rest)
 
 
+def test_long_secrets_and_addresses_go_whole(spark):
+    rng = random.Random(4)
+    token = "".join(rng.choice("abcdefghijABCDEFGHIJ0123456789") for _ in range(3000))
+    name, label = "n" * 200, "d" * 100
+    rows = [(i, f"config: token={token[: 40 + i]} end", "en") for i in range(30)]
+    rows += [(50, f"config: token={token} end", "en"),
+             (51, f"mail {name} [at] {label}" + "".join(f" [dot] l{i}" for i in range(12)) + " end", "en")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = {r["doc_id"]: r["spans"] for r in pii.personal_data(docs).collect()}
+    assert got[50] == f"secret:8:{8 + 6 + 3000}" and got[51] == f"address:5:{len(rows[-1][1]) - 4}"
+    clean = {r["doc_id"]: r["text"] for r in pii.redacted(docs).collect()}
+    assert clean[50] == "config: [SECRET] end" and clean[51] == "mail [ADDRESS] end"
+
+
 def test_span_votes_tell_true_from_false():
     rows = [(0, (1, 1, 1, 1), 500), (0, (1, 0, -1, 1), 20), (4, (1, -1, 1, 1), 60), (4, (0, -1, -1, 0), 80), (4, (0, -1, -1, 1), 10)]
     labels = pii._expected(rows)
