@@ -6,7 +6,9 @@ labels scores blocks and the steps between neighbours; Viterbi gives the best la
 (``mainpages``) by stochastic gradients of the likelihood, with forward and backward sums.
 
 Defined results: null and empty pages, and pages without an article, have the empty text. Unclosed tags, stray end tags
-and missing ends of script or comment are read as browsers do, up to the end of the page. White space is that of
+and missing ends of script or comment are read as browsers do, up to the end of the page. Bodies of scripts and other raw
+text are skipped to their end tag without looking for tags in them; a head ends at its end tag or at the first tag or
+text that does not belong there. White space is that of
 Unicode, so that no-break spaces count. Repeated rows get equal results; other columns are not read.
 """
 
@@ -28,11 +30,14 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span "
                    "strike strong sub sup time tt u var br wbr img".split())
 SILENT = frozenset("script style noscript template textarea select button svg math iframe object title head canvas".split())
+RAW = frozenset("script style template textarea title noscript iframe noframes".split())  # up to their end tag
+HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 SELF_CLOSING = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"),
                 "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = frozenset("ul ol dl table tbody thead tr div section article main aside nav body".split())
 
-PART = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+PART = re.compile(r"<!--(?:-?>|.*?(?:--!?>|$))|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+RAW_END = {tag: re.compile(rf"</{tag}(?:[\s/][^>]*)?(?:>|$)", re.I) for tag in RAW}
 NAMED = re.compile(r"\b(class|id|role|data-main)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 NAME_WORD = re.compile(r"[a-z]+")
 
@@ -62,31 +67,38 @@ def blocks(page: str) -> list[Block]:
         text, linked = [], 0
 
     def add(piece: str) -> None:
-        nonlocal linked
+        nonlocal linked, silent
+        if silent == "head" and piece.strip():
+            silent = ""
         if piece and not silent:
             text.append(piece)
             if links:
                 linked += len(piece)
 
-    for m in PART.finditer(page):
-        if m.start() < at:
-            continue
+    while m := PART.search(page, at):
         add(page[at: m.start()])
         at = m.end()
         if m[2] is None:
             continue
         tag, closing = m[2].lower(), bool(m[1])
+        if silent == "head" and (tag in ("head", "body", "html") if closing else tag not in HEAD and tag not in ("head", "html")):
+            silent = ""
+            if closing and tag == "head":
+                continue
+        if not closing and tag in RAW and not (m[3].endswith("/") and silent in ("svg", "math")):
+            end = RAW_END[tag].search(page, at)
+            at = end.end() if end else len(page)
+            if not silent and tag not in ("script", "style"):
+                flush()
+            continue
         if silent:
             if closing and tag == silent:
                 silent = ""
             continue
         if tag in SILENT and not closing:
-            if tag not in ("head", "title", "button", "select", "svg", "math", "object", "noscript", "iframe", "canvas"):
-                end = re.compile(rf"</{tag}", re.I).search(page, at)  # raw text up to its end tag
-                at = end.start() if end else len(page)
             if not m[3].endswith("/"):
                 silent = tag
-            if tag not in ("script", "style", "svg", "math"):
+            if tag not in ("svg", "math"):
                 flush()
             continue
         if tag == "a":
@@ -121,9 +133,8 @@ def blocks(page: str) -> list[Block]:
             else:
                 words.update(NAME_WORD.findall(value))
         stack.append((tag, frozenset(words), label))
-    if not silent:
-        add(page[at:])
-        flush()
+    add(page[at:])
+    flush()
     return out
 
 

@@ -254,6 +254,18 @@ def test_page_text(spark):
     assert (1, text, len(text)) in got and (2, "", 0) in got and (3, "", 0) in got and (4, "", 0) in got
 
 
+def test_text_after_scripts_and_open_heads_stays():
+    def texts(page):
+        return [b.text for b in htmlcrf.blocks(page)]
+    loop = "<script>for(i=0;i<n;i++){f(i)}</script>"
+    assert texts(f"<p>one</p>{loop}<p>two</p>") == ["one", "two"]
+    assert texts(f"<head>{loop}<script>a='<!-- '</script></head><body><p>two</p>") == ["two"]
+    assert texts(f"<p>one<script>a='<!-- '</script><p>two</p><object>{loop}</object><p>three") == ["one", "two", "three"]
+    assert texts("<html><head><title>T <b</title><meta x><body><p>one</p>") == ["one"]
+    assert texts("<head><title>T</title><link a><div>one</div>") == texts("<head><style>p{}</style>one") == ["one"]
+    assert texts("<p>one<!--> two<p>three<script>never closed <p>four") == ["one two", "three"]
+
+
 def test_block_labels_on_pages_not_seen():
     chain = htmlcrf.trained(labelled_pages(200, 1))
     pages = [htmlcrf.blocks(page) for page in labelled_pages(80, 2)]
