@@ -5,8 +5,9 @@ divergence in bits, 0 to 1): characters by class, and words by the ``COMMON`` mo
 one bin for all others. The references are counted over all documents of the language. Minimum-length guards keep
 short texts, whose histograms say little, and languages with little text from being judged.
 
-Languages are told apart by the two ASCII letters that start their code; all other codes share the language "und". So
-there are at most 677 references, which bounds what is broadcast.
+Languages are told apart by the whole lower-cased primary subtag of their code: what stands before the first "-" or "_",
+without spaces around it. Null and empty codes are the language "und". Few references are broadcast; many, as odd codes
+may make, are joined by language and salt.
 
 Base rules: a text fails with fewer than 20 words, or if more than 30 in 100 of its words lie in 8-word windows that
 occur twice or more in the text (windows are compared by a 64-bit hash).
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
+from hazeline.operators.joins import attach
 from hazeline.session import materialized
 
 COMMON = 24
@@ -35,8 +37,8 @@ def _body() -> Column:
 
 
 def _language() -> Column:
-    code = F.lower(F.substring(F.coalesce(F.col("lang"), F.lit("")), 1, 2))
-    return F.when(code.rlike("^[a-z]{2}$"), code).otherwise("und")
+    code = F.trim(F.lower(F.regexp_extract(F.coalesce(F.col("lang"), F.lit("")), "^[^_-]*", 0)))
+    return F.when(code != "", code).otherwise("und")
 
 
 def _without(text: Column, form: str) -> Column:
@@ -136,8 +138,7 @@ def _common_shares(words: Column, common: Column) -> Column:
 
 def quality(docs: DataFrame, max_class: float = MAX_CLASS_DISTANCE, max_word: float = MAX_WORD_DISTANCE) -> DataFrame:
     """doc_id, the base counts, both distances, base_failed and kept for each row of docs (doc_id, text, lang)."""
-    known = F.broadcast(materialized(references(docs), "references"))  # at most 677 rows of COMMON words each
-    rows = measured(docs).join(known, "language", "left")
+    rows = attach(measured(docs), materialized(references(docs), "references"), "language")
     n_chars = sum((F.col(c) for c in CLASSES[1:]), F.col(CLASSES[0]))
     enough = (F.col("n_words") >= MIN_WORDS) & (n_chars >= MIN_CHARS) & (F.col("language_words") >= MIN_LANGUAGE_WORDS)
     class_distance = F.when(enough, _distance(F.array(*[F.col(c) / n_chars for c in CLASSES]), F.col("class_share")))

@@ -88,6 +88,18 @@ def test_quality_distance_is_jensen_shannon(spark):
     assert got == pytest.approx(np.sqrt(want))
 
 
+def test_languages_with_longer_codes_stay_apart(spark):
+    rng = random.Random(12)
+    few = "ANG MGA SA NG NA AY KO MO SIYA AKO".split()
+    rows = [(i, prose(rng, 80), "fi-FI" if i % 2 else "FI") for i in range(200)]
+    rows += [(1000 + i, " ".join(rng.choice(few) for _ in range(80)), ("fil", "fil_PH")[i % 2]) for i in range(30)]
+    rows += [(2000, "short", None), (2001, "short", "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = {r["language"]: r["language_words"] for r in divergence.references(docs).collect()}
+    assert got == {"fi": 16000, "fil": 2400, "und": 2}
+    assert all(r["kept"] for r in divergence.quality(docs).where("doc_id < 2000").collect())
+
+
 def test_near_duplicates(docs, texts, empty):
     sets = [shingle_set(t) for _, t in texts]
     root = list(range(len(sets)))
