@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 from collections import Counter
+from math import comb
 
 import numpy as np
 import pytest
@@ -168,6 +169,12 @@ def test_signature_estimates_similarity():
     assert (signatures(np.zeros(0, np.uint64), np.array([0, 0]), 8) == np.uint64(0xFFFFFFFFFFFFFFFF)).all()
 
 
+def test_sketch_loses_less_than_banding():
+    least, n = 0.85 - neardup.SLACK, neardup.BANDS * neardup.ROWS
+    lost = sum(comb(n, i) * 0.85 ** i * 0.15 ** (n - i) for i in range(n) if i / n < least)
+    assert lost < (1 - 0.85 ** neardup.ROWS) ** neardup.BANDS
+
+
 def test_components_of_long_chains(spark):
     edges = [(i, i + 1) for i in range(0, 99)] + [(i, i + 1) for i in range(200, 230)] + [(5, 5), (300, None)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a bigint, b bigint").repartition(4)).collect()}
