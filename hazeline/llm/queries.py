@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hazeline.llm import bpe, decontaminate, divergence, htmlcrf, kneser, neardup, pii, substrings, toolcalls, toxicity
+from hazeline.llm import alignment, bpe, decontaminate, divergence, htmlcrf, kneser, neardup, pii, substrings, toolcalls, toxicity
 from hazeline.sources.tables import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+ALIGNED = ("byte_bpe_50k.json", "piece_bpe_32k.model")
 
 
 def op1_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,5 +54,11 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.aligned(table(spark, sf_dir, "documents"), *map(public_tokenizers.path, ALIGNED))
+
+
 QUERIES = {f.__name__: f for f in (op1_divergence, op2_superminhash, op3_byte_bpe, op4_decontamination, op5_block_crf, op6_toxicity,
-                                  op7_merged_bwt, op8_tool_calls, op9_kneser_ney, op10_personal_data)}
+                                  op7_merged_bwt, op8_tool_calls, op9_kneser_ney, op10_personal_data, op13_alignment)}
