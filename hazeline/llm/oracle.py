@@ -45,4 +45,34 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM docs LEFT JOIN covered USING (r) LEFT JOIN listed USING (r)
 """
 
-ORACLE: dict[str, str] = {"op4_decontamination": DECONTAMINATION, "op8_tool_calls": TOOL_CALLS}
+HARD_NEGATIVES = """
+WITH v AS (SELECT vec_id, min(struct_pack(label := CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END,
+    q := list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))))) AS r FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND list_count(embedding) = len(embedding) AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0 GROUP BY vec_id),
+n AS (SELECT vec_id, r.label AS label, r.q AS q FROM v),
+scored AS (SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id,
+    CAST(list_sum(list_transform(range(1, 1 + least(len(a.q), len(b.q))), lambda i: a.q[i] * b.q[i])) AS BIGINT) AS score
+  FROM n a JOIN n b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.vec_id AS negative_id, positive_score,
+ s.score AS negative_score FROM p JOIN scored s USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)
+QUALIFY row_number() OVER w <= 5
+"""
+
+CAPTURES = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+h AS (SELECT *, max(page_id) OVER (PARTITION BY hex) AS holder FROM p),
+b AS (SELECT *, list_transform(range(0, 8), lambda i: CAST('0x' || substr(hex, CAST(1 + 5 * i AS INTEGER), 5) AS BIGINT)) AS part FROM h)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+ array_to_string(list_transform(part, lambda x: array_to_string(list_transform([32768, 1024, 32, 1],
+   lambda d: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + (x // d) % 32 AS INTEGER), 1)), '')), '') AS payload_digest,
+ CASE WHEN page_id = holder THEN 'response' ELSE 'revisit' END AS record_type,
+ CASE WHEN page_id <> holder THEN holder END AS refers_to FROM b
+"""
+
+ORACLE: dict[str, str] = {"op4_decontamination": DECONTAMINATION, "op8_tool_calls": TOOL_CALLS,
+                           "op11_threshold": HARD_NEGATIVES, "op12_capture_index": CAPTURES}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hazeline.llm import alignment, bpe, decontaminate, divergence, htmlcrf, kneser, neardup, pii, substrings, toolcalls, toxicity
+from hazeline.llm import alignment, bpe, captures, decontaminate, divergence, hardneg, htmlcrf, kneser, neardup, pii, substrings, toolcalls, toxicity
 from hazeline.sources.tables import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -54,6 +54,14 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
+def op11_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hardneg.mined(table(spark, sf_dir, "embeddings"))
+
+
+def op12_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return captures.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -61,4 +69,5 @@ def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_divergence, op2_superminhash, op3_byte_bpe, op4_decontamination, op5_block_crf, op6_toxicity,
-                                  op7_merged_bwt, op8_tool_calls, op9_kneser_ney, op10_personal_data, op13_alignment)}
+                                  op7_merged_bwt, op8_tool_calls, op9_kneser_ney, op10_personal_data, op11_threshold, op12_capture_index,
+                                  op13_alignment)}
