@@ -103,15 +103,17 @@ class Tokenizers:
 
     def learn(self, pieces: list[str]) -> None:
         """Encode pieces that are not known yet. Each begins with a space or follows a letter."""
-        spaced = [p for p in pieces if p[0] == " "]
+        # B adds no space to an empty text, so a lone space is not one of these
+        begins = [p[0] == " " and len(p) > 1 for p in pieces]
+        spaced = [p for p, b in zip(pieces, begins) if b]
         a = [e.ids for e in self.a.encode_batch(pieces, add_special_tokens=False)]
         b_spaced = iter(self.b.encode([p[1:] for p in spaced], num_threads=1))
         # B always adds a space in front; a line feed, which joins with nothing, keeps it apart from the others
-        inner = [p for p in pieces if p[0] != " "]
+        inner = [p for p, b in zip(pieces, begins) if not b]
         lead = len(self.b.encode("\n"))
         b_inner = (ids[lead:] for ids in self.b.encode(["\n" + p for p in inner], num_threads=1))
-        for piece, mine in zip(pieces, a):
-            self._add(piece, mine, next(b_spaced if piece[0] == " " else b_inner))
+        for piece, begun, mine in zip(pieces, begins, a):
+            self._add(piece, mine, next(b_spaced if begun else b_inner))
 
     def _add(self, piece: str, a: list[int], b: list[int]) -> None:
         self.known[piece] = len(self.groups)

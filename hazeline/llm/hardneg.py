@@ -13,7 +13,7 @@ negatives: the best rows of other labels in each window. Ranks are settled over
 Defined results: rows with a null vec_id, label or vector, or with a null or non-finite component, take no part. Of
 rows that share a vec_id the least by (label, vector) takes part. A shorter vector counts as zero in the dimensions it
 lacks. Scores are exact; they are computed on doubles where these are exact, else on Python's integers, and a score
-beyond a long is given as the nearest long. Other columns are not read, whatever their names.
+beyond a long counts as the nearest long. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -70,7 +70,7 @@ class Cell:
                 fresh = np.arange(n)
             met[fresh] = True
             order = np.concatenate([order, fresh])
-            scores = np.concatenate([scores, self.rows[fresh] @ anchor])
+            scores = np.concatenate([scores, _in_range(self.rows[fresh] @ anchor)])
             if len(order) == n or deeper == n:
                 break
             threshold = self.values[n - deeper, up] @ anchor[up] + self.values[deeper - 1, down] @ anchor[down]
@@ -80,6 +80,10 @@ class Cell:
         return order, scores
 
 
+def _in_range(scores: np.ndarray) -> np.ndarray:
+    return np.minimum(np.maximum(scores, LEAST), MOST) if scores.dtype == object else scores
+
+
 def _first(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     """Places of the k highest scores, ties by smaller id."""
     if len(scores) > 4 * k:
@@ -150,7 +154,7 @@ def _matrix(column: pa.ChunkedArray, dims: int, exact: bool) -> np.ndarray:
 
 
 def _long(scores: np.ndarray) -> pa.Array:
-    return pa.array([min(max(int(s), LEAST), MOST) for s in scores], pa.int64())
+    return pa.array([int(s) for s in scores], pa.int64())
 
 
 def _find_positives(dims: int, exact: bool, k: int):
