@@ -24,6 +24,7 @@ import heapq
 import re
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ from hazeline.session import materialized
 
 SLICE = 8_000_000
 RADICES = 512
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 # no piece of either vocabulary reaches over these places (checked for B when it is read; A's pattern splits there)
 _LETTER_END = r"(?<=[^\W\d_])(?=\W)"
 _WORD_END = r"(?<=[^\s▁])(?= )"
@@ -64,6 +65,38 @@ def _byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class TokenBytes:
+    """The bytes of every token of a vocabulary, laid end to end."""
+
+    def __init__(self, tokens: list[bytes]):
+        self.sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.data = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def spell(self, ids: np.ndarray, of: np.ndarray, raw: np.ndarray, raw_sizes: np.ndarray) -> np.ndarray:
+        """For each piece, whether the bytes of its tokens (``of`` says whose) are its raw bytes."""
+        sizes = self.sizes[ids]
+        total = np.zeros(len(raw_sizes), np.int64)
+        np.add.at(total, of, sizes)
+        same = total == raw_sizes
+        mine, own = same[of], np.repeat(np.arange(len(raw_sizes)), raw_sizes)
+        spelled = self.data[_ranges(self.starts[ids[mine]], sizes[mine])]
+        inside = same[own]
+        same[own[inside][spelled != raw[inside]]] = False
+        return same
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Numbers starts[i] to starts[i] + sizes[i] - 1 for each i, one after the other."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers, and the list that each is of."""
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.int64, sizes.sum()), np.repeat(np.arange(len(lists)), sizes)
+
+
 class Tokenizers:
     """Both tokenizers with the bytes of their tokens, and the remembered pieces of text."""
 
@@ -76,14 +109,17 @@ class Tokenizers:
 
         self.a = Tokenizer.from_str(a_json)
         self.a.encode_special_tokens = True
-        sign = _byte_alphabet()
-        self.a_bytes = {i: bytes(sign[c] for c in t) if all(c in sign for c in t) else t.encode()
-                        for t, i in self.a.get_vocab(with_added_tokens=True).items()}
+        sign, entries = _byte_alphabet(), self.a.get_vocab(with_added_tokens=True)
+        self.a_bytes = [b""] * (max(entries.values()) + 1)
+        for entry, i in entries.items():
+            self.a_bytes[i] = bytes(sign[c] for c in entry) if all(c in sign for c in entry) else entry.encode()
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b_model)
         self.b_size = self.b.get_piece_size()
         pieces = [self.b.id_to_piece(i) for i in range(self.b_size)]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
                         for i, p in enumerate(pieces)]
+        self.spell_a, self.spell_b = TokenBytes(self.a_bytes), TokenBytes(self.b_bytes)
+        self.names = [f"{i}{end}" for size, ends in ((len(self.a_bytes), ",|"), (self.b_size, ",;")) for end in ends for i in range(size)]
         text = [p for i, p in enumerate(pieces) if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i))]
         joins = any("\n" in p or re.search(_LETTER_END, p.replace("▁", " ")) for p in text)
         rules = [_WORD_END] if joins else [_LETTER_END, _WORD_END]
@@ -94,70 +130,78 @@ class Tokenizers:
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.held = 0
-        self.groups: list[str] = []
-        self.whole: list[bool] = []
-        self.figures: list[tuple[int, int, int, int]] = []
-        self.ends: list[int] = [0]
-        self.pair_parts: list[int] = []
-        self.times_parts: list[int] = []
-
-    def learn(self, pieces: list[str]) -> None:
-        """Encode pieces that are not known yet. Each begins with a space or follows a letter."""
-        # B adds no space to an empty text, so a lone space is not one of these
+        self.groups: list[str] = []  # each piece's groups, every one followed by ";"
+        self.whole = np.zeros(0, bool)
+        self.figures = np.zeros((0, 4), np.int64)
+        self.ends = np.zeros(1, np.int64)  # where each piece's pairs end
+        self.pairs, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _encoded_by_b(self, pieces: list[str]) -> list[list[int]]:
+        # B adds a space in front of what is not empty. Where a piece does not begin with one, a line feed, which joins
+        # with nothing, stands between that space and the piece.
         begins = [p[0] == " " and len(p) > 1 for p in pieces]
-        spaced = [p for p, b in zip(pieces, begins) if b]
-        a = [e.ids for e in self.a.encode_batch(pieces, add_special_tokens=False)]
-        b_spaced = iter(self.b.encode([p[1:] for p in spaced], num_threads=1))
-        # B always adds a space in front; a line feed, which joins with nothing, keeps it apart from the others
-        inner = [p for p, b in zip(pieces, begins) if not b]
+        spaced = iter(self.b.encode([p[1:] for p, b in zip(pieces, begins) if b], num_threads=1))
+        inner = iter(self.b.encode(["\n" + p for p, b in zip(pieces, begins) if not b], num_threads=1))
         lead = len(self.b.encode("\n"))
-        b_inner = (ids[lead:] for ids in self.b.encode(["\n" + p for p in inner], num_threads=1))
-        for piece, begun, mine in zip(pieces, begins, a):
-            self._add(piece, mine, next(b_spaced if begun else b_inner))
-
-    def _add(self, piece: str, a: list[int], b: list[int]) -> None:
-        self.known[piece] = len(self.groups)
-        self.held += len(piece)
-        raw = piece.encode()
-        a_parts, b_parts = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        whole = b"".join(a_parts) == raw == b"".join(b_parts)
-        self.whole.append(whole)
-        if not whole:
-            self.groups.append("")
-            self.figures.append((0, 0, 0, 0))
-            self.ends.append(self.ends[-1])
-            return
-        shown, pairs, links = [], {}, 0
-        i = j = at_a = at_b = 0
-        while i < len(a):
-            first_a, first_b = i, j
-            at_a += len(a_parts[i])
-            at_b += len(b_parts[j])
-            i, j = i + 1, j + 1
-            while at_a != at_b:
-                if at_a < at_b:
-                    at_a += len(a_parts[i])
-                    i += 1
-                else:
-                    at_b += len(b_parts[j])
-                    j += 1
-            left, right = a[first_a:i], b[first_b:j]
-            shown.append(f"{','.join(map(str, left))}|{','.join(map(str, right))}")
-            links += len(left) * len(right)
-            if len(left) == 1 and len(right) == 1:
-                key = left[0] * self.b_size + right[0]
-                pairs[key] = pairs.get(key, 0) + 1
-            else:
-                lefts, rights = _tally(left), _tally(right)
-                for x, n in lefts.items():
-                    for y, m in rights.items():
-                        key = x * self.b_size + y
-                        pairs[key] = pairs.get(key, 0) + n * m
-        self.groups.append(";".join(shown))
-        self.figures.append((len(a), len(b), len(shown), links))
-        self.pair_parts.extend(pairs)
-        self.times_parts.extend(pairs.values())
-        self.ends.append(len(self.pair_parts))
+        return [next(spaced) if b else next(inner)[lead:] for b in begins]
+
+    def learn(self, pieces: list[str]) -> None:
+        """Encode and align pieces that are not known yet, all at once."""
+        n = len(pieces)
+        self.known.update(zip(pieces, range(len(self.groups), len(self.groups) + n)))
+        self.held += sum(map(len, pieces))
+        a, of_a = _flat([e.ids for e in self.a.encode_batch(pieces, add_special_tokens=False)])
+        b, of_b = _flat(self._encoded_by_b(pieces))
+        raw = np.frombuffer("".join(pieces).encode(), np.uint8)
+        sizes = np.fromiter((len(p.encode()) for p in pieces), np.int64, n)
+        whole = self.spell_a.spell(a, of_a, raw, sizes) & self.spell_b.spell(b, of_b, raw, sizes)
+        a, of_a, b, of_b = a[whole[of_a]], of_a[whole[of_a]], b[whole[of_b]], of_b[whole[of_b]]
+
+        # both spell the same bytes, so common ends along all pieces are the groups' ends
+        end_a, end_b = np.cumsum(self.spell_a.sizes[a]), np.cumsum(self.spell_b.sizes[b])
+        cuts = np.intersect1d(end_a, end_b, assume_unique=True)
+        in_a, in_b = np.searchsorted(cuts, end_a), np.searchsorted(cuts, end_b)
+        n_a, n_b = np.bincount(in_a, minlength=len(cuts)), np.bincount(in_b, minlength=len(cuts))
+        piece = of_a[np.cumsum(n_a) - 1]
+        figures = np.stack([np.bincount(of_a, minlength=n), np.bincount(of_b, minlength=n), np.bincount(piece, minlength=n),
+                            np.zeros(n, np.int64)], axis=1)
+        np.add.at(figures[:, 3], piece, n_a * n_b)
+
+        last_a, last_b = np.diff(in_a, append=-1) != 0, np.diff(in_b, append=-1) != 0
+        shown = np.concatenate([a + last_a * len(self.a_bytes), 2 * len(self.a_bytes) + b + last_b * self.b_size])
+        order = np.argsort(np.concatenate([2 * in_a, 2 * in_b + 1]), kind="stable")
+        signs = list(map(self.names.__getitem__, shown[order].tolist()))
+        bounds = np.cumsum(np.r_[0, figures[:, 0] + figures[:, 1]]).tolist()
+        self.groups.extend("".join(signs[lo:hi]) for lo, hi in zip(bounds[:-1], bounds[1:]))
+
+        codes, owners, weights = self._linked(a, b, n_a, n_b, piece)
+        base = len(self.a_bytes) * self.b_size
+        key = owners * base + codes
+        if len(key):
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            key, weights = key[new], np.add.reduceat(weights[order], new)
+        self.pairs, self.times = np.concatenate([self.pairs, key % base]), np.concatenate([self.times, weights])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.bincount(key // base, minlength=n))])
+        self.whole, self.figures = np.concatenate([self.whole, whole]), np.concatenate([self.figures, figures])
+
+    def _linked(self, a, b, n_a, n_b, piece) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Linked pairs of all groups, the piece of each, and how often; ids of a large group are tallied first."""
+        start_a, start_b = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
+        small = np.flatnonzero(n_a * n_b <= 256)
+        left = _ranges(start_a[small], n_a[small])
+        group = np.repeat(small, n_a[small])
+        right = _ranges(start_b[group], n_b[group])
+        codes = [np.repeat(a[left], n_b[group]) * self.b_size + b[right]]
+        owners, weights = [np.repeat(piece[group], n_b[group])], [np.ones(len(right), np.int64)]
+        for g in np.flatnonzero(n_a * n_b > 256).tolist():
+            x, times_x = np.unique(a[start_a[g]: start_a[g] + n_a[g]], return_counts=True)
+            y, times_y = np.unique(b[start_b[g]: start_b[g] + n_b[g]], return_counts=True)
+            codes.append(np.add.outer(x * self.b_size, y).ravel())
+            weights.append(np.multiply.outer(times_x, times_y).ravel())
+            owners.append(np.full(len(codes[-1]), piece[g]))
+        return np.concatenate(codes), np.concatenate(owners), np.concatenate(weights)
 
     def numbers(self, texts: list[str | None]) -> list[np.ndarray]:
         """The numbers of each text's pieces, in order."""
@@ -168,13 +212,6 @@ class Tokenizers:
         return [np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces)) for pieces in cut]
 
 
-def _tally(ids: list[int]) -> dict[int, int]:
-    out: dict[int, int] = {}
-    for i in ids:
-        out[i] = out.get(i, 0) + 1
-    return out
-
-
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str | None]]]:
     """Ids and texts of about SLICE bytes; a longer text stands alone."""
     ids, texts, size = [], [], 0
@@ -200,13 +237,11 @@ def _blocks(run: str, tok: Tokenizers, numbers: list[np.ndarray]) -> Iterator[tu
     held = np.repeat(np.arange(n_docs), [len(x) for x in numbers])
     keys, times = np.unique(held * n_known + np.concatenate(numbers), return_counts=True)
     doc, piece = keys // n_known, keys % n_known
-    ends = np.asarray(tok.ends)
-    size = (ends[1:] - ends[:-1])[piece]
+    size = np.diff(tok.ends)[piece]
     if not size.sum():
         return
-    at = np.repeat(ends[piece] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-    code = np.asarray(tok.pair_parts, np.int64)[at]
-    weight = np.asarray(tok.times_parts, np.int64)[at] * np.repeat(times, size)
+    at = _ranges(tok.ends[piece], size)
+    code, weight = tok.pairs[at], tok.times[at] * np.repeat(times, size)
     doc = np.repeat(doc, size)
     a = code // tok.b_size
     place = (a % RADICES) * ((a.max() // RADICES + 1) * tok.b_size)
@@ -236,10 +271,9 @@ def _runs(shared):
             if len(tok.groups) > REMEMBERED or tok.held > 8 * SLICE:
                 tok.forget()
             run, numbers = uuid.uuid4().hex, tok.numbers(texts)
-            whole, figures = np.asarray(tok.whole, bool), np.asarray(tok.figures, np.int64).reshape(-1, 4)
-            numbers = [x if whole[x].all() else x[:0] for x in numbers]
-            sums = np.array([figures[x].sum(axis=0) for x in numbers])
-            digests = [hashlib.sha256(";".join(map(tok.groups.__getitem__, x.tolist())).encode()).hexdigest() if len(x)
+            numbers = [x if tok.whole[x].all() else x[:0] for x in numbers]
+            sums = np.array([tok.figures[x].sum(axis=0) for x in numbers])
+            digests = [hashlib.sha256("".join(map(tok.groups.__getitem__, x.tolist()))[:-1].encode()).hexdigest() if len(x)
                        else "" for x in numbers]
             head = pa.RecordBatch.from_arrays([ids, *map(pa.array, sums.T), pa.array(digests)], ["doc_id", *FIGURES, "groups_sha256"])
             sink = pa.BufferOutputStream()
