@@ -33,9 +33,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from hazeline.session import materialized
 
-SLICE = 8_000_000
+SLICE = 4_000_000
 RADICES = 512
-REMEMBERED = 500_000
+REMEMBERED = 400_000
 # no piece of either vocabulary reaches over these places (checked for B when it is read; A's pattern splits there)
 _LETTER_END = r"(?<=[^\W\d_])(?=\W)"
 _WORD_END = r"(?<=[^\s▁])(?= )"

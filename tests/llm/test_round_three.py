@@ -205,7 +205,7 @@ def brute_alignment(texts):
     return sorted(rows, key=str), sorted((*p, n, n == top[p[0]]) for p, n in count.items())
 
 
-@pytest.mark.parametrize("piece", [8_000_000, 300])
+@pytest.mark.parametrize("piece", [4_000_000, 300])
 def test_alignment(spark, texts, monkeypatch, piece):
     monkeypatch.setattr(alignment, "SLICE", piece)
     df = spark.createDataFrame([(*t, "r", 1, "t") for t in texts], TEXTS).repartition(3)
