@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from hazeline.functions import constants as K
+from hazeline.plans.archived import ORACLE as ARCHIVED
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = dict(ARCHIVED)
 
 M = "SELECT event_id, ts AS datetime, user_id AS sensor_id, event_type, value AS pm25 FROM events"
 S = """SELECT s_suppkey AS sensor_id, s_nationkey AS station_id, n_name AS district_slug, r_name AS area

@@ -19,12 +19,12 @@ from hazeline.operators.latest import (
     as_readings, first_n_per_group, keep_first, last_observed_days, latest_n, latest_per_sensor, latest_snapshot,
 )
 from hazeline.operators.series import fill_gaps, resample_daily, rolling_means
-from hazeline.plans import quality, reports as R
+from hazeline.plans import archived, quality, reports as R
 from hazeline.sources import tables as S
 from hazeline.streaming import live as L
 
 Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
+QUERIES: dict[str, Query] = dict(archived.QUERIES)
 PLACE = ("station_id", "area")
 TIE = ("event_id",)
 

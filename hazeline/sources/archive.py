@@ -1,27 +1,30 @@
 """Monthly CSV archives with a leading ``SET`` line.
 
-Scans are text scans parsed with ``from_csv``: files may differ in header, so files are grouped by
-header, each group is parsed with its own columns and the groups are united by name. Nothing but the
-first two lines of each monthly file and the file listing ever reaches the driver.
+Files may differ in header. One pass over the lines finds the header of every file; the headers are a table that meets
+the lines of its file in a join, and each line's cells are picked by name from the positions in that table. So a scan
+takes the same number of jobs whatever the number of files, and nothing but the file listing and the distinct column
+names reaches the driver. A month may be one file or, as ``write_archive`` leaves it, a folder of part files.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from hazeline.functions import constants as K
-from hazeline.functions.columns import parse_time, quoted, resolve_value
+from hazeline.functions.columns import align_key, parse_time, quoted, resolve_value
 from hazeline.functions.numeric import null_if_nan
 from hazeline.operators.filters import drop_negative, only_sensors, pm25_parameter_only, since, valid_readings, year_span
-from hazeline.operators.joins import MAX_BROADCAST_ROWS, attach, union_by_name
+from hazeline.operators.joins import MAX_BROADCAST_ROWS, attach
 from hazeline.operators.latest import keep_first
+from hazeline.session import materialized
 
-FILE_PATTERN = "measurements_*.csv"
+FILE_PATTERN = "{measurements_,file=measurements_}*.csv"
+_PART_OF_MONTH = r"(/(?:file=)?measurements_[^/]*\.csv)/[^/]*$"
+_PERIOD = r"^measurements_([0-9]+)_([0-9]+)\.csv$"
 MARKER = "SET"
 ON_BAD = ("fail_file", "skip_row", "permissive")
 # A first line whose cells all start like this is a header.
@@ -33,21 +36,36 @@ _NUMBER_FORM = re.compile(r"^(pm|p)[0-9]", re.I)
 _KEY_COLUMNS = {"sensor_id", "id"}
 
 
+def _month_of(path: Column) -> Column:
+    """The monthly file that a path is, or is a part of."""
+    return F.regexp_replace(path, _PART_OF_MONTH, "$1")
+
+
+def _file_name(path: Column) -> Column:
+    """The name of a monthly file, without the ``file=`` of a partition folder."""
+    return F.regexp_extract(path, "(?:file=)?([^/]+)$", 1)
+
+
 def file_inventory(spark: SparkSession, measurements_dir: str) -> DataFrame:
     """One row per file named like a measurement file; year and month are NULL when not in the name."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     try:
-        files = (spark.read.format("binaryFile").option("pathGlobFilter", FILE_PATTERN)
-                 .load(measurements_dir).select("path", "length"))
+        files = listed.load(f"{measurements_dir}/{FILE_PATTERN}").select("path", "length")
     except AnalysisException as err:
-        if "PATH_NOT_FOUND" in str(err):
-            raise FileNotFoundError(f"measurements directory not found: {measurements_dir}") from err
-        raise
-    name = F.regexp_extract("path", "([^/]+)$", 1)
-    stem = r"^measurements_([0-9]+)_([0-9]+)\.csv$"
-    return files.select(
+        if "PATH_NOT_FOUND" not in str(err):
+            raise
+        try:  # a folder without such files has none; no folder is an error
+            files = listed.load(measurements_dir).select("path", "length").where(F.lit(False))
+        except AnalysisException as missing:
+            if "PATH_NOT_FOUND" in str(missing):
+                raise FileNotFoundError(f"measurements directory not found: {measurements_dir}") from missing
+            raise
+    months = files.groupBy(_month_of(F.col("path")).alias("path")).agg(F.sum("length").alias("length"))
+    name = _file_name(F.col("path"))
+    return months.select(
         name.alias("filename"),
-        F.regexp_extract(name, stem, 1).try_cast("int").alias("year"),
-        F.regexp_extract(name, stem, 2).try_cast("int").alias("month"),
+        F.regexp_extract(name, _PERIOD, 1).try_cast("int").alias("year"),
+        F.regexp_extract(name, _PERIOD, 2).try_cast("int").alias("month"),
         "path", "length", F.round(F.col("length") / (1 << 20), 2).alias("size_mb"), F.lit(True).alias("exists"))
 
 
@@ -57,23 +75,46 @@ def select_files(inventory: DataFrame, first: int, last: int, months: Iterable[i
     return chosen if months is None else chosen.where(F.col("month").isin(list(months)))
 
 
-def _split_header(line: str) -> tuple[str, ...]:
-    return tuple(cell.strip().strip('"') for cell in line.strip().lstrip("﻿").split(","))
+def _lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """Lines with their part file, monthly file and place: block, then a number that grows within the block."""
+    path = F.col("_metadata.file_path")
+    return spark.read.text(list(paths)).select(
+        "value", path.alias("_part"), _month_of(path).alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"))
+
+
+def _cells(line: Column) -> Column:
+    return F.transform(F.split(line, ","), lambda c: F.regexp_replace(F.trim(c), '^"+|"+$', ""))
+
+
+def file_headers(spark: SparkSession, paths: Sequence[str], allow_headerless: bool = False) -> DataFrame:
+    """One row per part file, ``_part``, its ``cells`` and whether a header line is ``present``.
+
+    The header is the first line that is neither blank nor a marker. Each task keeps the least such line of a file by
+    (block, place in the block), so one row per file and task is shuffled. With ``allow_headerless`` a first line of
+    which some cell does not begin like a header and some cell is a number is data: columns are called ``col_i``.
+    """
+    return _headers(_lines(spark, paths), allow_headerless)
+
+
+def _headers(lines: DataFrame, allow_headerless: bool) -> DataFrame:
+    text = F.trim(F.regexp_replace("value", "\ufeff", ""))
+    lines = lines.withColumn("_text", text).where((F.col("_text") != "") & (F.col("_text") != MARKER))
+    firsts = lines.groupBy("_part").agg(F.min_by("_text", F.struct("_block", "_line")).alias("_text"))
+    cells = F.col("cells")
+    headless = F.lit(False)
+    if allow_headerless:
+        headless = (~F.forall(cells, lambda c: c.rlike(HEADER_CELL.pattern))
+                    & F.exists(cells, lambda c: c.rlike("^[-+0-9.eE]+$")))
+    numbered = F.transform(cells, lambda c, i: F.concat(F.lit("col_"), i.cast("string")))
+    return (firsts.select("_part", _cells(F.col("_text")).alias("cells")).withColumn("present", ~headless)
+            .withColumn("cells", F.when(F.col("present"), cells).otherwise(numbered)))
 
 
 def read_header(spark: SparkSession, path: str, allow_headerless: bool = False) -> tuple[tuple[str, ...], bool]:
-    """Column names of one file and whether a header line is present."""
-    top = [r["value"] for r in spark.read.text(path).head(2)]
-    if top and top[0].strip().lstrip("﻿") == MARKER:
-        top = top[1:]
-    if not top:
-        return (), False
-    cells = _split_header(top[0])
-    if allow_headerless and not all(HEADER_CELL.match(c) for c in cells):
-        # a header has no numeric cell; a first data row does
-        if any(re.fullmatch(r"[-+0-9.eE]+", c) for c in cells):
-            return tuple(f"col_{i}" for i in range(len(cells))), False
-    return cells, True
+    """Column names of one file and whether a header line is present."""
+    found = file_headers(spark, [path], allow_headerless).first()
+    return (tuple(found["cells"]), found["present"]) if found else ((), False)
 
 
 def _token_count(line: Column) -> Column:
@@ -98,67 +139,80 @@ def _typed(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*[cast(c) for c in columns], *kept)
 
 
-def _data_lines(spark: SparkSession, paths: list[str], columns: Sequence[str], with_header: bool) -> DataFrame:
-    lines = spark.read.text(paths).select(
-        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+def first_lines_per_file(lines: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` data lines of each file, in file order (block offset, then position in the block)."""
+    place = W.partitionBy("_file").orderBy("_part", "_block", "_line")
+    return lines.withColumn("_rn", F.row_number().over(place)).where(F.col("_rn") <= n).drop("_rn")
+
+
+def _column_names(headers: DataFrame) -> list[str]:
+    """Distinct names in order of their first place in any header; spellings that differ in case are one."""
+    named = headers.select(F.posexplode("cells").alias("at", "name")).where("name <> ''")
+    first = named.groupBy(F.lower("name").alias("plain")).agg(F.min(F.struct("at", "name")).alias("first"))
+    return [r["name"] for r in first.select("first.at", "first.name").orderBy("at", "name").collect()]
+
+
+def _with_forms(lines: DataFrame, headers: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Data lines with the width of their file's header and the place of every name in it (-1: not there).
+
+    Blank lines, markers and header lines, however spaced or quoted, go.
+    """
+    def bare(text: Column) -> Column:
+        return F.lower(F.regexp_replace(text, r'[\s"\x{FEFF}]', ""))
+
+    plain = F.transform("cells", F.lower)
+    forms = headers.select(
+        "_part", F.size("cells").alias("_width"), F.when(F.col("present"), bare(F.array_join("cells", ","))).alias("_header"),
+        F.array(*[F.array_position(plain, n.lower()).cast("int") - 1 for n in names]).alias("_at"))
     body = F.trim("value")
-    keep = (body != "") & (body != MARKER)
-    if with_header:
-        # the header line, however it is spaced or quoted
-        plain = F.lower(F.regexp_replace(body, r'[\s"\x{FEFF}]', ""))
-        keep &= plain != re.sub(r"\s", "", ",".join(columns)).lower()
-    return lines.where(keep)
+    rows = lines.where((body != "") & (body != MARKER)).join(forms, "_part")
+    return rows.where(F.col("_header").isNull() | (bare(F.col("value")) != F.col("_header"))).drop("_header")
 
 
-def first_lines_per_file(lines: DataFrame, n: int) -> DataFrame:
-    """The first ``n`` data lines of each file, in file order (block offset, then position in the block)."""
-    ordered = lines.withColumn("_line", F.monotonically_increasing_id())
-    place = W.partitionBy("_file").orderBy("_block", "_line")
-    return ordered.withColumn("_rn", F.row_number().over(place)).where(F.col("_rn") <= n).drop("_rn", "_line")
+def _parsed(rows: DataFrame, names: Sequence[str], width: int) -> DataFrame:
+    """``_file``, ``_too_long`` and a text column per name, each cell picked from where its file has it."""
+    raw = F.from_csv("value", ", ".join(f"c{i} string" for i in range(width)), {"escape": '"'})
+    rows = (rows.withColumn("_too_long", _token_count(F.col("value")) > F.col("_width"))
+                .withColumn("_raw", raw).withColumn("_cells", F.array(*[F.col(f"_raw.c{i}") for i in range(width)])))
+    return rows.select("_file", "_too_long", *[F.get("_cells", F.get("_at", F.lit(k))).alias(n) for k, n in enumerate(names)])
 
 
 def scan_csv(spark: SparkSession, paths: Sequence[str], on_bad: str = "fail_file", nrows_per_file: int | None = None,
-             sample: float | None = None, seed: int = 7, allow_headerless: bool = False,
-             headers: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+             sample: float | None = None, seed: int = 7, allow_headerless: bool = False) -> DataFrame:
     """Parse archive files; short rows are padded with NULL.
 
     A row is bad when it has more cells than the header. ``fail_file`` drops every row of a file with
     a bad row or an unreadable timestamp, ``skip_row`` drops the bad rows, ``permissive`` cuts the
-    extra cells. ``headers`` (path -> columns) skips looking into the files. The result keeps ``_file``.
+    extra cells. The headers are found in a pass of their own and written once; they are joined to the lines like any
+    table, so Spark broadcasts them while they are small. The result keeps ``_file``.
     """
     if on_bad not in ON_BAD:
         raise ValueError(f"unknown on_bad: {on_bad}; expected one of {ON_BAD}")
-    groups: dict[tuple[tuple[str, ...], bool], list[str]] = defaultdict(list)
-    for path in paths:
-        known = (tuple(headers[path]), True) if headers and path in headers else \
-            read_header(spark, path, allow_headerless)
-        if known[0]:
-            groups[known].append(path)
-    frames = []
-    for (columns, with_header), members in groups.items():
-        lines = _data_lines(spark, members, columns, with_header)
-        if sample:
-            lines = lines.sample(fraction=sample, seed=seed)
-        if nrows_per_file is not None:
-            lines = first_lines_per_file(lines, nrows_per_file)
-        lines = lines.drop("_block").withColumn("_too_long", _token_count(F.col("value")) > len(columns))
-        schema = ", ".join(f"`{c}` string" for c in columns)
-        rows = lines.withColumn("_row", F.from_csv("value", schema)).select("_file", "_too_long", "_row.*")
-        if on_bad == "skip_row":
-            rows = rows.where(~F.col("_too_long"))
-        elif on_bad == "fail_file":
-            bad = F.col("_too_long")
-            if "timestamp" in columns:
-                stamp = F.col("timestamp")
-                bad = bad | (stamp.isNotNull() & F.try_to_timestamp(stamp).isNull())
-            rejected = rows.where(bad).select("_file").distinct()
-            # never more rows than files were listed, so the size of this side is known
-            small = len(members) <= MAX_BROADCAST_ROWS
-            rows = rows.join(F.broadcast(rejected) if small else rejected, "_file", "left_anti")
-        frames.append(_typed(rows.drop("_too_long"), columns))
-    if not frames:
+    paths = list(paths)
+    lines = _lines(spark, paths) if paths else None
+    headers = materialized(_headers(lines, allow_headerless), "headers") if paths else None
+    names = _column_names(headers) if paths else []
+    if not names:
         return spark.createDataFrame([], "_file string, timestamp string, sensor_id long, pm25 double")
-    return union_by_name(*frames)
+    width = headers.agg(F.max(F.size("cells"))).first()[0]
+    lines = _with_forms(lines, headers, names)
+    if sample:
+        lines = lines.sample(fraction=sample, seed=seed)
+    if nrows_per_file is not None:
+        lines = first_lines_per_file(lines, nrows_per_file)
+    rows = _parsed(lines, names, width)
+    if on_bad == "skip_row":
+        rows = rows.where(~F.col("_too_long"))
+    elif on_bad == "fail_file":
+        bad = F.col("_too_long")
+        if "timestamp" in names:
+            stamp = F.col("timestamp")
+            bad = bad | (stamp.isNotNull() & F.try_to_timestamp(stamp).isNull())
+        rejected = rows.where(bad).select("_file").distinct()
+        # never more rows than files were listed, so the size of this side is known
+        small = len(paths) <= MAX_BROADCAST_ROWS
+        rows = rows.join(F.broadcast(rejected) if small else rejected, "_file", "left_anti")
+    return _typed(rows.drop("_too_long"), names)
 
 
 def rejected_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
@@ -170,10 +224,9 @@ def rejected_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 
 
 def _with_period(df: DataFrame) -> DataFrame:
-    name = F.regexp_extract("_file", "([^/]+)$", 1)
-    stem = r"^measurements_([0-9]+)_([0-9]+)\.csv$"
-    return (df.withColumn("year", F.regexp_extract(name, stem, 1).try_cast("int"))
-              .withColumn("month", F.regexp_extract(name, stem, 2).try_cast("int")).drop("_file"))
+    name = _file_name(F.col("_file"))
+    return (df.withColumn("year", F.regexp_extract(name, _PERIOD, 1).try_cast("int"))
+              .withColumn("month", F.regexp_extract(name, _PERIOD, 2).try_cast("int")).drop("_file"))
 
 
 def scan_hourly_snapshot(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
@@ -187,8 +240,11 @@ def scan_hourly_snapshot(spark: SparkSession, paths: Sequence[str]) -> DataFrame
 class Archive:
     """A data directory: ``measurements/measurements_YYYY_MM.csv`` and ``sensors.csv``."""
 
-    def __init__(self, spark: SparkSession, data_dir: str):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, data_dir: str, station_kind: str = "auto"):
+        """``station_kind``: "long" or "string" fix the type of station ids; "auto" looks whether all are numbers."""
+        if station_kind not in ("auto", "long", "string"):
+            raise ValueError(f"unknown station kind: {station_kind}")
+        self.spark, self.station_kind = spark, station_kind
         self.data_dir = data_dir.rstrip("/")
         self.measurements_dir = f"{self.data_dir}/measurements"
         self.sensors_file = f"{self.data_dir}/sensors.csv"
@@ -196,9 +252,9 @@ class Archive:
     def inventory(self) -> DataFrame:
         return file_inventory(self.spark, self.measurements_dir)
 
-    def _paths(self, first: int, last: int, months) -> list[str]:
+    def _paths(self, first: int, last: int, months, inventory: DataFrame | None = None) -> list[str]:
         """File names of the period: a listing of one entry per month, not data."""
-        chosen = select_files(self.inventory(), first, last, months).orderBy("year", "month")
+        chosen = select_files(self.inventory() if inventory is None else inventory, first, last, months).orderBy("year", "month")
         return [r["path"] for r in chosen.select("path").collect()]
 
     def sensors(self, variant: str = "canonical") -> DataFrame:
@@ -210,9 +266,10 @@ class Archive:
                 raise FileNotFoundError(f"sensors file not found: {self.sensors_file}") from err
             raise
         typed = _typed(raw, raw.columns)
-        if "station_id" in typed.columns:  # numbers if all are, else text such as "ST-1"
+        if "station_id" in typed.columns and self.station_kind != "string":
             whole = quoted("station_id").try_cast("long")
-            if not typed.where(whole.isNull() & quoted("station_id").isNotNull()).head(1):
+            text = typed.where(whole.isNull() & quoted("station_id").isNotNull())  # such as "ST-1"
+            if self.station_kind == "long" or text.isEmpty():
                 typed = typed.withColumn("station_id", whole)
         if variant == "legacy":
             if "sensor_id" in typed.columns:
@@ -230,9 +287,10 @@ class Archive:
         ``months=[]`` selects none. The first-rows limit applies before the sensor filter.
         """
         last = start_year if end_year is None else end_year
-        if self.inventory().isEmpty():
+        files = self.inventory()
+        if files.isEmpty():
             raise FileNotFoundError(f"no measurement files in {self.measurements_dir}")
-        paths = self._paths(start_year, last, months)
+        paths = self._paths(start_year, last, months, files)
         rows = _with_period(scan_csv(self.spark, paths, on_bad, nrows_per_file))
         # files with an unreadable time are already out; a strict cast could still be run on them early
         return only_sensors(parse_time(rows, strict=False), sensors)
@@ -280,14 +338,23 @@ class Archive:
 
     def pm25(self, years=2025, months: Sequence[int] | None = None, sensors: Sequence[int] | None = None,
              sample_size: int | None = None, include_metadata: bool = True, mode: str = "first",
-             on_bad: str = "fail_file") -> DataFrame:
-        """Q9: standard PM2.5 rows, valid readings only, joined to the sensor metadata."""
+             on_bad: str = "fail_file", strict_keys: bool = True) -> DataFrame:
+        """Q9: standard PM2.5 rows, valid readings only, joined to the sensor metadata.
+
+        P6: with metadata a valid reading or a sensor without a whole number as its id is an error, as joining them
+        would hide it; ``strict_keys=False`` keeps such readings, without metadata.
+        """
         first, last = year_span(years)
         rows = resolve_value(self.measurements(first, last, months, sensors, sample_size, on_bad), "canonical", mode)
         if "pm25" not in rows.columns:
             return rows
         rows = valid_readings(rows)
-        return attach(rows, self.sensors()) if include_metadata else rows
+        if not include_metadata or "sensor_id" not in rows.columns:
+            return rows
+        known = self.sensors()
+        if strict_keys:
+            rows, known = align_key(rows), align_key(known)
+        return attach(rows, known)
 
     def pm25_legacy(self, years=2025, include_metadata: bool = True, clean_negative: bool = True,
                     how: str = "left") -> DataFrame:

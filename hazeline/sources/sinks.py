@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 
 def write_measurements(df: DataFrame, path: str, partitions: Sequence[str] = ("year", "month"),
@@ -31,3 +31,36 @@ def write_report(lines: DataFrame, path: str, order: Sequence[str] = ("section",
                  mode: str = "overwrite") -> None:
     """Report lines as text files; a range sort keeps the lines in order across the part files."""
     lines.orderBy(*order).select(F.coalesce("text", F.lit("")).alias("value")).write.mode(mode).text(path)
+
+
+def _csv_cell(df: DataFrame, name: str):
+    text = F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))
+    if df.schema[name].dataType.simpleString() != "string":
+        return text
+    quoted = F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
+    return F.when(text.rlike('[,"]'), quoted).otherwise(text)
+
+
+def write_archive(df: DataFrame, measurements_dir: str, forms: Sequence[Sequence[str]], ts: str = "timestamp",
+                  rows_per_file: int = 1_000_000) -> None:
+    """Readings as a monthly CSV archive with marker and header lines, which ``Archive`` reads back.
+
+    Each month becomes a folder of part files named like the monthly file; months take the column lists of ``forms``
+    in turn. A large month is dealt to several tasks, so no task writes many more than ``rows_per_file`` rows of it.
+    Line breaks in text columns are not supported by the archive format.
+    """
+    year, month = F.year(ts), F.month(ts)
+    rows = df.where(F.col(ts).isNotNull()).withColumn(
+        "file", F.format_string("measurements_%04d_%02d.csv", year, month)).withColumn(
+        "_form", F.pmod(year * 12 + month, F.lit(len(forms))).cast("int"))
+    # one row per month: a side of known, small size
+    parts = rows.groupBy("file").agg(F.ceil(F.count(F.lit(1)) / rows_per_file).alias("_parts"))
+    rows = rows.join(F.broadcast(parts), "file")
+    lines = F.array(*[F.concat_ws(",", *[_csv_cell(df, c) for c in form]) for form in forms])
+    heads = F.array(*[F.lit("SET\n" + ",".join(form) + "\n") for form in forms])
+    lines_of = rows.select("file", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.col("_parts")).alias("_piece"),
+                           F.col(ts).alias("_ts"), F.get(lines, F.col("_form")).alias("value"),
+                           F.get(heads, F.col("_form")).alias("_head"))
+    first = F.row_number().over(W.partitionBy("file", "_piece").orderBy("_ts", "value")) == 1
+    (lines_of.select("file", F.when(first, F.concat("_head", "value")).otherwise(F.col("value")).alias("value"))
+     .write.partitionBy("file").text(measurements_dir))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hazeline.sources import profile, sinks
-from hazeline.sources.archive import Archive, read_header, rejected_files, scan_csv, scan_hourly_snapshot
+from hazeline.sources.archive import Archive, file_headers, read_header, rejected_files, scan_csv, scan_hourly_snapshot
 
 JAN = """SET
 timestamp,sensor_id,pm2.5,pm10
@@ -286,3 +286,74 @@ def test_second_ingest_keeps_other_periods(spark, tmp_path):
     archive.ingest((2023, 2024), out)
     archive.ingest(2024, out)
     assert spark.read.parquet(out).count() == 2
+
+
+def _jobs(spark, label, action):
+    """How many Spark jobs an action takes."""
+    spark.sparkContext.setJobGroup(label, label)
+    try:
+        result = action()
+        return result, len(spark.sparkContext.statusTracker().getJobIdsForGroup(label))
+    finally:
+        spark.sparkContext.setJobGroup("rest", "rest")
+
+
+def _many_files(folder, n):
+    orders = [("timestamp", "sensor_id", "pm2.5"), ("pm2.5", "timestamp", "sensor_id"), ("sensor_id", "humidity", "pm2.5", "timestamp")]
+    for i in range(n):
+        cell = {"timestamp": f"{2000 + i // 12}-{i % 12 + 1:02d}-01 00:00:00", "sensor_id": i, "pm2.5": i / 8, "humidity": i % 7}
+        names = orders[i % 3]
+        (folder / f"measurements_{2000 + i // 12}_{i % 12 + 1:02d}.csv").write_text(
+            "SET\n" * (i % 2) + ",".join(names) + "\n" + ",".join(str(cell[c]) for c in names) + "\n")
+
+
+def test_headers_of_a_thousand_files_take_as_many_jobs_as_of_forty(spark, tmp_path):
+    counts = []
+    for n in (40, 1000):  # beyond 32 paths Spark lists files by a job
+        meas = tmp_path / str(n) / "measurements"
+        meas.mkdir(parents=True)
+        _many_files(meas, n)
+        archive = Archive(spark, str(tmp_path / str(n)))
+        rows, jobs = _jobs(spark, f"headers-{n}", lambda: archive.measurements(2000, 2100, on_bad="permissive").collect())
+        counts.append(jobs)
+        assert sorted((r.sensor_id, r["pm2.5"], r.humidity, r.year, r.month) for r in rows) == [
+            (i, i / 8, float(i % 7) if i % 3 == 2 else None, 2000 + i // 12, i % 12 + 1) for i in range(n)]
+    assert counts[0] == counts[1]
+
+
+def test_header_of_a_file_cut_into_many_splits(spark, tmp_path):
+    text = "\n \nSET\n\ufeff\"timestamp\" , sensor_id,pm2.5\n" + "".join(f"2025-01-01 00:00:00,{i},1\n" for i in range(400))
+    (tmp_path / "a.csv").write_text(text)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512")
+    try:
+        found = file_headers(spark, [f"{tmp_path}/a.csv"]).collect()
+        assert [r.cells for r in found] == [["timestamp", "sensor_id", "pm2.5"]]
+        assert scan_csv(spark, [f"{tmp_path}/a.csv"]).count() == 400
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_written_archive_comes_back(spark, tmp_path):
+    rows = [(dt.datetime(2025, 1 + i % 3, 2, 3, i % 60), i % 7, i / 4 if i % 5 else None, 'say "a, b"' if i % 2 else None)
+            for i in range(90)]
+    df = spark.createDataFrame(rows, "timestamp timestamp_ntz, sensor_id long, `pm2.5` double, note string").repartition(5)
+    forms = [("timestamp", "sensor_id", "pm2.5", "note"), ("note", "pm2.5", "timestamp", "sensor_id")]
+    sinks.write_archive(df, f"{tmp_path}/measurements", forms, rows_per_file=10)
+    archive = Archive(spark, str(tmp_path))
+    assert [(r.filename, r.year, r.month) for r in archive.inventory().orderBy("month").collect()] == [
+        (f"measurements_2025_0{m}.csv", 2025, m) for m in (1, 2, 3)]
+    got = archive.measurements(2025).select(F.col("datetime").cast("timestamp_ntz"), "sensor_id", "`pm2.5`", "note")
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, rows))
+    assert archive.measurements(2025, nrows_per_file=4).count() == 12
+
+
+def test_ids_that_are_no_numbers_are_errors_when_keys_are_strict(spark, tmp_path):
+    meas = tmp_path / "measurements"
+    meas.mkdir()
+    (meas / "measurements_2025_01.csv").write_text("SET\ntimestamp,sensor_id,pm2.5\n2025-01-01 00:00:00,x1,5\n2025-01-01 00:00:00,41,6\n")
+    (tmp_path / "sensors.csv").write_text(SENSORS)
+    archive = Archive(spark, str(tmp_path))
+    with pytest.raises(Exception, match="missing sensor_id"):
+        archive.pm25(2025).collect()
+    loose = archive.pm25(2025, strict_keys=False)
+    assert sorted((r.pm25, r.station_id) for r in loose.collect()) == [(5.0, None), (6.0, 7)]
