@@ -456,3 +456,36 @@ FROM m GROUP BY 1, 2)
 SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, sensor_id, {rd('v')} AS pm25_mean,
 {band('v')} AS risk_level, n AS measurements_count FROM t
 WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(datetime) FROM m) - INTERVAL 2 HOUR""")
+
+
+def tree_sql(body: str, depth: int = 3, min_rows: int = 2, cut: str = "TIMESTAMP '2024-01-24'") -> str:
+    """A tree per sensor on hour, weekday and day of the month, level by level: p0 are placed rows, g the splits."""
+    steps = [f"""p0 AS (SELECT sensor_id, pm25, datetime < {cut} AS train, CAST(round(pm25 * 1e6) AS BIGINT) AS r, 0 AS node,
+[extract(hour FROM datetime), dayofweek(datetime), extract(day FROM datetime) - 1] AS x FROM m)"""]
+    for k in range(depth):
+        steps.append(f"""h{k} AS (SELECT sensor_id, node, f, b, count(*) AS w, sum(r) AS s FROM (
+SELECT sensor_id, node, r, unnest([1, 2, 3]) AS f, unnest(x) AS b FROM p{k} WHERE train AND node >= {2**k - 1}) GROUP BY ALL),
+c{k} AS (SELECT sensor_id, node, f, b, sum(w) OVER u AS nl, CAST(sum(s) OVER u AS DOUBLE) AS sl,
+ sum(w) OVER a - sum(w) OVER u AS nr, CAST(sum(s) OVER a - sum(s) OVER u AS DOUBLE) AS sr FROM h{k}
+ WINDOW u AS (PARTITION BY sensor_id, node, f ORDER BY b ROWS UNBOUNDED PRECEDING), a AS (PARTITION BY sensor_id, node, f)),
+g{k} AS (SELECT sensor_id, node, f, b, sl * sl / nl + sr * sr / nr - (sl + sr) * (sl + sr) / (nl + nr) AS gain FROM c{k}
+ WHERE nl >= {min_rows} AND nr >= {min_rows} AND sl * sl / nl + sr * sr / nr - (sl + sr) * (sl + sr) / (nl + nr) > 0
+ QUALIFY row_number() OVER (PARTITION BY sensor_id, node
+  ORDER BY sl * sl / nl + sr * sr / nr - (sl + sr) * (sl + sr) / (nl + nr) DESC, f, b) = 1),
+p{k + 1} AS (SELECT p.sensor_id, pm25, train, r, x,
+ CASE WHEN g.f IS NULL THEN p.node WHEN x[g.f] > g.b THEN 2 * p.node + 2 ELSE 2 * p.node + 1 END AS node
+ FROM p{k} p LEFT JOIN g{k} g ON p.sensor_id = g.sensor_id AND p.node = g.node)""")
+    return using("m", ", " + ",\n".join(steps) + body.format(last=f"p{depth}", gains=" UNION ALL ".join(
+        f"SELECT * FROM g{k}" for k in range(depth))))
+
+
+ORACLE["sensor_tree_quality"] = tree_sql(f""", v AS (SELECT sensor_id, node, CAST(sum(r) AS DOUBLE) / count(*) / 1000000 AS v
+FROM {{last}} WHERE train GROUP BY ALL),
+e AS (SELECT t.sensor_id, pm25, pm25 - v AS e FROM {{last}} t JOIN v ON t.sensor_id = v.sensor_id AND t.node = v.node WHERE NOT train)
+SELECT sensor_id, {rd('sqrt(avg(e * e))')} AS rmse,
+CASE WHEN var_pop(pm25) * count(pm25) > 0 THEN {rd('1 - sum(e * e) / (var_pop(pm25) * count(pm25))')} END AS r2,
+count(*) AS rows FROM e GROUP BY sensor_id""")
+ORACLE["sensor_tree_importance"] = tree_sql(f""", g AS ({{gains}}), w AS (SELECT sensor_id, sum(gain) AS whole FROM g GROUP BY 1),
+n AS (SELECT unnest([1, 2, 3]) AS f, unnest(['hour_of_day', 'day_of_week', 'day_of_month']) AS feature)
+SELECT w.sensor_id, n.feature, {rd('coalesce(sum(g.gain), 0.0) / whole')} AS importance
+FROM w JOIN n ON true LEFT JOIN g ON g.sensor_id = w.sensor_id AND g.f = n.f GROUP BY w.sensor_id, n.feature, whole""")

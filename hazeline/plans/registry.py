@@ -14,6 +14,7 @@ from hazeline.functions.risk import (
 )
 from hazeline.operators import aggregate as A, clean as C, distribution as D, filters as X, joins as J, learn
 from hazeline.operators.forecast import seasonal_forecast
+from hazeline.operators.keyed_trees import train_keyed
 from hazeline.operators.health import health_rollup, health_summary
 from hazeline.operators.latest import (
     as_readings, first_n_per_group, keep_first, last_observed_days, latest_n, latest_per_sensor, latest_snapshot,
@@ -593,10 +594,42 @@ def rf_quality(spark, d):
 
 @query
 def gbt_quality(spark, d):
-    return quality.model_quality(quality.materialized_features(S.measurements(spark, d)), "gbt", num_trees=10)[0]
+    return quality.model_quality(quality.materialized_features(S.measurements(spark, d)), "gbt")[0]
 
 
 @query
 def rf_importance(spark, d):
     model = quality.model_quality(quality.materialized_features(S.measurements(spark, d)), "random_forest")[1]
     return learn.feature_importance(spark, model)
+
+
+def _calendar_tree(spark, d):
+    """A tree per sensor on calendar parts, trained before the 24th; and the later readings."""
+    m = S.measurements(spark, d).select("sensor_id", "datetime", "pm25", *[f("datetime").cast("double").alias(n) for n, f in (
+        ("hour_of_day", F.hour), ("day_of_week", F.dayofweek), ("day_of_month", F.dayofmonth))])
+    cut = F.lit("2024-01-24").cast("timestamp_ntz")
+    levels = {"hour_of_day": range(24), "day_of_week": range(1, 8), "day_of_month": range(1, 32)}
+    model = train_keyed(m.where(F.col("datetime") < cut).drop("datetime"), list(levels), kind="tree", depth=3, min_rows=2,
+                        levels=levels)
+    return model, m.where(F.col("datetime") >= cut)
+
+
+@query
+def sensor_tree_quality(spark, d):
+    model, later = _calendar_tree(spark, d)
+    return settled(learn.regression_metrics(model.predict(later)))
+
+
+@query
+def sensor_tree_importance(spark, d):
+    return settled(_calendar_tree(spark, d)[0].importance())
+
+
+@query
+def sensor_forest_quality(spark, d):
+    return quality.per_sensor_quality(quality.materialized_features(S.measurements(spark, d)), "random_forest")[0]
+
+
+@query
+def sensor_boosted_quality(spark, d):
+    return quality.per_sensor_quality(quality.materialized_features(S.measurements(spark, d)), "gbt", depth=3)[0]

@@ -6,7 +6,7 @@ from hazeline.plans.registry import QUERIES
 from hazeline.sources import tables as S
 
 SF = "/root/testdata/sf0.001"
-LAZY = [n for n in QUERIES if not n.startswith(("stream_", "rf_", "gbt_"))]
+LAZY = [n for n in QUERIES if not n.startswith(("stream_", "rf_", "gbt_", "sensor_forest", "sensor_boosted"))]
 
 
 def plan_of(df):

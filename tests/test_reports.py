@@ -130,9 +130,10 @@ def test_time_split_keeps_the_future_out(spark, m):
 
 
 def test_per_sensor_models(m):
-    df = m.withColumn("sensor_id", F.col("sensor_id") % 2)
-    out = quality.per_sensor_quality(quality.materialized_features(df), [0, 1], "random_forest", num_trees=3)
-    assert {s: r[0].first()["sensor_id"] for s, r in out.items()} == {0: 0, 1: 1}
+    df = m.withColumn("sensor_id", F.col("sensor_id") % 2).withColumn("pm25", F.hour("datetime") * 2.0 + F.col("sensor_id"))
+    metrics, model = quality.per_sensor_quality(quality.materialized_features(df), "random_forest", n_trees=3, depth=3)
+    assert sorted(r["sensor_id"] for r in metrics.collect()) == [0, 1]
+    assert metrics.agg(F.min("r2")).first()[0] > 0.3 and model.table.count() == 2
 
 
 def test_metrics_formula(spark):
