@@ -1,10 +1,11 @@
 """Order-dependent operators: gap filling, resampling, rolling means.
 
 A window over one sensor would put that sensor's whole history into one task. Here a window only
-ever spans one (sensor, time bucket), and buckets that hold too many rows are cut into slices. What a
-bucket needs from outside, the nearest known reading
-before and after it, is found on a table of one row per bucket and added to the bucket as two
-boundary rows, which are removed again after the window has run.
+ever spans one (sensor, time bucket), and buckets that hold too many rows are cut into slices by rank: a histogram of
+the bucket's times says where, and what is still too large is cut again, down to a microsecond. What a bucket needs
+from outside, the nearest known reading before and after it, is found on a table of one row per bucket and added to the
+bucket as two boundary rows, which are removed again after the window has run. That table is scanned in blocks: within
+a bucket's slices, within a block of buckets, over the blocks, and back down, so no window spans all buckets.
 """
 
 from __future__ import annotations
@@ -19,16 +20,17 @@ from hazeline.operators.joins import attach
 from hazeline.session import materialized
 
 FILL_METHODS = ("interpolate_time", "interpolate_linear", "ffill", "bfill", "mean")
-# rows without a place in a series are spread over this many spare buckets, ahead of all others
-_SPARE_BUCKETS = 1024
-_SPARE_BASE = -(1 << 40)
+# rows without a place in a series belong to no window; a hash spreads them over buckets ahead of all others
+_SPARE_BASE = -(1 << 62)
 # bucket width when a row number stands in for time
 _ROWS_PER_BUCKET = 1 << 20
-_MAX_SLICES = 1 << 20
+# a dense bucket's histogram, and buckets that are scanned together
+_CELLS = 1024
+_BLOCK = 1024
 
 
 def _spare_bucket(*cols: str) -> Column:
-    return F.pmod(F.xxhash64(*[F.col(c) for c in cols]), F.lit(_SPARE_BUCKETS)) + _SPARE_BASE
+    return F.shiftrightunsigned(F.xxhash64(*[F.col(c) for c in cols]), 16) + _SPARE_BASE
 
 
 def _bucketed(df: DataFrame, ts: str, group: Sequence[str], order: Sequence[str], width_us: int,
@@ -48,46 +50,93 @@ def _bucketed(df: DataFrame, ts: str, group: Sequence[str], order: Sequence[str]
 
 def _with_buckets(placed: DataFrame, group: Sequence[str], spread_by: Sequence[str], width: int,
                   max_rows: int | None) -> DataFrame:
-    """Add ``_bucket`` for ``_us``. Buckets with more than ``max_rows`` rows are found by one narrow count and cut
-    into slices of equal time between their first and last row; usually there are none and nothing is joined.
+    """Add ``_bucket``, where the bucket of ``_us`` begins, with buckets of more than ``max_rows`` cut into slices."""
+    out = placed.withColumn("_bucket", F.coalesce(floor_div(F.col("_us"), width) * width, _spare_bucket(*spread_by)))
+    return out if max_rows is None else _sliced(out, group, max_rows)
+
+
+def _sliced(placed: DataFrame, group: Sequence[str], max_rows: int) -> DataFrame:
+    """Cut buckets with more than ``max_rows`` rows; usually one narrow count finds none, and nothing is joined.
+
+    A round cuts a dense bucket between the cells of a histogram of its times: neighbouring cells are taken together up
+    to the limit, and a cell that is too large alone becomes a slice of its own, which the next round counts and cuts
+    1024 times finer. Rows of one and the same time stay together.
     """
-    out = placed.withColumn("_bucket", F.coalesce(floor_div(F.col("_us"), width), _spare_bucket(*spread_by)))
-    if max_rows is None:
-        return out
-    dense = _dense_buckets(out, group, max_rows)
-    if dense is None:
-        return out
-    piece = F.call_function("div", F.col("_us") - F.col("_from"), F.col("_step"))
-    cut = F.col("_bucket") * F.lit(_MAX_SLICES).cast("long") + F.coalesce(piece, F.lit(0))
-    return attach(out, dense, [*group, "_bucket"]).withColumn("_bucket", cut).drop("_from", "_step")
+    half = max(max_rows // 2, 1)
+    key = [*group, "_bucket"]
+    out = placed
+    while (dense := _dense_buckets(out, group, max_rows)) is not None:
+        cell = F.call_function("div", F.col("_us") - F.col("_from"), F.col("_step"))
+        counts = (attach(out.where(F.col("_us").isNotNull()).select(*key, "_us"), dense, key, "inner")
+                  .groupBy(*key, "_from", "_step", cell.alias("_cell")).agg(F.count(F.lit(1)).alias("n")))
+        line = W.partitionBy(*key).orderBy("_cell")
+        before = F.coalesce(F.sum("n").over(line.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        part = F.call_function("div", before, F.lit(half).cast("long"))
+        large = F.col("n") > half
+        marked = counts.withColumn("_part", part).withColumn("_large", large)
+        begins = (F.col("_large") | F.coalesce(F.lag("_large").over(line), F.lit(True))
+                  | (F.lag("_part").over(line) != F.col("_part")))
+        start = F.max(F.when(F.col("_begins"), F.col("_from") + F.col("_cell") * F.col("_step"))).over(
+            line.rowsBetween(W.unboundedPreceding, W.currentRow))
+        cuts = materialized(marked.withColumn("_begins", begins).select(*key, "_cell", start.alias("_start")), "cuts")
+        placed_again = attach(out, dense, key).withColumn("_cell", cell)
+        out = (attach(placed_again, cuts, [*key, "_cell"]).withColumn("_bucket", F.coalesce("_start", "_bucket"))
+               .drop("_from", "_step", "_cell", "_start"))
+    return out
 
 
 def _dense_buckets(bucketed: DataFrame, group: Sequence[str], max_rows: int) -> DataFrame | None:
-    """Buckets with more than ``max_rows`` rows, their first position and slice width; None when there are none."""
-    slices = F.least(F.ceil(F.col("n") * 4 / max_rows), F.lit(_MAX_SLICES))  # four times what an even spread needs
-    dense = (bucketed.where(F.col("_us").isNotNull()).groupBy(*group, "_bucket")
-             .agg(F.count(F.lit(1)).alias("n"), F.min("_us").alias("_from"), F.max("_us").alias("_to"))
-             .where(F.col("n") > max_rows)
-             .select(*group, "_bucket", "_from",
-                     F.ceil((F.col("_to") - F.col("_from") + 1) / slices).cast("long").alias("_step")))
-    return None if dense.isEmpty() else materialized(dense, "dense-buckets")
+    """Buckets with more than ``max_rows`` rows and more than one time, their first time and cell width; or None."""
+    sizes = (bucketed.where(F.col("_us").isNotNull()).groupBy(*group, "_bucket")
+             .agg(F.count(F.lit(1)).alias("n"), F.min("_us").alias("_from"), F.max("_us").alias("_to")))
+    width = F.ceil((F.col("_to") - F.col("_from") + 1) / _CELLS).cast("long")
+    dense = (sizes.where((F.col("n") > max_rows) & (F.col("_to") > F.col("_from")))
+             .select(*group, "_bucket", "_from", width.alias("_step")))
+    dense = materialized(dense, "dense-buckets")
+    return None if dense.isEmpty() else dense
+
 
+# what is carried from one bucket to others: (new column, source column, "max", "min" or "sum", "before" or "after")
+_KNOTS = (("_before", "_last", "max", "before"), ("_after", "_first", "min", "after"))
+_MERGE = {"max": F.max, "min": F.min, "sum": F.sum}
 
-def _boundary_rows(edges: DataFrame, group: Sequence[str]) -> DataFrame:
-    """Per bucket: the last knot of earlier buckets and the first knot of later ones, as rows."""
-    earlier = W.partitionBy(*group).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    later = W.partitionBy(*group).orderBy(F.desc("_bucket")).rowsBetween(W.unboundedPreceding, -1)
-    return (edges.withColumn("_before", F.last("_last", ignorenulls=True).over(earlier))
-                 .withColumn("_after", F.last("_first", ignorenulls=True).over(later)))
 
+def _scanned(rows: DataFrame, within: Sequence[str], at: str, scans) -> DataFrame:
+    """What the rows of the same part before or after each row hold together."""
+    frame = {"before": W.partitionBy(*within).orderBy(at), "after": W.partitionBy(*within).orderBy(F.desc(at))}
+    return rows.withColumns({new: _MERGE[how](source).over(frame[side].rowsBetween(W.unboundedPreceding, -1))
+                             for new, source, how, side in scans})
 
-def _fill_time(rows: DataFrame, value: str, group: list[str], order: Sequence[str]) -> DataFrame:
+
+def carried_over(rows: DataFrame, group: Sequence[str], at: str, widths: Sequence[int], scans=_KNOTS) -> DataFrame:
+    """A blockwise prefix scan of ``rows`` by ``at``: what all rows of the group before (after) each hold together.
+
+    Rows are merged into blocks of the first of ``widths``, those into blocks of the next; the last blocks are scanned
+    as a whole, and what comes from outside a block goes back down. Nearest knots lie in order, so an inner one wins.
+    """
+    if not widths:
+        return _scanned(rows, group, at, scans)
+    up, inner = f"{at}_", [*group, f"{at}_"]
+    rows = rows.withColumn(up, floor_div(F.col(at), widths[0]) * widths[0])
+    sources = {source: how for _, source, how, _ in scans}
+    blocks = rows.groupBy(*inner).agg(*[_MERGE[how](source).alias(source) for source, how in sources.items()])
+    outside = carried_over(blocks, group, up, widths[1:], scans).select(*inner, *[F.col(s[0]).alias(f"{s[0]}_") for s in scans])
+    out = _scanned(rows, inner, at, scans).join(outside, inner)
+    for new, _, how, _ in scans:
+        mine, theirs = F.col(new), F.col(f"{new}_")
+        both = F.coalesce(mine, F.lit(0)) + F.coalesce(theirs, F.lit(0)) if how == "sum" else F.coalesce(mine, theirs)
+        out = out.withColumn(new, both)
+    return out.drop(up, *[f"{s[0]}_" for s in scans])
+
+
+def _fill_time(rows: DataFrame, value: str, group: list[str], order: Sequence[str], widths: Sequence[int]) -> DataFrame:
     seq = F.struct(*[F.col(c) for c in order]) if order else F.lit(0)
     rows = rows.withColumn("_edge", F.lit(False))
     knot = F.when(F.col(value).isNotNull() & F.col("_us").isNotNull(),
                   F.struct(F.col("_us").alias("us"), seq.alias("seq"), F.col(value).cast("double").alias("v")))
-    edges = rows.groupBy(*group, "_bucket").agg(F.min(knot).alias("_first"), F.max(knot).alias("_last"))
-    carried = (_boundary_rows(edges, group)
+    edges = materialized(rows.where(F.col("_us").isNotNull()).groupBy(*group, "_bucket")
+                         .agg(F.min(knot).alias("_first"), F.max(knot).alias("_last")), "edges")
+    carried = (carried_over(edges, group, "_bucket", widths)
                .select(*group, "_bucket", F.explode(F.array_compact(F.array("_before", "_after"))).alias("_k"))
                .select(*group, "_bucket", F.col("_k.us").alias("_us"), F.col("_k.v").alias(value),
                        F.lit(True).alias("_edge")))
@@ -107,7 +156,7 @@ def _fill_time(rows: DataFrame, value: str, group: list[str], order: Sequence[st
 
 
 def _fill_position(rows: DataFrame, value: str, group: list[str], order: Sequence[str], method: str,
-                   limit: int | None) -> DataFrame:
+                   limit: int | None, widths: Sequence[int]) -> DataFrame:
     rows = rows.withColumn("_edge", F.lit(False))
     part = W.partitionBy(*group, "_bucket")
     asc = [F.asc("_us"), *[F.asc(c) for c in order]]
@@ -117,22 +166,23 @@ def _fill_position(rows: DataFrame, value: str, group: list[str], order: Sequenc
 
     # narrow pass: where the first and last knot of each bucket sit, counted from the bucket's start
     place = F.struct(F.col("_pos").alias("pos"), F.col(value).cast("double").alias("v"))
-    edges = (rows.select(*group, "_bucket", "_us", *order, value)
+    edges = (rows.where(F.col("_us").isNotNull()).select(*group, "_bucket", "_us", *order, value)
              .withColumn("_pos", F.row_number().over(part.orderBy(*asc)).cast("long"))
              .groupBy(*group, "_bucket")
              .agg(F.min(F.when(known, place)).alias("_f"), F.max(F.when(known, place)).alias("_l"),
                   F.count("_us").alias("_n")))
-    start = F.coalesce(F.sum("_n").over(
-        W.partitionBy(*group).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    edges = materialized(edges, "edges")
 
     def shifted(name: str) -> Column:
         k = F.col(name)
         return F.when(k.isNotNull(), F.struct((k["pos"] + F.col("_start")).alias("pos"), k["v"].alias("v")))
 
-    edges = (edges.withColumn("_start", start)
-                  .withColumn("_first", shifted("_f")).withColumn("_last", shifted("_l")))
+    edges = (carried_over(edges, group, "_bucket", widths, [("_start", "_n", "sum", "before")])
+             .withColumn("_start", F.coalesce("_start", F.lit(0)))
+             .withColumn("_first", shifted("_f")).withColumn("_last", shifted("_l")))
+    edges = materialized(edges, "edges")
     # boundary rows sort before or after every row of the bucket and know their distance to it
-    carried = (_boundary_rows(edges, group)
+    carried = (carried_over(edges, group, "_bucket", widths)
                .select(*group, "_bucket", "_start", F.explode(F.array(
                    F.struct(F.col("_before").alias("k"), F.lit(-(1 << 62)).alias("us")),
                    F.struct(F.col("_after").alias("k"), F.lit(1 << 62).alias("us")))).alias("_e"))
@@ -178,8 +228,8 @@ def fill_gaps(df: DataFrame, value: str = "pm25", ts: str = "date", keys: Sequen
 
     ``order`` breaks ties between equal times and should make rows unique. With ``keys=()`` the whole
     table is one series, as in the original tool; it is still processed bucket by bucket. Rows without
-    a time or a key are left as they are. ``df`` is read three times (count, boundaries, rows): pass a table or
-    a cheap plan, and ``materialized`` anything else. Without a ``ts`` column every method becomes linear along the
+    a time or a key are left as they are. ``df`` is read three times (count, boundaries, rows), the first two when the
+    plan is built, and one row per bucket is written: pass a table or a cheap plan, and ``materialized`` anything else. Without a ``ts`` column every method becomes linear along the
     first ``order`` column, a row number.
     """
     if method not in FILL_METHODS:
@@ -196,10 +246,12 @@ def fill_gaps(df: DataFrame, value: str = "pm25", ts: str = "date", keys: Sequen
     if not group:
         group, work = ["_all"], df.withColumn("_all", F.lit(0))
     rows = _bucketed(work, ts, group, order, bucket_hours * HOUR_US, max_bucket_rows)
+    width = bucket_hours * HOUR_US if ts in columns else _ROWS_PER_BUCKET
+    widths = [width, width * _BLOCK]  # a bucket's slices, then blocks of buckets
     if method == "interpolate_time":
-        out = _fill_time(rows, value, group, order)
+        out = _fill_time(rows, value, group, order, widths)
     else:
-        out = _fill_position(rows, value, group, order, method, limit)
+        out = _fill_position(rows, value, group, order, method, limit, widths)
     return out.select(*columns)
 
 
@@ -227,6 +279,7 @@ def rolling_means(df: DataFrame, hours: Sequence[int] = (3, 6), value: str = "pm
     columns, slot_us = df.columns, slot_minutes * 60_000_000
     per_hour = 60 // slot_minutes
     rows = _bucketed(df, ts, keys, columns, slot_us, None)
+    rows = rows.withColumn("_bucket", F.coalesce(floor_div(F.col("_us"), slot_us), "_bucket"))  # slots are counted
     v = null_if_nan(F.col(value).cast("double"))
     rows = rows.withColumn("_v", F.when(F.col("_us").isNotNull(), v))
 

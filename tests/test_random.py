@@ -10,6 +10,7 @@ from hazeline.functions.risk import risk_band
 from hazeline.operators import distribution as D
 from hazeline.operators.latest import latest_n, latest_per_sensor
 from hazeline.operators.quantiles import quantiles
+from hazeline.operators import series
 from hazeline.operators.series import fill_gaps, rolling_means
 
 FEW = settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
@@ -179,3 +180,33 @@ def test_rows_without_key_are_not_filled(spark):
     got = fill_gaps(df, order=["i"]).where("sensor_id IS NULL").toPandas().set_index("i")["pm25"].sort_index()
     np.testing.assert_array_equal(got, pdf.set_index("i")["pm25"][got.index])
     assert fill_gaps(df, order=["i"], max_bucket_rows=5).count() == 300
+
+
+def test_bursts_are_cut_until_no_slice_exceeds_its_limit(spark):
+    """99,000 of 100,000 rows lie in a tenth of a second of one sensor; ten thousand share one time."""
+    burst = spark.range(99_000).select(F.lit(1).cast("long").alias("sensor_id"), (F.col("id") + 10**15).alias("_us"))
+    rest = spark.range(1000).select((F.col("id") % 3).alias("sensor_id"), (F.col("id") * 2_000_000_000 + 10**15).alias("_us"))
+    same = spark.range(10_000).select(F.lit(2).cast("long").alias("sensor_id"), F.lit(10**15 + 5).cast("long").alias("_us"))
+    rows = burst.unionByName(rest).unionByName(same).withColumn("_bucket", F.lit(10**15 - 7).cast("long"))
+    cut = series._sliced(rows, ["sensor_id"], 2000)
+    sizes = cut.groupBy("sensor_id", "_bucket").agg(F.count("_us").alias("n"), F.min("_us").alias("a"), F.max("_us").alias("b")).collect()
+    assert all(r.n <= 2000 or r.a == r.b for r in sizes) and sum(r.n for r in sizes) == 110_000 and len(sizes) < 400
+    for sensor in (0, 1, 2):  # slices follow one another
+        mine = sorted((r._bucket, r.a, r.b) for r in sizes if r.sensor_id == sensor)
+        assert all(x[2] < y[1] and x[0] < y[0] for x, y in zip(mine, mine[1:]))
+
+
+@pytest.mark.parametrize("widths", [[], [10], [10, 1000], [1, 1, 10**6]])
+def test_blockwise_scan_equals_one_window(spark, widths):
+    rng = np.random.RandomState(5)
+    rows = [(int(g), int(b), None if rng.rand() < 0.3 else int(b) * 10, int(rng.randint(0, 9)))
+            for g in range(3) for b in sorted(set(rng.randint(-2000, 2000, 300)))]
+    df = spark.createDataFrame(rows, "g int, at long, knot long, n long")
+    scans = [("before", "knot", "max", "before"), ("start", "n", "sum", "before")]
+    got = series.carried_over(df, ["g"], "at", widths, scans)
+    later = series.carried_over(df, ["g"], "at", widths, [("after", "knot", "min", "after")])
+    both = got.join(later.select("g", "at", "after"), ["g", "at"]).toPandas().sort_values(["g", "at"])
+    for _, part in both.groupby("g"):
+        np.testing.assert_array_equal(part["before"], part["knot"].ffill().shift())
+        np.testing.assert_array_equal(part["after"], part["knot"].bfill().shift(-1))
+        np.testing.assert_array_equal(part["start"].fillna(0), part["n"].cumsum().shift().fillna(0))
