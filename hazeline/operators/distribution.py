@@ -6,7 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from hazeline.operators.quantiles import one_row, quantiles_from_counts, value_counts
+from hazeline.operators.joins import attach
+from hazeline.operators.quantiles import exact_quantiles, one_row, present_values
+from hazeline.session import materialized
 
 
 def histogram(df: DataFrame, value: str = "pm25", bins: int = 50) -> DataFrame:
@@ -40,33 +42,30 @@ def histogram(df: DataFrame, value: str = "pm25", bins: int = 50) -> DataFrame:
                       F.coalesce("frequency", F.lit(0)).alias("frequency"))
 
 
-def _with_fences(counts: DataFrame, keys: Sequence[str], reach: float) -> DataFrame:
-    quart = quantiles_from_counts(counts, {"q1": 0.25, "median": 0.5, "q3": 0.75}, keys)
+def _with_fences(df: DataFrame, keys: Sequence[str], value: str, reach: float) -> DataFrame:
+    """Present values of every group with its quartiles and fences, one row per group that is attached by its size."""
+    rows = present_values(df, value, keys)
+    quart = materialized(exact_quantiles(rows, {"q1": 0.25, "median": 0.5, "q3": 0.75}, keys), "quartiles")
     spread = F.col("q3") - F.col("q1")
-    return (counts.join(quart, list(keys))
-                  .withColumn("lo_fence", F.col("q1") - reach * spread)
-                  .withColumn("hi_fence", F.col("q3") + reach * spread))
+    fences = quart.withColumn("lo_fence", F.col("q1") - reach * spread).withColumn("hi_fence", F.col("q3") + reach * spread)
+    return attach(rows, fences, keys, "inner")
 
 
 def boxplot_stats(df: DataFrame, keys: Sequence[str], value: str = "pm25", reach: float = 1.5) -> DataFrame:
-    """Quartiles, whisker ends and number of outliers per group.
-
-    Everything runs on distinct values with their counts, so the rows are read and shuffled once.
-    """
-    fenced = _with_fences(value_counts(df, value, keys), keys, reach)
+    """Quartiles, whisker ends and number of outliers per group, summed up in the tasks that read the rows."""
+    fenced = _with_fences(df, keys, value, reach)
     v = F.col("value")
     stats = fenced.groupBy(*keys, "q1", "median", "q3").agg(
-        F.sum("n").alias("count"),
+        F.count(F.lit(1)).alias("count"),
         F.min(F.when(v >= F.col("lo_fence"), v)).alias("whisker_low"),
         F.max(F.when(v <= F.col("hi_fence"), v)).alias("whisker_high"),
-        F.coalesce(F.sum(F.when((v < F.col("lo_fence")) | (v > F.col("hi_fence")), F.col("n"))),
-                   F.lit(0)).alias("outliers"))
+        F.count_if((v < F.col("lo_fence")) | (v > F.col("hi_fence"))).alias("outliers"))
     return (stats.withColumn("whisker_low", F.least("whisker_low", "q1"))
                  .withColumn("whisker_high", F.greatest("whisker_high", "q3")))
 
 
 def boxplot_outliers(df: DataFrame, keys: Sequence[str], value: str = "pm25", reach: float = 1.5) -> DataFrame:
     """The outlying values themselves with their multiplicity."""
-    fenced = _with_fences(value_counts(df, value, keys), keys, reach)
     v = F.col("value")
-    return fenced.where((v < F.col("lo_fence")) | (v > F.col("hi_fence"))).select(*keys, "value", "n")
+    beyond = _with_fences(df, keys, value, reach).where((v < F.col("lo_fence")) | (v > F.col("hi_fence")))
+    return beyond.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"))

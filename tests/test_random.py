@@ -210,3 +210,23 @@ def test_blockwise_scan_equals_one_window(spark, widths):
         np.testing.assert_array_equal(part["before"], part["knot"].ffill().shift())
         np.testing.assert_array_equal(part["after"], part["knot"].bfill().shift(-1))
         np.testing.assert_array_equal(part["start"].fillna(0), part["n"].cumsum().shift().fillna(0))
+
+
+def test_quantiles_of_many_values_in_a_narrow_range(spark, monkeypatch):
+    """200,000 distinct values within a millionth, copies, infinities and tiny values; ranges are cut again and again."""
+    from hazeline.operators import quantiles as Q
+
+    monkeypatch.setattr(Q, "SMALL", 500)
+    rng = np.random.RandomState(9)
+    values = np.concatenate([100 + rng.rand(200_000) * 1e-6, np.full(3000, 100.0000005), rng.normal(size=500) * 1e-9,
+                             [np.inf, -np.inf, 1e300, -1e300, 5e-324, 0.0, -0.0]])
+    df = spark.createDataFrame(pd.DataFrame({"v": values, "k": np.where(np.arange(len(values)) % 3 == 0, 1, 2)}))
+    probs = {f"p{i}": p for i, p in enumerate((0.001, 0.25, 0.5, 0.9, 0.9999))}
+    ends = quantiles(df, "v", {"least": 0.0, "greatest": 1.0}).first()
+    assert (ends.least, ends.greatest) == (-np.inf, np.inf)
+    got = quantiles(df, "v", probs).first()
+    with np.errstate(invalid="ignore"):
+        assert [got[n] for n in probs] == pytest.approx(list(np.quantile(values, list(probs.values()))), rel=1e-15)
+        for r in quantiles(df, "v", {"m": 0.5, "q": 0.77}, ["k"]).collect():
+            mine = values[np.arange(len(values)) % 3 == 0] if r.k == 1 else values[np.arange(len(values)) % 3 != 0]
+            assert [r.m, r.q] == pytest.approx(list(np.quantile(mine, [0.5, 0.77])), rel=1e-15)
