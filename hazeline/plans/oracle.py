@@ -489,3 +489,9 @@ ORACLE["sensor_tree_importance"] = tree_sql(f""", g AS ({{gains}}), w AS (SELECT
 n AS (SELECT unnest([1, 2, 3]) AS f, unnest(['hour_of_day', 'day_of_week', 'day_of_month']) AS feature)
 SELECT w.sensor_id, n.feature, {rd('coalesce(sum(g.gain), 0.0) / whole')} AS importance
 FROM w JOIN n ON true LEFT JOIN g ON g.sensor_id = w.sensor_id AND g.f = n.f GROUP BY w.sensor_id, n.feature, whole""")
+
+_ROLLED = f"""count(pm25) AS count, {rd(_m)} AS mean, {rd('stddev_samp(pm25)')} AS std, {rd('min(pm25)')} AS min,
+{rd('max(pm25)')} AS max, count(DISTINCT CAST(datetime AS DATE)) AS days"""
+_INSIDE = "WHERE CAST(datetime AS DATE) BETWEEN DATE '2024-01-06' AND DATE '2024-01-23'"
+ORACLE["partials_per_sensor"] = using("m", f"SELECT sensor_id, {_ROLLED} FROM m {_INSIDE} GROUP BY sensor_id")
+ORACLE["partials_city"] = using("m", f"SELECT {_ROLLED}, count(DISTINCT event_type) AS distinct_event_type FROM m {_INSIDE}")

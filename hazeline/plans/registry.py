@@ -14,6 +14,7 @@ from hazeline.functions.risk import (
 )
 from hazeline.operators import aggregate as A, clean as C, distribution as D, filters as X, joins as J, learn
 from hazeline.operators.forecast import seasonal_forecast
+from hazeline.operators import partials as P
 from hazeline.operators.keyed_trees import train_keyed
 from hazeline.operators.health import health_rollup, health_summary
 from hazeline.operators.latest import (
@@ -21,6 +22,7 @@ from hazeline.operators.latest import (
 )
 from hazeline.operators.series import fill_gaps, resample_daily, rolling_means
 from hazeline.plans import archived, quality, reports as R
+from hazeline.session import fresh_path
 from hazeline.sources import tables as S
 from hazeline.streaming import live as L
 
@@ -561,6 +563,26 @@ def bulk_resample(spark, d):
     return settled(resample_daily(with_calendar(S.bulk_measurements(spark, d))))
 
 
+# --- stored partials ----------------------------------------------------------------------------
+
+def _partials(spark, d):
+    """Daily partials per sensor, written and read back for eighteen days in the middle."""
+    path = fresh_path(spark, "partials")
+    P.store_partials(S.measurements(spark, d), path, distinct=["event_type"])
+    return P.read_partials(spark, path, "2024-01-06", "2024-01-23")
+
+
+@query
+def partials_per_sensor(spark, d):
+    return settled(P.rolled_up(_partials(spark, d), ["sensor_id"]))
+
+
+@query
+def partials_city(spark, d):
+    """The whole city; event types are so few that their sketch counts them exactly."""
+    return settled(P.rolled_up(_partials(spark, d), distinct=["event_type"]))
+
+
 # --- streams ------------------------------------------------------------------------------------
 
 def _event_stream(spark, d):
