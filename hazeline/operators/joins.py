@@ -5,27 +5,65 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 MAX_BROADCAST_ROWS = 500_000
 MAX_BROADCAST_BYTES = 64 << 20
+# a key with more facts than this is cut; candidates that the frequent-items sketch keeps
+HEAVY_ROWS = 1_000_000
+TRACKED = 4096
 
 
 def fits_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
-    """Measure a small side before broadcasting it: each task sends one count and one size, no rows."""
-    row = df.agg(F.count(F.lit(1)).alias("rows"),
-                 F.coalesce(F.sum(F.length(F.to_json(F.struct("*")))), F.lit(0)).alias("bytes")).first()
+    """Measure a small side before broadcasting it: each task sends one count and one size, no rows.
+
+    Fixed-width columns count by their type, so only the lengths of texts and nested values are computed.
+    """
+    fixed, sizes = 0, []
+    for field in df.schema.fields:
+        col = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            sizes.append(F.octet_length(col))
+        elif isinstance(field.dataType, (T.StructType, T.ArrayType, T.MapType)):
+            sizes.append(F.octet_length(F.to_json(F.struct(col))))
+        else:
+            fixed += 8
+    width = F.lit(fixed)
+    for size in sizes:
+        width = width + F.coalesce(size, F.lit(0))
+    row = df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(width.cast("long")), F.lit(0)).alias("bytes")).first()
     return row["rows"] <= max_rows and row["bytes"] <= max_bytes
 
 
+def _key_hash(on: Sequence[str], common: T.StructType) -> Column:
+    """A hash of the key that is the same on both sides of a join, whatever their number types."""
+    def alike(name: str) -> Column:
+        col = F.col(f"`{name}`").cast(common[name].dataType)
+        return F.when(col == 0, F.lit(0.0)).otherwise(col) if isinstance(common[name].dataType, T.FractionalType) else col
+    return F.xxhash64(*[alike(c) for c in on])
+
+
+def heavy_keys(facts: DataFrame, on: Sequence[str], hashed: Column, heavy_rows: int, tracked: int = TRACKED) -> DataFrame:
+    """Keys with more than about ``heavy_rows`` rows and the number of parts that they are to be cut into.
+
+    One pass with a frequent-items sketch over key hashes, which never counts a key too low: a key that is not heavy may
+    be cut without need, a heavy one is not missed while there are fewer than ``tracked`` keys of that size. At most
+    ``tracked`` rows come to the driver, two numbers each.
+    """
+    found = facts.dropna(subset=list(on)).select(hashed.alias("h")).agg(
+        F.expr(f"approx_top_k(h, {tracked // 4}, {tracked})").alias("top")).first()["top"] or []
+    rows = [(r["item"], -(-r["count"] // heavy_rows)) for r in found if r["count"] > heavy_rows]
+    return facts.sparkSession.createDataFrame(rows, "_hash long, _parts long")
+
+
 def attach(facts: DataFrame, dim: DataFrame, on: str | Sequence[str] = "sensor_id", how: str = "left",
-           max_rows: int = MAX_BROADCAST_ROWS, salts: int = 32) -> DataFrame:
+           max_rows: int = MAX_BROADCAST_ROWS, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
     """Join facts to a dimension without ever shuffling the facts by a hot key alone.
 
-    A dimension measured to be small is broadcast. A larger one is joined on (key, salt):
-    every fact row takes one of ``salts`` buckets by a hash of its plain columns and the dimension is repeated
-    per bucket, so a key holding a third of the rows is spread over ``salts`` tasks. Sides that
-    a salted join cannot preserve (right, outer) are completed with the unmatched dimension rows.
+    A dimension measured to be small is broadcast. For a larger one the keys with more than ``heavy_rows`` facts are
+    found by a sketch: their facts are dealt to as many parts as their count asks for, by a hash of the plain columns,
+    and their dimension rows are repeated once for each part. All other keys stay whole and nothing of them is copied.
+    Sides that such a join cannot preserve (right, outer) are completed with the unmatched dimension rows.
     Duplicate dimension keys multiply rows, as in any equi-join. Other columns that both sides have
     get the endings ``_x`` (facts) and ``_y`` (dimension).
     """
@@ -43,10 +81,7 @@ def attach(facts: DataFrame, dim: DataFrame, on: str | Sequence[str] = "sensor_i
     if fits_broadcast(dim, max_rows):
         joined = facts.join(F.broadcast(dim), on, kept)
     else:
-        plain = [f.name for f in facts.schema.fields if isinstance(f.dataType, T.AtomicType)]
-        bucket = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in plain]), F.lit(salts)).cast("int")
-        repeated = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        joined = facts.withColumn("_salt", bucket).join(repeated, [*on, "_salt"], kept).drop("_salt")
+        joined = _joined_in_parts(facts, dim, on, kept, heavy_rows)
     if how in ("inner", "left"):
         return joined
     # map-side combined distinct keys: one row per key and task is shuffled, whatever the skew
@@ -54,6 +89,22 @@ def attach(facts: DataFrame, dim: DataFrame, on: str | Sequence[str] = "sensor_i
     return joined.unionByName(unmatched, allowMissingColumns=True)
 
 
+def _joined_in_parts(facts: DataFrame, dim: DataFrame, on: list[str], kept: str, heavy_rows: int) -> DataFrame:
+    """An equi-join whose heavy keys are cut; rows without key, which match nothing, are dealt out as well."""
+    common = facts.select(*on).limit(0).unionAll(dim.select(*on).limit(0)).schema
+    hashed = _key_hash(on, common)
+    heavy = F.broadcast(heavy_keys(facts, on, hashed, heavy_rows))  # at most TRACKED rows of two numbers
+    plain = [f.name for f in facts.schema.fields if isinstance(f.dataType, T.AtomicType)]
+    spread = F.xxhash64(*[F.col(f"`{c}`") for c in plain])
+    parts = F.coalesce("_parts", F.lit(1).cast("long"))
+    keyless = reduce(lambda a, b: a | b, [F.col(f"`{c}`").isNull() for c in on])
+    left = (facts.withColumn("_hash", hashed).join(heavy, "_hash", "left")
+            .withColumn("_part", F.when(keyless, spread).otherwise(F.pmod(spread, parts))).drop("_hash", "_parts"))
+    right = (dim.withColumn("_hash", hashed).join(heavy, "_hash", "left")
+             .withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("_hash", "_parts"))
+    return left.join(right, [*on, "_part"], kept).drop("_part")
+
+
 def lookup(df: DataFrame, dim: DataFrame, on: str, column: str, default: str) -> DataFrame:
     """Dimension value with a default for unknown keys."""
     joined = attach(df, dim.select(on, column), on, "left")

@@ -11,6 +11,7 @@ from hazeline.functions.numeric import epoch_micros, floor_div, round_stable
 from hazeline.operators import aggregate as A, clean, distribution as D, filters as X
 from hazeline.operators.forecast import seasonal_forecast
 from hazeline.operators.health import health_rollup
+from hazeline.operators import joins
 from hazeline.operators.joins import attach, live_or_archive
 from hazeline.operators.latest import keep_first, latest_per_sensor, latest_snapshot
 from hazeline.operators.quantiles import quantiles
@@ -332,7 +333,25 @@ def test_attach_salted_equals_plain_join(spark, how):
         return sorted(map(str, df.select("sensor_id", "id", "name").collect()))
     expected = rows(facts.join(dim, "sensor_id", how))
     assert rows(attach(facts, dim, how=how)) == expected
-    assert rows(attach(facts, dim, how=how, max_rows=2, salts=5)) == expected
+    assert rows(attach(facts, dim, how=how, max_rows=2, heavy_rows=50)) == expected
+    assert rows(attach(facts, dim, how=how, max_rows=2)) == expected
+
+
+def test_only_heavy_keys_are_cut(spark):
+    """A third of the rows on one key: it is cut, and the dimension is repeated for it alone."""
+    facts = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 5000).cast("int").alias("sensor_id"), "id")
+    dim = spark.range(5000).withColumnRenamed("id", "sensor_id").withColumn("name", F.col("sensor_id").cast("string"))
+    common = facts.select("sensor_id").unionAll(dim.select("sensor_id")).schema
+    heavy = joins.heavy_keys(facts, ["sensor_id"], joins._key_hash(["sensor_id"], common), 1000).collect()
+    assert [r._parts for r in heavy] == [11]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = attach(facts, dim, max_rows=10, heavy_rows=1000).withColumn("task", F.spark_partition_id())
+        counts = out.where("sensor_id = 7").groupBy("task").count().collect()
+        assert len(counts) == 4 and max(r["count"] for r in counts) < 6000  # all four tasks of the session
+        assert out.count() == 30_000 and out.where("name is null or name <> cast(sensor_id as string)").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
 
 
 def test_attach_edge_cases(spark):
