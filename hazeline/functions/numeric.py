@@ -9,15 +9,16 @@ HOUR_US = 3_600_000_000
 
 
 def round_stable(col: Column, digits: int) -> Column:
-    """Round half up, after a nudge far below the last kept digit.
+    """Round half up, after a nudge in the last few of a double's sixteen digits.
 
     An average that should sit exactly on a tie carries summation noise that depends on
-    how rows were partitioned; the nudge sends all of those the same way. From 2^52 steps on a double has
+    how rows were partitioned; a nudge of 1e-12 of the value sends all of those the same way and is too small to
+    move any other value that is given with a dozen digits. From 2^52 steps on a double has
     no digits left to round and stays as it is; NaN is missing.
     """
     scale = float(10**digits)
     steps = col.cast("double") * F.lit(scale)
-    rounded = (F.floor(steps + F.lit(0.500001)) / F.lit(scale)).cast("double")
+    rounded = (F.floor(steps + F.lit(0.5) + F.abs(steps) * F.lit(1e-12)) / F.lit(scale)).cast("double")
     return F.when(F.isnan(steps), None).when(F.abs(steps) < F.lit(float(1 << 52)), rounded).otherwise(col.cast("double"))
 
 

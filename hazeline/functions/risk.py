@@ -7,7 +7,7 @@ from itertools import chain
 from pyspark.sql import Column, functions as F
 
 from hazeline.functions import constants as K
-from hazeline.functions.numeric import round_stable
+from hazeline.functions.numeric import null_if_nan, round_stable
 
 
 def _by_upper_bound(pm25: Column, steps, above: str) -> Column:
@@ -20,13 +20,15 @@ def _by_upper_bound(pm25: Column, steps, above: str) -> Column:
 
 
 def risk_band(pm25: Column) -> Column:
-    """Six-level band; zero, negative and missing readings are Unknown."""
+    """Six-level band; zero, negative and missing readings, NaN included, are Unknown."""
+    pm25 = null_if_nan(pm25)
     known = _by_upper_bound(pm25, [(b, label) for b, label, _ in K.RISK_BANDS], K.RISK_TOP[0])
     return F.when(pm25 > 0, known).otherwise(K.RISK_UNKNOWN)
 
 
 def risk_message(pm25: Column) -> Column:
     """The message of the band, NULL for Unknown."""
+    pm25 = null_if_nan(pm25)
     known = _by_upper_bound(pm25, [(b, text) for b, _, text in K.RISK_BANDS], K.RISK_TOP[1])
     return F.when(pm25 > 0, known)
 
@@ -39,7 +41,8 @@ def estimator_category(pm25: Column) -> Column:
 
 
 def relative_risk(pm25: Column, coefficient: float) -> Column:
-    """Relative risk against the annual guideline; NULL at or below it."""
+    """Relative risk against the annual guideline; NULL at or below it and for a missing reading."""
+    pm25 = null_if_nan(pm25)
     steps = (pm25 - F.lit(K.GUIDELINE_ANNUAL)) / F.lit(10.0)
     return F.when(pm25 > K.GUIDELINE_ANNUAL, F.pow(F.lit(coefficient), steps))
 

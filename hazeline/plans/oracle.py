@@ -28,7 +28,8 @@ def using(names: str, body: str) -> str:
 
 def rd(expr: str, digits: int = 4) -> str:
     scale = f"1e{digits}"
-    return f"floor(CAST({expr} AS DOUBLE) * {scale} + 0.500001) / {scale}"
+    steps = f"CAST({expr} AS DOUBLE) * {scale}"
+    return f"floor({steps} + 0.5 + abs({steps}) * 1e-12) / {scale}"
 
 
 def steps_case(expr: str, steps, above: str) -> str:
@@ -495,3 +496,24 @@ _ROLLED = f"""count(pm25) AS count, {rd(_m)} AS mean, {rd('stddev_samp(pm25)')}
 _INSIDE = "WHERE CAST(datetime AS DATE) BETWEEN DATE '2024-01-06' AND DATE '2024-01-23'"
 ORACLE["partials_per_sensor"] = using("m", f"SELECT sensor_id, {_ROLLED} FROM m {_INSIDE} GROUP BY sensor_id")
 ORACLE["partials_city"] = using("m", f"SELECT {_ROLLED}, count(DISTINCT event_type) AS distinct_event_type FROM m {_INSIDE}")
+
+ORACLE["one_sensor_now"] = using("m", """SELECT sensor_id, datetime, pm25 FROM m WHERE sensor_id = 7
+ORDER BY datetime DESC, event_id DESC LIMIT 1""")
+ORACLE["sensor_series"] = using("m", "SELECT datetime, pm25 FROM m WHERE sensor_id = 7")
+ORACLE["sensor_hourly"] = using("m", f"""
+SELECT CAST(extract(hour FROM datetime) AS INTEGER) AS hour, {rd(_m)} AS pm25_mean,
+{rd('stddev_samp(pm25)')} AS pm25_std, {rd('avg(pm25) - stddev_samp(pm25)')} AS pm25_lower,
+{rd('avg(pm25) + stddev_samp(pm25)')} AS pm25_upper FROM m WHERE sensor_id = 7 GROUP BY 1""")
+ORACLE["district_comparison_boxes"] = using("ms", f"""
+, x AS (SELECT pm25, district_slug FROM m JOIN s USING (sensor_id)), {box('x', 'district_slug')}
+{BOX_OUT.replace('FROM f', """FROM f WHERE district_slug IN (SELECT district_slug FROM x GROUP BY 1
+ORDER BY floor(avg(pm25) * 100 + 0.5 + abs(avg(pm25) * 100) * 1e-12) DESC, 1 LIMIT 5)""")}""")
+ORACLE["quick_first_points"] = using("m", "SELECT * FROM m ORDER BY datetime, event_id LIMIT 300")
+ORACLE["personal_advice"] = using("m", f"""
+, {LIVE}, t AS ({fallback(PAST_MEAN)}),
+w AS (SELECT *, unnest([{', '.join(f"'{p}'" for p in K.PROFILE_ADVICE)}]) AS profile FROM t)
+SELECT sensor_id, {rd(_v)} AS pm25, source, profile, {band(_v)} AS risk_level, {advice('profile', _v)} AS advice FROM w""")
+ORACLE["clean_whole_frame"] = using("d", f"""
+, {UNIQUE}, q AS ({fences('u', 3.0)}),
+w AS (SELECT event_id, datetime, sensor_id, event_type, {INSIDE} AS pm25, pm25 AS was FROM u, q), {knots('w', '1')}
+SELECT event_id, datetime, sensor_id, event_type, {rd(TIME_FILL)} AS pm25 FROM n""")

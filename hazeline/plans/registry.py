@@ -381,6 +381,7 @@ def clean_series(spark, d):
 
 @query
 def cleaning_log(spark, d):
+    """The log of one cleaning run, counted while it ran."""
     return C.cleaning_log(S.raw_measurements(spark, d), ts="datetime", order=TIE)
 
 
@@ -531,6 +532,47 @@ def monthly_stats(spark, d):
     return settled(R.monthly_diagram(S.measurements(spark, d), S.sensors(spark, d))["stats"])
 
 
+@query
+def one_sensor_now(spark, d):
+    return R.one_sensor_reading(_latest(spark, d), 7).select("sensor_id", "datetime", "pm25")
+
+
+@query
+def sensor_series(spark, d):
+    return R.sensor_timeseries(S.measurements(spark, d), 7)["series"]
+
+
+@query
+def sensor_hourly(spark, d):
+    return settled(R.sensor_timeseries(S.measurements(spark, d), 7)["hourly"])
+
+
+@query
+def district_comparison_boxes(spark, d):
+    boxes = R.district_comparison(S.measurements(spark, d), S.sensors(spark, d), _placed(spark, d), 5)["boxes"]
+    return settled(boxes)
+
+
+@query
+def quick_first_points(spark, d):
+    return R.quick_analysis(S.measurements(spark, d), S.sensors(spark, d), 300, tie=TIE)["series"]
+
+
+@query
+def personal_advice(spark, d):
+    """Advice on the live reading of each sensor, else on the mean of its archive; the source says which."""
+    live, past = _live_and_archive(spark, d)
+    means = past.groupBy("sensor_id").agg(F.avg("pm25").alias("pm25"))
+    current = J.live_or_archive(_customers(spark, d).select("sensor_id"), live, means)
+    return settled(R.personal_advice(current))
+
+
+@query
+def clean_whole_frame(spark, d):
+    """The original's form: the whole frame is one series."""
+    return settled(C.clean_series(S.raw_measurements(spark, d), ts="datetime", keys=(), order=TIE))
+
+
 # --- the largest table --------------------------------------------------------------------------
 
 @query

@@ -142,6 +142,11 @@ def test_risk_band(spark):
     assert [r[0] for r in df.orderBy("i").select(R.risk_band(F.col("v"))).collect()] == expected
 
 
+def test_nan_has_no_band(spark):
+    nan = spark.createDataFrame([(float("nan"),)], "v double").select(R.risk_band(F.col("v")), *R.excess_risk_columns(F.col("v")))
+    assert set(nan.first()) == {"Unknown", None}
+
+
 def test_estimator_category(spark):
     points = [-1, 5, 10, 15, 20, 25, 30]
     expected = ["Good", "Good", "Moderate", "Moderate", "Very Unhealthy", "Very Unhealthy", "Hazardous"]
@@ -202,6 +207,8 @@ def test_forecast_noise_is_repeatable_and_centred(spark):
 def test_rounding(spark):
     df = spark.createDataFrame([(2.344999,), (2.345,), (-1.005,), (None,)], "v double")
     assert [r[0] for r in df.select(round_stable(F.col("v"), 2)).collect()] == [2.34, 2.35, -1.0, None]
+    close = spark.createDataFrame([(12.344999995,), (12.345000001,), (float("nan"),)], "v double")
+    assert [r[0] for r in close.select(round_stable(F.col("v"), 2)).collect()] == [12.34, 12.35, None]
 
 
 def test_epoch_micros_ignores_session_zone(spark):
@@ -307,6 +314,17 @@ def test_cleaning_log_and_summary(spark):
     assert clean.cleaning_summary(clean.cleaning_log(df, order=["i"])).count() == 3
 
 
+def test_log_is_filled_by_the_run_that_cleans(spark):
+    df = series(spark, [1.0, -1.0, 3.0, 3.0, 2.0, 2.5, 1.5, 2.0, 1000.0], list(range(1, 10)))
+    log = clean.CleaningLog()
+    out = clean.clean_series(df.unionAll(df.where("i < 2")), order=["i"], log=log)
+    assert out.columns == df.columns
+    got = {r.i: r.pm25 for r in out.collect()}
+    assert len(got) == 9 and got[1] == 2.0 and got[8] == 2.0
+    assert {r.step: r.rows for r in log.frame(spark).collect()} == {
+        "duplicates_removed": 2, "negatives_to_null": 1, "outliers_to_null": 1, "gaps_filled": 2}
+
+
 def test_latest(spark):
     df = spark.createDataFrame([(0, day(3), 1.0), (1, day(3), 2.0), (2, day(2), 3.0), (1, day(1), 9.0)],
                                "sensor_id int, datetime timestamp, pm25 double")
