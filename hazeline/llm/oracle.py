@@ -22,6 +22,10 @@ UNION ALL
 SELECT r.conv_id, r.conv_id || ':' || (r.turn - 1), 'orphan', NULL, 1,
  sha256('{{"id":' || to_json(r.conv_id || ':' || (r.turn - 1)) || ',"result":' || coalesce(to_json(r.text), 'null') || '}}')
 FROM answers r WHERE NOT EXISTS (SELECT 1 FROM asked a WHERE a.conv_id = r.conv_id AND a.turn = r.turn - 1)
+UNION ALL
+SELECT conv_id, conv_id || ':' || turn, 'plain', NULL, 0, sha256('{{"role":' || coalesce(to_json(role), 'null') || ',"text":'
+ || coalesce(to_json(text), 'null') || ',"turn":' || coalesce(CAST(turn AS VARCHAR), 'null') || '}}')
+FROM conversations WHERE role IS NULL OR role NOT IN ('user', 'assistant') OR conv_id IS NULL OR turn IS NULL
 """
 
 DECONTAMINATION = r"""

@@ -42,8 +42,10 @@ def op7_merged_bwt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls, results = toolcalls.calls_of(table(spark, sf_dir, "conversations"))
-    return toolcalls.digests(toolcalls.linked(calls, results, toolcalls.answer_schema(calls)))
+    turns = table(spark, sf_dir, "conversations")
+    calls, results = toolcalls.calls_of(turns)
+    rows = toolcalls.linked(calls, results, toolcalls.answer_schema(calls))
+    return toolcalls.digests(rows.unionAll(toolcalls.plain_turns(turns)))
 
 
 def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Chat formatting by linking tool calls and results (operator 8), DataFrame functions only.
 
-Calls and results meet in a hash join on conversation and call id. A call may need the results of others: levels are
-found by rounds of joins, each of which places the calls whose needs are all placed, until no call can be placed; what
-is left is in a cycle or behind one. Arguments are checked against the tool's schema. A call becomes one line of
+Calls and results meet in a hash join on conversation and call id. A call may need the results of others: its level is
+the longest way down to a call that needs none. Chains are contracted by pointer doubling, the rest is placed in rounds
+of joins, each of which counts down the needs that the round before met; what is never placed is in a cycle or behind one. Arguments are checked against the tool's schema. A call becomes one line of
 canonical JSON: keys sorted, no spare white space.
 
 Defined results: calls and results without conversation or id are left out. Of calls that repeat an id the least by
@@ -14,6 +14,8 @@ tools without schema that is the only problem. Other columns are not read, whate
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hazeline.session import materialized
@@ -49,21 +51,69 @@ def answer_schema(calls: DataFrame) -> DataFrame:
     return materialized(schema, "schema")
 
 
+def plain_turns(conversations: DataFrame) -> DataFrame:
+    """Turns that are neither call nor result (other roles, no role, no conversation or turn), as ``linked`` rows."""
+    known = F.coalesce(F.col("role").isin("user", "assistant"), F.lit(False)) & F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
+    line = F.to_json(F.struct("role", "text", "turn"), {"ignoreNullFields": "false"})
+    return conversations.where(~known).select(
+        "conv_id", F.concat(F.col("conv_id").cast("string"), F.lit(":"), F.col("turn").cast("string")).alias("call_id"),
+        F.lit("plain").alias("status"), F.lit(None).cast("long").alias("level"),
+        F.array().cast("array<string>").alias("problems"), line.alias("json"))
+
+
+def _ends_of_chains(single: DataFrame) -> DataFrame:
+    """Calls with one need (conv_id, call_id, need): where the chain of such calls ends, and how far that is.
+
+    Pointers are doubled: every round a call takes over the pointer of the call that it points to, so a chain of n calls
+    takes log n rounds, each over one written table. Calls whose chain never ends are in a cycle or behind one; their
+    pointers stay within it.
+    """
+    at = materialized(single.select(*KEY, F.col("need").alias("end"), F.lit(1).cast("long").alias("steps")), "chains")
+    reach, total = 1, at.count()
+    while reach <= total:
+        ahead = at.select("conv_id", F.col("call_id").alias("end"), F.col("end").alias("further"), F.col("steps").alias("more"))
+        jumped = materialized(
+            at.join(ahead, ["conv_id", "end"], "left").select(
+                *KEY, F.coalesce("further", "end").alias("end"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"),
+                F.col("further").isNotNull().alias("moved")), "chains")
+        at, reach = jumped.drop("moved"), 2 * reach
+        if jumped.where("moved").isEmpty():
+            break
+    return at
+
+
 def levels(calls: DataFrame, edges: DataFrame) -> DataFrame:
-    """(conv_id, call_id, level) of every call that can be placed; edges: (conv_id, call_id, need)."""
-    placed = materialized(calls.join(edges.select(KEY).distinct(), KEY, "left_anti")
-                          .select(*KEY, F.lit(0).alias("level")), "level")
-    waiting = edges
-    while True:
-        have = placed.select("conv_id", F.col("call_id").alias("need"), F.col("level").alias("at"))
-        ready = (waiting.join(have, ["conv_id", "need"], "left").groupBy(KEY)
-                 .agg(F.count("*").alias("n"), F.count("at").alias("met"), F.max("at").alias("at")).where("n = met")
-                 .select(*KEY, (F.col("at") + 1).alias("level")))
-        ready = materialized(ready, "level")
-        if not ready.head(1):
-            return placed
-        placed = placed.unionAll(ready)
-        waiting = materialized(waiting.join(ready, KEY, "left_anti"), "waiting")
+    """(conv_id, call_id, level) of every call that can be placed; edges: (conv_id, call_id, need), each once.
+
+    Chains of calls with one need are contracted first. What is left are calls with several needs: a round meets their
+    edges with the calls placed in the round before only and counts unmet needs down. Every round reads and writes
+    tables, so its plan is of one size, and there are as many rounds as calls with several needs lie behind one another.
+    """
+    needs = edges.groupBy(KEY).agg(F.count(F.lit(1)).alias("n"), F.min("need").alias("need"))
+    needs = materialized(needs, "needs")
+    chains = _ends_of_chains(needs.where("n = 1").select(*KEY, "need"))
+    roots = calls.join(needs, KEY, "left_anti").select(*KEY, F.lit(0).cast("long").alias("level"))
+    placed = [materialized(roots, "level")]
+    waiting = materialized(needs.where("n > 1").select(*KEY, F.col("n").alias("unmet"), F.lit(0).cast("long").alias("level")), "waiting")
+    if not waiting.isEmpty():
+        shortened = chains.select("conv_id", F.col("call_id").alias("need"), "end", "steps")
+        several = materialized(
+            edges.join(waiting.select(KEY), KEY, "left_semi").join(shortened, ["conv_id", "need"], "left").select(
+                *KEY, F.coalesce("end", "need").alias("need"), (F.coalesce("steps", F.lit(0)) + 1).alias("steps")), "edges")
+        while not placed[-1].isEmpty() and not waiting.isEmpty():
+            news = placed[-1].select("conv_id", F.col("call_id").alias("need"), F.col("level").alias("below"))
+            met = several.join(news, ["conv_id", "need"]).groupBy(KEY).agg(
+                F.count(F.lit(1)).alias("met"), F.max(F.col("below") + F.col("steps")).alias("above"))
+            left = materialized(
+                waiting.join(met, KEY, "left").select(
+                    *KEY, (F.col("unmet") - F.coalesce("met", F.lit(0))).alias("unmet"),
+                    F.greatest("level", F.coalesce("above", F.lit(0))).alias("level")), "waiting")
+            placed.append(materialized(left.where("unmet = 0").select(*KEY, "level"), "level"))
+            waiting = materialized(left.where("unmet > 0"), "waiting")
+    found = reduce(DataFrame.unionAll, placed)
+    ends = found.select("conv_id", F.col("call_id").alias("end"), F.col("level").alias("below"))
+    behind = chains.join(ends, ["conv_id", "end"]).select(*KEY, (F.col("below") + F.col("steps")).alias("level"))
+    return found.unionAll(behind)
 
 
 def _problems(arguments: Column) -> Column:
@@ -111,7 +161,7 @@ def linked(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFram
     rows = both.withColumn("args", arguments).select(
         *KEY, status.alias("status"), "level", problems.alias("problems"), line.alias("json"))
     orphans = results.join(calls.select(KEY), KEY, "left_anti").select(
-        *KEY, F.lit("orphan").alias("status"), F.lit(None).cast("int").alias("level"),
+        *KEY, F.lit("orphan").alias("status"), F.lit(None).cast("long").alias("level"),
         F.array(F.lit("no call")).alias("problems"),
         F.to_json(F.struct(F.col("call_id").alias("id"), F.col("content").alias("result")), {"ignoreNullFields": "false"}).alias("json"))
     return rows.unionAll(orphans)

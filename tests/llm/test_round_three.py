@@ -13,7 +13,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from hazeline.llm import alignment, captures, hardneg
+from hazeline.llm import alignment, captures, hardneg, toolcalls
 
 FILES = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
 VECTORS = "vec_id bigint, embedding array<float>, label int, q int, cell string, batch int"
@@ -234,3 +234,57 @@ def test_pieces_are_encoded_as_whole_texts_are():
 def test_packing_keeps_numbers():
     for values in ([], [0], [1, 255, 256, 1 << 40], list(range(1000))):
         assert alignment.unpack(alignment.pack(np.array(values, np.int64))).tolist() == values
+
+
+# --- levels of tool calls ---------------------------------------------------------------------------
+
+def brute_levels(needs):
+    known = {}
+    while True:
+        ready = {k: 1 + max((known[n] for n in mine), default=-1) for k, mine in needs.items()
+                 if k not in known and all(n in known for n in mine)}
+        if not ready:
+            return known
+        known |= ready
+
+
+def graph(rng, n):
+    """Chains, branches, several needs, self-needs and cycles."""
+    needs = {str(i): {str(j) for j in rng.sample(range(max(0, i - 4), i), min(i, rng.choice([0, 1, 1, 1, 2, 3])))} for i in range(n)}
+    needs["7"] |= {"7"}
+    needs["20"], needs["21"] = {"21"}, {"20"}
+    needs["22"] = {"21"}
+    return needs
+
+
+def test_levels_of_any_graph(spark):
+    rng = random.Random(11)
+    graphs = {f"g{k}": graph(rng, 60) for k in range(4)} | {"chain": {str(i): {str(i - 1)} if i else set() for i in range(5000)}}
+    calls = spark.createDataFrame([(g, c) for g, needs in graphs.items() for c in needs], "conv_id string, call_id string")
+    edges = spark.createDataFrame([(g, c, n) for g, needs in graphs.items() for c, mine in needs.items() for n in mine],
+                                  "conv_id string, call_id string, need string")
+    got = {(r.conv_id, r.call_id): r.level for r in toolcalls.levels(calls, edges).collect()}
+    assert got == {(g, c): level for g, needs in graphs.items() for c, level in brute_levels(needs).items()}
+
+
+def test_levels_of_long_chains_take_few_rounds(spark, monkeypatch):
+    rounds = []
+    real = toolcalls.materialized
+    monkeypatch.setattr(toolcalls, "materialized", lambda df, label: rounds.append(label) or real(df, label))
+    calls = spark.range(5000).select(F.lit("c").alias("conv_id"), F.col("id").cast("string").alias("call_id"))
+    edges = spark.range(1, 5000).select(F.lit("c").alias("conv_id"), F.col("id").cast("string").alias("call_id"),
+                                        (F.col("id") - 1).cast("string").alias("need"))
+    assert toolcalls.levels(calls, edges).agg(F.max("level")).first()[0] == 4999
+    assert rounds.count("chains") < 20
+
+
+def test_turns_of_every_role_are_carried(spark):
+    turns = spark.createDataFrame([("c", 0, "system", "be kind"), ("c", 1, "user", "hi"), ("c", 2, "assistant", "yes"), ("c", 3, "tool", None),
+                                   ("c", 4, None, "?"), (None, 5, "user", "x"), ("c", None, "assistant", "y")],
+                                  "conv_id string, turn int, role string, text string")
+    plain = {(r.conv_id, r.call_id): r.json for r in toolcalls.plain_turns(turns).collect()}
+    assert len(plain) == 5 and plain["c", "c:0"] == '{"role":"system","text":"be kind","turn":0}'
+    assert toolcalls.plain_turns(turns).count() == 5
+    empty = turns.limit(0)
+    calls, results = toolcalls.calls_of(empty)
+    assert toolcalls.linked(calls, results, toolcalls.answer_schema(calls)).count() == 0
