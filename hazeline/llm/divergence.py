@@ -74,6 +74,7 @@ def measured(docs: DataFrame) -> DataFrame:
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     rows = docs.select("doc_id", _language().alias("language"), text.alias("text")).select(
         "doc_id", "language", F.array_remove(F.split("text", SPACE), "").alias("words"),
+        F.array_remove(F.split(F.lower("text"), SPACE), "").alias("lower_words"),
         F.char_length("text").cast("long").alias("chars"),
         _without(F.col("text"), r"[\x20\x09-\x0D]+").alias("word_chars"),
         _without(F.col("text"), r"[^#*$%&|<>]+").alias("symbol"),
@@ -81,7 +82,7 @@ def measured(docs: DataFrame) -> DataFrame:
         _without(F.col("text"), r"[^\p{Lu}]+").alias("upper"), _without(F.col("text"), r"[^\p{Nd}]+").alias("digit"),
         F.when(F.instr("text", "\n") > 0, _bound(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))).otherwise(0)
         .cast("long").alias("n_dup_lines"))
-    return rows.select("doc_id", "language", "words", "word_chars", F.col("symbol").alias("n_symbols"), "n_dup_lines",
+    return rows.select("doc_id", "language", "words", "lower_words", "word_chars", F.col("symbol").alias("n_symbols"), "n_dup_lines",
                        F.size("words").cast("long").alias("n_words"),
                        (F.col("letters") - F.col("upper")).alias("lower"), "upper", "digit",
                        (F.col("chars") - F.col("word_chars")).alias("space"), "symbol",
@@ -100,23 +101,35 @@ def common_words(docs: DataFrame, most: int = COMMON) -> DataFrame:
         "language", F.col("top.word").alias("common"), F.col("top.times").alias("times"))
 
 
+def _counted(docs: DataFrame, common: DataFrame) -> DataFrame:
+    """Everything that is counted in a text, written once: base counts, class counts, and how often each common word of
+    its language is in it. References and distances come from these rows; texts are not read again."""
+    rows = attach(measured(docs), common.select("language", "common"), "language")
+    none = F.array().cast("array<bigint>")
+    hits = F.coalesce(_hits(F.col("lower_words"), F.col("common")), none)
+    return materialized(rows.withColumn("n_repeat_words", _repeats(F.col("words"))).withColumn("hits", hits)
+                        .drop("words", "lower_words", "common"), "measured")
+
+
+def _hits(words: Column, common: Column) -> Column:
+    """How often each common word is among the lower-cased words."""
+    return F.transform(common, lambda w: (F.size(words) - F.size(F.array_remove(words, w))).cast("long"))
+
+
 def references(docs: DataFrame) -> DataFrame:
     """One row for each language: shares of the character classes, the common words and their shares."""
-    text = _body()
-    sums = (docs.select(_language().alias("language"), text.alias("text")).select(
-        "language", F.char_length("text").cast("long").alias("chars"),
-        F.size(F.array_remove(F.split("text", SPACE), "")).cast("long").alias("words"),
-        _without(F.col("text"), r"[\x20\x09-\x0D]+").alias("word_chars"),
-        _without(F.col("text"), r"[^#*$%&|<>]+").alias("symbol"), _without(F.col("text"), r"[^\p{L}]+").alias("letters"),
-        _without(F.col("text"), r"[^\p{Lu}]+").alias("upper"), _without(F.col("text"), r"[^\p{Nd}]+").alias("digit"))
-        .groupBy("language").agg(*[F.sum(c).alias(c) for c in ("chars", "words", "word_chars", "symbol", "letters", "upper", "digit")]))
-    share = [(F.col("letters") - F.col("upper")), F.col("upper"), F.col("digit"), F.col("chars") - F.col("word_chars"),
-             F.col("symbol"), F.col("word_chars") - F.col("letters") - F.col("digit") - F.col("symbol")]
-    both = sums.join(common_words(docs), "language", "left")
+    common = materialized(common_words(docs), "common")
+    return _references(_counted(docs, common), common)
+
+
+def _references(rows: DataFrame, common: DataFrame) -> DataFrame:
+    sums = rows.groupBy("language").agg(F.sum("n_words").alias("words"), *[F.sum(c).alias(c) for c in CLASSES])
+    chars = sum((F.col(c) for c in CLASSES[1:]), F.col(CLASSES[0]))
+    both = sums.join(common, "language", "left")
     return both.select("language", F.col("words").alias("language_words"),
-                       F.array(*[c / F.col("chars") for c in share]).alias("class_share"),
+                       F.array(*[F.try_divide(c, chars) for c in CLASSES]).alias("class_share"),
                        F.coalesce("common", F.array().cast("array<string>")).alias("common"),
-                       F.coalesce(F.transform("times", lambda t: t / F.col("words")), F.array().cast("array<double>")).alias("word_share"))
+                       F.coalesce(F.transform("times", lambda t: F.try_divide(t, "words")), F.array().cast("array<double>")).alias("word_share"))
 
 
 def _distance(p: Column, q: Column) -> Column:
@@ -126,26 +139,19 @@ def _distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda s, x: s + x), F.lit(0.0)))
 
 
-def _common_shares(words: Column, common: Column) -> Column:
-    """Share of each common word among the words, then the share of all others."""
-    def of(codes: Column) -> Column:
-        each = F.transform(F.sequence(F.lit(1), F.size(common)), lambda k: F.size(F.filter(codes, lambda c: c == k)))
-        listed = F.transform(F.slice(each, 1, F.size(common)), lambda n: n / F.size(words))
-        return F.concat(listed, F.array(1.0 - F.size(codes) / F.size(words)))
-    codes = F.filter(F.transform(words, lambda w: F.array_position(common, F.lower(w)).cast("int")), lambda c: c > 0)
-    return _bound(codes, of)
-
-
 def quality(docs: DataFrame, max_class: float = MAX_CLASS_DISTANCE, max_word: float = MAX_WORD_DISTANCE) -> DataFrame:
     """doc_id, the base counts, both distances, base_failed and kept for each row of docs (doc_id, text, lang)."""
-    rows = attach(measured(docs), materialized(references(docs), "references"), "language")
+    common = materialized(common_words(docs), "common")
+    counted = _counted(docs, common)
+    rows = attach(counted, materialized(_references(counted, common), "references"), "language")
     n_chars = sum((F.col(c) for c in CLASSES[1:]), F.col(CLASSES[0]))
     enough = (F.col("n_words") >= MIN_WORDS) & (n_chars >= MIN_CHARS) & (F.col("language_words") >= MIN_LANGUAGE_WORDS)
     class_distance = F.when(enough, _distance(F.array(*[F.col(c) / n_chars for c in CLASSES]), F.col("class_share")))
     whole = F.concat("word_share", F.array(1.0 - F.aggregate("word_share", F.lit(0.0), lambda s, x: s + x)))
-    word_distance = F.when(enough & (F.size("common") > 0), _distance(_common_shares(F.col("words"), F.col("common")), whole))
-    out = rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
-                      _repeats(F.col("words")).alias("n_repeat_words"), class_distance.alias("class_distance"),
+    found = F.aggregate("hits", F.lit(0).cast("long"), lambda s, n: s + n)
+    shares = F.concat(F.transform("hits", lambda n: n / F.col("n_words")), F.array(1.0 - found / F.col("n_words")))
+    word_distance = F.when(enough & (F.size("common") > 0), _distance(shares, whole))
+    out = rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", class_distance.alias("class_distance"),
                       word_distance.alias("word_distance"))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     near = (F.coalesce("class_distance", F.lit(0.0)) <= max_class) & (F.coalesce("word_distance", F.lit(0.0)) <= max_word)

@@ -5,15 +5,17 @@ import gzip
 import hashlib
 import math
 import random
+import re
+import unicodedata
 from bisect import bisect_left
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from hazeline.llm import alignment, captures, hardneg, toolcalls
+from hazeline.llm import alignment, captures, divergence, hardneg, toolcalls
 
 FILES = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
 VECTORS = "vec_id bigint, embedding array<float>, label int, q int, cell string, batch int"
@@ -288,3 +290,61 @@ def test_turns_of_every_role_are_carried(spark):
     empty = turns.limit(0)
     calls, results = toolcalls.calls_of(empty)
     assert toolcalls.linked(calls, results, toolcalls.answer_schema(calls)).count() == 0
+
+
+# --- verdict of the quality rules -------------------------------------------------------------------
+
+def brute_kept(rows):
+    """kept of every row by plain counting; rows: (doc_id, text, lang)."""
+    space = "\x20\t\n\x0b\x0c\r"
+
+    def words_of(text):
+        return [w for w in re.split(f"[{space}]+", text) if w]
+
+    def classes(text):
+        counts = [0] * 6
+        for c in text:
+            kind = unicodedata.category(c)
+            counts[3 if c in space else 4 if c in "#*$%&|<>" else 1 if kind == "Lu" else 0 if kind[0] == "L" else 2 if kind == "Nd" else 5] += 1
+        return counts
+
+    def distance(p, q):
+        out = 0.0
+        for a, b in zip(p, q):
+            out += (a * math.log2(2 * a / (a + b)) if a > 0 else 0.0) / 2 + (b * math.log2(2 * b / (a + b)) if b > 0 else 0.0) / 2
+        return math.sqrt(max(out, 0.0))
+
+    texts = [(i, t or "", (lang or "").split("-")[0].strip().lower() or "und") for i, t, lang in rows]
+    kept = {}
+    for i, text, lang in texts:
+        mine = [t for _, t, other in texts if other == lang]
+        whole = [sum(x) for x in zip(*map(classes, mine))]
+        times = Counter(w for t in mine for w in words_of(t.lower()))
+        total = sum(len(words_of(t)) for t in mine)
+        top = sorted((-n, w.encode()) for w, n in times.items() if n > 1)[:24]
+        words, counts = words_of(text), classes(text)
+        windows = Counter(tuple(words[j: j + 8]) for j in range(len(words) - 7))
+        hit = {j + k for j in range(len(words) - 7) if windows[tuple(words[j: j + 8])] > 1 for k in range(8)}
+        good = len(words) >= 20 and 100 * len(hit) <= 30 * len(words)
+        if len(words) >= 50 and sum(counts) >= 200 and total >= 2000:
+            good &= distance([c / sum(counts) for c in counts], [c / sum(whole) for c in whole]) <= 0.29
+            own = Counter(words_of(text.lower()))
+            mine, theirs = [own[w.decode()] / len(words) for _, w in top], [-n / total for n, _ in top]
+            good &= not top or distance([*mine, 1 - sum(mine)], [*theirs, 1 - sum(theirs)]) <= 0.48
+        kept[i] = good
+    return kept
+
+
+def test_verdict_of_the_quality_rules(spark):
+    rng = random.Random(21)
+    english = "the of and to in a is that it was for on are with as his they at be this from have or by one had not but what all".split()
+    made = [f"{rng.choice('bcdfg')}{rng.choice('aeiou')}{rng.choice('lmnrst')}" for _ in range(200)]
+    rows = []
+    for i in range(60):
+        rows.append((i, " ".join(rng.choice(english if rng.random() < 0.5 else made) for _ in range(90)), ("en", "EN-us")[i % 2]))
+    rows += [(100 + i, " ".join(rng.choice(made) for _ in range(90)), "en") for i in range(5)]
+    rows += [(200 + i, " ".join(f"{rng.randrange(10**6)}|#$%" for _ in range(80)), "en") for i in range(5)]
+    rows += [(300, "THE OF AND " * 40, "en"), (301, "short text", "en"), (302, None, "en"), (303, "", None), (304, "x y " * 60, "de")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(3)
+    got = {r.doc_id: r.kept for r in divergence.quality(df).collect()}
+    assert got == brute_kept(rows) and 5 < sum(got.values()) < len(rows) - 5
