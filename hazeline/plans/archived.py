@@ -15,7 +15,7 @@ from hazeline.operators import aggregate as A
 from hazeline.sources import sinks, tables as S
 from hazeline.sources.archive import Archive, scan_hourly_snapshot
 from hazeline.sources.profile import archive_summary
-from hazeline.session import fresh_path
+from hazeline.session import fresh_path, still_written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -45,7 +45,7 @@ def query(sql: str):
 def archive_of(spark: SparkSession, d: str) -> Archive:
     """The archive of a table folder, written on first use."""
     key = spark.sparkContext.applicationId, d
-    if key not in _written:
+    if key not in _written or not still_written(spark, _written[key]):
         folder = fresh_path(spark, "archive")
         delivered = S.raw_measurements(spark, d).select(
             F.col("datetime").alias("timestamp"), "sensor_id", F.col("pm25").alias("pm2.5"),

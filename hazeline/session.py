@@ -45,16 +45,41 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+_written: dict[str, list[str]] = {}
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
-    """A new, unused path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A new, unused path below the shared folder; ``remove_written`` knows it."""
+    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def remove_written(spark: SparkSession) -> int:
+    """Delete every table and file that this application has written below the shared folder, and tell how many.
+
+    For the end of a job, once results are stored elsewhere: frames made before read these files and fail afterwards.
+    """
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    removed = 0
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        removed += bool(place.getFileSystem(conf).delete(place, True))
+    return removed
+
+
+def still_written(spark: SparkSession, path: str) -> bool:
+    """Whether a path of ``fresh_path`` has not been removed."""
+    return path in _written.get(spark.sparkContext.applicationId, [])
 
 
 def materialized(df: DataFrame, label: str) -> DataFrame:
     """Write a frame once to the shared folder and go on from the files.
 
     For results that several later passes read: they prune columns on Parquet instead of repeating a
-    shuffle, and a lost executor costs a re-read only. The files stay until the shared folder is cleaned.
+    shuffle, and a lost executor costs a re-read only. The files stay until ``remove_written``.
     """
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)

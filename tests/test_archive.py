@@ -1,6 +1,7 @@
 """CSV archives written into a fresh folder."""
 
 import datetime as dt
+import pathlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -357,3 +358,14 @@ def test_ids_that_are_no_numbers_are_errors_when_keys_are_strict(spark, tmp_path
         archive.pm25(2025).collect()
     loose = archive.pm25(2025, strict_keys=False)
     assert sorted((r.pm25, r.station_id) for r in loose.collect()) == [(5.0, None), (6.0, 7)]
+
+
+def test_written_files_can_be_removed(spark, tmp_path, monkeypatch):
+    from hazeline import session
+
+    monkeypatch.setattr(session, "_written", {})
+    df = session.materialized(spark.range(5), "some")
+    path = session._written[spark.sparkContext.applicationId][0]
+    assert df.count() == 5 and session.still_written(spark, path)
+    assert session.remove_written(spark) == 1 and not session.still_written(spark, path)
+    assert not (pathlib.Path(path.removeprefix("file:"))).exists() and session.remove_written(spark) == 0
