@@ -60,14 +60,13 @@ def remove_written(spark: SparkSession) -> int:
 
     For the end of a job, once results are stored elsewhere: frames made before read these files and fail afterwards.
     """
-    paths = _written.pop(spark.sparkContext.applicationId, [])
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    removed = 0
-    for path in paths:
-        place = jvm.org.apache.hadoop.fs.Path(path)
-        removed += bool(place.getFileSystem(conf).delete(place, True))
-    return removed
+    return sum(remove_path(spark, path) for path in _written.pop(spark.sparkContext.applicationId, []))
+
+
+def remove_path(spark: SparkSession, path: str) -> bool:
+    """Delete a file or folder in whatever file system its path names; False if there is none."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True))
 
 
 def still_written(spark: SparkSession, path: str) -> bool:

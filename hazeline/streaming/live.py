@@ -10,6 +10,7 @@ from hazeline.functions.columns import resolve_value
 from hazeline.functions.numeric import null_if_nan
 from hazeline.functions.risk import risk_band
 from hazeline.session import fresh_path
+from hazeline.streaming.keyed import KeyedTable, run_updates
 
 
 def event_time(df: DataFrame, ts: str = "datetime") -> DataFrame:
@@ -88,11 +89,12 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def replay_latest(stream: DataFrame, **kwargs) -> DataFrame:
-    """R1 run over everything available, result as a table in the shared folder."""
+    """R1 run over everything available in update mode, result as a table in the shared folder."""
     spark = stream.sparkSession
-    out, state = fresh_path(spark, "latest"), fresh_path(spark, "latest-state")
-    run_snapshots(streaming_latest(stream, **kwargs), out, state)
-    return latest_snapshot_table(spark, out)
+    table = KeyedTable(spark, fresh_path(spark, "latest"), kwargs.get("key", "sensor_id"))
+    latest = streaming_latest(stream, **kwargs)
+    run_updates(latest, table, fresh_path(spark, "latest-state"))
+    return table.read(latest.schema)
 
 
 def replay_averages(stream: DataFrame, **kwargs) -> DataFrame:

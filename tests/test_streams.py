@@ -1,11 +1,14 @@
 """Streams against the same result computed in one batch."""
 
 import datetime as dt
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from hazeline.operators.latest import latest_per_sensor
 from hazeline.streaming import live
+from hazeline.streaming.keyed import KeyedTable
 
 
 def _files(spark, tmp_path):
@@ -62,3 +65,54 @@ def test_a_folder_of_part_files_streams_like_one_file(spark, tmp_path):
     query = stream.writeStream.format("memory").queryName("folder_stream").trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.table("folder_stream").count() == 40
+
+
+def _batches(spark, n=8):
+    rng = random.Random(3)
+    return [{rng.randrange(400): (b, rng.random()) for _ in range(60)} for b in range(n)]
+
+
+def _frame(spark, batch):
+    return spark.createDataFrame([(k, b, v) for k, (b, v) in batch.items()], "sensor_id long, seen int, pm25 double")
+
+
+def _rows(table):
+    return {r.sensor_id: (r.seen, r.pm25) for r in table.read().collect()}
+
+
+def test_keyed_table_writes_in_proportion_to_changes(spark, tmp_path):
+    first = {k: (-1, 0.0) for k in range(400)}
+    table = KeyedTable(spark, str(tmp_path / "t"), buckets=8, share=0.5, least=30)
+    want, written = {}, 0
+    for i, batch in enumerate([first, *_batches(spark)]):
+        table.write(_frame(spark, batch), i)
+        want |= batch
+        assert _rows(table) == want and table.read().columns == ["sensor_id", "seen", "pm25"]
+        base = spark.read.parquet(f"{tmp_path}/t/base")
+        written += len(batch) + base.where(F.col("version") == i).count()
+    changes = 400 + sum(map(len, _batches(spark)))
+    assert written <= 4 * changes  # a merge writes a bucket once its deltas are half of it
+    left = spark.read.parquet(f"{tmp_path}/t/base").groupBy("bucket").agg(F.count_distinct("version").alias("n")).collect()
+    assert all(r.n == 1 for r in left)  # superseded versions are gone
+
+
+def test_keyed_table_after_a_restart(spark, tmp_path):
+    """A batch that comes again, and a base that was written without its commit, change nothing."""
+    first, second = {k: (0, float(k)) for k in range(100)}, {k: (1, -1.0) for k in range(0, 100, 3)}
+    table = KeyedTable(spark, str(tmp_path / "t"), buckets=4, least=10, share=0.2)
+    table.write(_frame(spark, first), 0)
+    lost = _frame(spark, {5: (9, 99.0)}).withColumn("bucket", F.lit(1))
+    lost.write.partitionBy("bucket").parquet(f"{tmp_path}/t/base/version=1")
+    assert _rows(table) == first
+    for _ in range(2):
+        KeyedTable(spark, str(tmp_path / "t"), buckets=4, least=10, share=0.2).write(_frame(spark, second), 1)
+        assert _rows(table) == first | second
+
+
+def test_keyed_table_of_nothing(spark, tmp_path):
+    table = KeyedTable(spark, str(tmp_path / "t"))
+    with pytest.raises(FileNotFoundError):
+        table.read()
+    empty = _frame(spark, {1: (0, 1.0)}).limit(0)
+    table.write(empty, 0)
+    assert table.read(empty.schema).count() == 0
