@@ -517,3 +517,13 @@ ORACLE["clean_whole_frame"] = using("d", f"""
 , {UNIQUE}, q AS ({fences('u', 3.0)}),
 w AS (SELECT event_id, datetime, sensor_id, event_type, {INSIDE} AS pm25, pm25 AS was FROM u, q), {knots('w', '1')}
 SELECT event_id, datetime, sensor_id, event_type, {rd(TIME_FILL)} AS pm25 FROM n""")
+
+ORACLE["stream_live_or_file"] = using("m", f"""
+, z AS (SELECT sensor_id, arg_max(pm25, datetime) AS pm25 FROM m GROUP BY 1
+  HAVING max(datetime) + INTERVAL 1 HOUR > date_trunc('milliseconds', (SELECT max(datetime) FROM m))),
+a AS (SELECT sensor_id, avg(pm25) AS pm25 FROM m
+  WHERE CAST(datetime AS DATE) < (SELECT max(CAST(datetime AS DATE)) FROM m) GROUP BY 1)
+SELECT c_custkey AS sensor_id, {rd('CASE WHEN z.sensor_id IS NOT NULL THEN z.pm25 ELSE a.pm25 END')} AS pm25,
+CASE WHEN z.sensor_id IS NOT NULL THEN 'LIVE' ELSE 'FILE' END AS source
+FROM customer LEFT JOIN z ON c_custkey = z.sensor_id LEFT JOIN a ON c_custkey = a.sensor_id
+WHERE z.sensor_id IS NOT NULL OR a.sensor_id IS NOT NULL""")

@@ -637,6 +637,15 @@ def stream_latest(spark, d):
     return L.replay_latest(_event_stream(spark, d), tie=TIE)
 
 
+@query
+def stream_live_or_file(spark, d):
+    """Sensors silent for an hour at the end of the stream fall back to the mean of their readings before the last day."""
+    _, past = _live_and_archive(spark, d)
+    means = past.groupBy("sensor_id").agg(F.avg("pm25").alias("pm25"))
+    wanted = _customers(spark, d).select("sensor_id")
+    return settled(L.replay_sources(_event_stream(spark, d), wanted, means, idle="1 hour", tie=TIE))
+
+
 @query
 def stream_hourly_averages(spark, d):
     out = L.replay_averages(_event_stream(spark, d), row_id=TIE)

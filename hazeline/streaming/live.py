@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from hazeline.functions.columns import resolve_value
 from hazeline.functions.numeric import null_if_nan
 from hazeline.functions.risk import risk_band
+from hazeline.operators.joins import live_or_archive
 from hazeline.session import fresh_path
 from hazeline.streaming.keyed import KeyedTable, run_updates
 
@@ -54,6 +55,51 @@ def streaming_averages(stream: DataFrame, width: str = "1 hour", lateness: str =
                        key, "pm25_mean", risk_band(F.col("pm25_mean")).alias("risk_level"), "measurements_count")
 
 
+def silent_sensors(stream: DataFrame, idle: str = "300 seconds", lateness: str = "0 seconds", ts: str = "datetime",
+                   key: str = "sensor_id") -> DataFrame:
+    """When a sensor has fallen silent, emitted once no reading can come that is less than ``idle`` after its last.
+
+    A session of readings closes by itself when the watermark has passed its end, so silence needs no reading to be
+    noticed; the state is one open session per sensor.
+    """
+    timed = event_time(stream, ts).withWatermark(ts, lateness).where(F.col(key).isNotNull())
+    closed = timed.groupBy(F.session_window(ts, idle).alias("_s"), key).agg(F.count(F.lit(1)).alias("readings"))
+    return closed.select(key, F.col("_s.end").alias("silent_from"), "readings")
+
+
+def run_live_sources(stream: DataFrame, live: KeyedTable, silent: KeyedTable, checkpoint: str, idle: str = "300 seconds",
+                     lateness: str = "0 seconds", ts: str = "datetime", tie: Sequence[str] = ()) -> None:
+    """Q1/J3 as a stream: keep the newest reading of each sensor, and when it last fell silent, up to date."""
+    run_updates(streaming_latest(stream, ts, tie, live.key), live, f"{checkpoint}/live")
+
+    def newest(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.groupBy(silent.key).agg(F.max("silent_from").alias("silent_from"))
+        silent.write(rows, batch_id)
+
+    (silent_sensors(stream, idle, lateness, ts, silent.key).writeStream.outputMode("append").foreachBatch(newest)
+     .option("checkpointLocation", f"{checkpoint}/silent").trigger(availableNow=True).start().awaitTermination())
+
+
+def current_sources(requested: DataFrame, live: DataFrame, silent: DataFrame, archive_mean: DataFrame, ts: str = "datetime",
+                    key: str = "sensor_id", value: str = "pm25") -> DataFrame:
+    """The live value of sensors that are not silent, else the archive mean, with the source, as ``live_or_archive``.
+
+    A sensor is silent if it fell silent after its newest reading; a reading that comes later makes it live again.
+    """
+    rows = event_time(live.select(key, ts, value), ts).join(silent.select(key, "silent_from"), key, "left")
+    heard = rows.where(F.col("silent_from").isNull() | (F.col("silent_from") <= F.col(ts))).drop("silent_from")
+    return live_or_archive(requested, heard.select(key, value), archive_mean, key, value)
+
+
+def replay_sources(stream: DataFrame, requested: DataFrame, archive_mean: DataFrame, **kwargs) -> DataFrame:
+    """Q1/J3 run over everything available."""
+    spark = stream.sparkSession
+    live, silent = (KeyedTable(spark, fresh_path(spark, name)) for name in ("live", "silent"))
+    run_live_sources(stream, live, silent, fresh_path(spark, "sources-state"), **kwargs)
+    return current_sources(requested, live.read(stream.schema), silent.read(T.StructType.fromDDL("sensor_id long, silent_from timestamp")),
+                           archive_mean)
+
+
 def run_append(stream: DataFrame, path: str, checkpoint: str) -> None:
     """Process everything available and append finished rows to a Parquet folder."""
     (stream.writeStream.outputMode("append").format("parquet").option("path", path)

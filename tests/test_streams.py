@@ -4,10 +4,10 @@ import datetime as dt
 import random
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from hazeline.operators.latest import latest_per_sensor
-from hazeline.streaming import live
+from hazeline.streaming import live, live as live_sources
 from hazeline.streaming.keyed import KeyedTable
 
 
@@ -116,3 +116,33 @@ def test_keyed_table_of_nothing(spark, tmp_path):
     empty = _frame(spark, {1: (0, 1.0)}).limit(0)
     table.write(empty, 0)
     assert table.read(empty.schema).count() == 0
+
+
+def test_a_silent_sensor_changes_its_source(spark, tmp_path):
+    """Sensor 1 falls silent while sensor 2 goes on; with a later reading it is live again."""
+    start = dt.datetime(2025, 1, 1)
+    schema = "event_id long, sensor_id long, datetime timestamp, pm25 double"
+
+    def deliver(name, rows):
+        rows = [(i, s, start + dt.timedelta(seconds=t), float(v)) for i, (s, t, v) in enumerate(rows)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{name}")
+
+    deliver("p0", [(1, 0, 10), (2, 0, 20), (1, 60, 11), (2, 200, 21)])
+    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True)
+              .parquet(f"{tmp_path}/in"))
+    live, silent = (KeyedTable(spark, f"{tmp_path}/{n}", buckets=4) for n in ("live", "silent"))
+    wanted = spark.createDataFrame([(1,), (2,), (3,), (4,)], "sensor_id long")
+    means = spark.createDataFrame([(1, 5.0), (2, 6.0), (3, 7.0)], "sensor_id long, pm25 double")
+
+    def now():
+        live_run = live_sources.run_live_sources(stream, live, silent, f"{tmp_path}/state", tie=["event_id"])
+        assert live_run is None
+        gone = silent.read(T.StructType.fromDDL("sensor_id long, silent_from timestamp"))
+        out = live_sources.current_sources(wanted, live.read(), gone, means)
+        return {r.sensor_id: (r.source, r.pm25) for r in out.collect()}
+
+    assert now() == {1: ("LIVE", 11.0), 2: ("LIVE", 21.0), 3: ("FILE", 7.0)}
+    deliver("p1", [(2, 400, 22)])
+    assert now() == {1: ("FILE", 5.0), 2: ("LIVE", 22.0), 3: ("FILE", 7.0)}
+    deliver("p2", [(1, 410, 12)])
+    assert now() == {1: ("LIVE", 12.0), 2: ("LIVE", 22.0), 3: ("FILE", 7.0)}
