@@ -152,7 +152,9 @@ def _grown(rows: DataFrame, keys: Sequence[str], residual: Column, n_trees: int,
             tried = F.exists(F.slice(F.array_sort(order), 1, share[0]), lambda e: e["f"] == F.col("f"))
         splits.append(materialized(_best_splits(open_nodes, keys, tried, min_rows), "splits"))
         every = reduce(DataFrame.unionByName, splits)
-        kept = materialized(_packed(every, keys, n_trees, 2**depth - 1, F.struct("f", "b"), _SPLIT, "_splits"), "trees")
+        kept = _packed(every, keys, n_trees, 2**depth - 1, F.struct("f", "b"), _SPLIT, "_splits")
+        if n_trees > 1:  # packing many trees costs more than reading them; one tree is packed where it is used
+            kept = materialized(kept, "trees")
     sums = placed(depth).groupBy(*keys, "_tree", "_node").agg(F.sum("_w").alias("_n"), F.sum(F.col("_w") * F.col("_r")).alias("_s"))
     value = F.col("_s").cast("double") / F.col("_n") / SCALE
     leaves = _packed(sums, keys, n_trees, 2 ** (depth + 1) - 1, value, "double", "_leaves")

@@ -705,4 +705,4 @@ def sensor_forest_quality(spark, d):
 
 @query
 def sensor_boosted_quality(spark, d):
-    return quality.per_sensor_quality(quality.materialized_features(S.measurements(spark, d)), "gbt", depth=3)[0]
+    return quality.per_sensor_quality(quality.materialized_features(S.measurements(spark, d)), "gbt", depth=2)[0]
