@@ -3,10 +3,12 @@
 The model is over code points, with no fixed alphabet: n-grams of ``ORDER`` code points of all trusted texts are
 counted. Counts, continuation counts, context sums and back-off weights are tables sharded by n-gram, and nothing of
 them but the counts of counts and the sums of single signs comes to the driver. A table of the cost of every n-gram that
-occurs in any text is made by joins from short n-grams to long ones. Each text's n-grams are counted in slices of
-about ``SLICE_BYTES`` of texts: one row for each n-gram of a slice, and one row with the texts that hold each and how
-often. So a frequent n-gram has one row a slice, not one a text. These rows meet the costs in a join, and a slice's rows
-come together again to be summed by text. Thresholds are a quantile of the perplexity of the trusted texts of each language, plus a margin.
+occurs in any text is made by joins from short n-grams to long ones, and packed by shard: n-grams in order, as compressed
+steps. Texts are held in slices of about ``SLICE_BYTES``, each with its distinct n-grams packed in the same way. A slice
+sends one packed row to each shard. A shard's rows stream past its costs, sorted by shard, and go back to their slice,
+where they are summed by text. So a frequent n-gram costs some bytes a slice, not a row a text. Shards grow in number with the n-grams, and
+the slices of a shard are dealt to groups, so no task holds more than one shard's costs and one slice. Costs are sent as
+32-bit floats. Thresholds are a quantile of the perplexity of the trusted texts of each language, plus a margin.
 
 Trusted are texts whose label says quality 1. All of them are counted. Signs never seen share the mass that single signs
 leave over, spread over all ``CODE_POINTS``.
@@ -15,8 +17,6 @@ Defined results: null and empty texts have no perplexity and are not kept; texts
 are not judged and are kept. A language with fewer than ``MIN_TRUSTED`` trusted texts takes the threshold of all
 languages; without any trusted text everything is kept. Null languages are one language. Null labels are no labels;
 a repeated id is trusted if one of its labels is. Other columns are not read.
-
-``grams`` and ``model`` are the former model over 64 symbols as one array; the query does not use them.
 """
 
 from __future__ import annotations
@@ -26,7 +26,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 import pyarrow.ipc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
@@ -37,48 +36,17 @@ from hazeline.llm.spans import slices
 from hazeline.session import materialized
 
 ORDER = 4
-SYMBOLS = 64
-SCALE = 1024
 QUANTILE, MARGIN = 0.99, 1.25
 MIN_CHARS, MIN_TRUSTED = 100, 20
-EDGE = 53
 CODE_POINTS = 0x110000
 SLICE_BYTES = 4_000_000
-SLICE_ROWS = 30_000  # rows of a slice are numbered by 16-bit integers
+SLICE_ROWS = 30_000
+SHARD_GRAMS = 65_536  # about so many n-grams share a shard of the costs
+GROUP_SLICES = 4_096  # a shard's costs are repeated for each group of so many slices
+PRIME, MIX = 2_147_483_647, (1_000_003, 1_299_709_411, 15_485_863, 179_424_673)  # weights of signs in the shard of an n-gram
 KEYS = [f"k{j}" for j in range(ORDER)]  # signs of an n-gram, the last one first
 
 
-def _symbols() -> np.ndarray:
-    """Symbol of each byte: letters stand for themselves, other signs for their kind, bytes beyond ASCII for 4 groups."""
-    out = np.full(256, 58)
-    out[ord("a"): ord("z") + 1] = np.arange(26)
-    out[ord("A"): ord("Z") + 1] = np.arange(26, 52)
-    out[ord("0"): ord("9") + 1] = 52
-    for group, signs in ((EDGE, b"\n\r\x0b\x0c"), (54, b" \t"), (55, b"."), (56, b","), (57, b"#*$%&|<>"), (59, b"!?")):
-        out[list(signs)] = group
-    out[0xC0:] = 60 + np.arange(64) % 4
-    return out.astype(np.int32)
-
-
-SYMBOL = _symbols()
-
-
-def grams(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram that ends at each character and the bounds of each text; texts start after line ends."""
-    lead = np.flatnonzero((data & 0xC0) != 0x80)
-    symbol = SYMBOL[data[lead]]
-    of = np.searchsorted(lead, at)
-    n = len(symbol)
-    place = np.arange(n) - np.repeat(of[:-1], np.diff(of))
-    out = symbol.copy()
-    for j in range(1, ORDER):
-        before = np.full(n, EDGE, np.int32)
-        before[j:] = symbol[: n - j] if n > j else before[j:]
-        before[place < j] = EDGE
-        out += before << (6 * j)
-    return out, of
-
-
 def point_slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, code points, bounds of the texts) of consecutive rows of about ``SLICE_BYTES``."""
     for first, end, data, at in slices(column, SLICE_BYTES):
@@ -103,11 +71,13 @@ def _numbered(codes: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def point_grams(points: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A number for the n-gram that ends at each sign, and the n-grams by number (signs, the last one first).
+    """A number for the n-gram that ends at each sign, and the n-grams by number, in order (signs, the last one first).
 
     Texts start after line ends. Numbers are those of the slice; they stand for the signs themselves, not for hashes.
     """
     n = len(points)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros((0, ORDER), np.int64)
     seen = np.zeros(CODE_POINTS, bool)
     seen[points] = True
     seen[ord("\n")] = True
@@ -141,56 +111,123 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([*_gram_columns(parts), pa.array(times, pa.int64())], [*KEYS, "c"])
 
 
-def _packed(batch: pa.RecordBatch) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        out.write_batch(batch)
-    return sink.getvalue().to_pybytes()
+def _pressed(values: np.ndarray) -> bytes:
+    """4-byte values, like bytes beside each other, compressed after their number."""
+    raw = np.ascontiguousarray(values).view(np.uint8).reshape(-1, 4).T.tobytes()
+    return len(values).to_bytes(4, "little") + pa.Codec("zstd").compress(raw, asbytes=True)
+
 
+def _opened(body: bytes, kind: type) -> np.ndarray:
+    n = int.from_bytes(body[:4], "little")
+    raw = pa.Codec("zstd").decompress(body[4:], 4 * n, asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, n).T).view(kind).reshape(-1)
 
-def _held(kind: pa.DataType):
-    """Rows of a slice: each n-gram with its number, and one row with the texts and the n-grams that each holds."""
+
+def _coded(parts: np.ndarray) -> bytes:
+    """N-grams in order as steps from one to the next, sign by sign."""
+    return _pressed(np.diff(parts.astype(np.int32), axis=0, prepend=np.zeros((1, ORDER), np.int32)).T.reshape(-1))
+
+
+def _decoded(body: bytes) -> np.ndarray:
+    return np.cumsum(_opened(body, np.int32).reshape(ORDER, -1), axis=1, dtype=np.int64).T
+
+
+def _cut(parts: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """N-grams by shard, in order within each, and the bounds of the shards."""
+    shard = (parts @ np.array(MIX)) % PRIME % shards
+    order = np.argsort(shard, kind="stable")
+    return order, np.searchsorted(shard[order], np.arange(shards + 1))
+
+
+def _sliced(kind: pa.DataType):
+    """One row for each slice of texts: its name, its rows packed, and its n-grams packed."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, serial = TaskContext.get().partitionId(), 0
-        names = ["slice", "number", *KEYS, "about"]
         for batch in batches:
             for first, end, points, of in point_slices(batch.column(2)):
-                n, name = end - first, (task << 32) + serial
-                number, parts = point_grams(points, of) if len(points) else (np.zeros(0, np.int64), np.zeros((0, ORDER), np.int64))
-                most = len(parts)
-                pairs, times = np.unique(number * n + np.repeat(np.arange(n), np.diff(of)), return_counts=True)
-                sizes, rows = np.bincount(pairs // n, minlength=most), pairs % n
-                for i in range(0, most, 10_000):
-                    part = parts[i: i + 10_000]
-                    # empty, not null: Spark's Arrow writer walks over all nulls so far at each row
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(part), name)), pa.array(np.arange(i, i + len(part)), pa.int32()), *_gram_columns(part),
-                         pa.array([b""] * len(part), pa.binary())], names)
-                # no sign is negative, so this row meets no n-gram; its signs differ by slice, so that such rows are spread
-                signs = [-1, serial, task, -1][:ORDER]
-                lists = [pa.array(x) for x in (np.diff(of), sizes.astype(np.int32), np.diff(rows, prepend=0).astype(np.uint16), times.astype(np.int32))]
-                lists = [batch.column(0).slice(first, n).cast(kind), batch.column(1).slice(first, n).cast(pa.string()), *lists]
-                about = _packed(pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists],
-                                                           ["ids", "langs", "chars", "sizes", "rows", "times"]))
+                own = batch.slice(first, end - first)
+                own = pa.RecordBatch.from_arrays([own.column(0).cast(kind), own.column(1).cast(pa.string()), own.column(2).cast(pa.large_string())],
+                                                 ["doc_id", "lang", "text"])
+                sink = pa.BufferOutputStream()
+                options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=9))
+                with pa.ipc.new_stream(sink, own.schema, options=options) as out:
+                    out.write_batch(own)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([name]), pa.array([-1], pa.int32()), *[pa.array([k], pa.int32()) for k in signs],
-                     pa.array([about], pa.binary())], names)
+                    [pa.array([(task << 32) + serial]), pa.array([sink.getvalue().to_pybytes()]),
+                     pa.array([_coded(point_grams(points, of)[1])])], ["slice", "rows", "grams"])
                 serial += 1
     return run
 
 
-def _summed(kind: pa.DataType):
-    """Perplexity of the texts of a slice from all its rows."""
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The n-grams of each slice."""
+    for batch in batches:
+        for body in batch.column(0):
+            yield pa.RecordBatch.from_arrays(_gram_columns(_decoded(body.as_py())), KEYS)
+
+
+def _asked(shards: int, groups: int):
+    """The n-grams of each slice packed by shard of the costs; slices are dealt to groups."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, body in zip(batch.column(0).to_pylist(), batch.column(1)):
+                parts = _decoded(body.as_py())
+                order, at = _cut(parts, shards)
+                held = np.flatnonzero(np.diff(at))
+                group = ((name >> 32) * 31 + (name & 0xFFFFFFFF)) % groups
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(held.astype(np.int32)), pa.array([group] * len(held), pa.int32()), pa.array([name] * len(held), pa.int64()),
+                     pa.array([_coded(parts[order[at[s]: at[s + 1]]]) for s in held], pa.binary()),
+                     pa.array([b""] * len(held), pa.binary())], ["shard", "group", "slice", "grams", "bits"])
+    return run
+
+
+def _shelved(table: pa.Table) -> pa.Table:
+    """The costs of a shard as one row."""
+    parts = np.stack([table[k].to_numpy() for k in KEYS], axis=1)
+    order = np.lexsort(parts.T[::-1])
+    return pa.table([table["shard"][:1], pa.array([_coded(parts[order])]),
+                     pa.array([_pressed(table["bits"].to_numpy()[order].astype(np.float32))])], ["shard", "grams", "bits"])
+
+
+def _head_and_tail(parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (parts[:, 0] << 21) | parts[:, 1], (parts[:, 2] << 21) | parts[:, 3]
+
+
+def _priced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The costs of each packed row's n-grams; the rows of a shard follow the row that holds its costs."""
+    heads = codes = bits = None
+    for batch in batches:
+        names, shards, bodies = [], [], []
+        for shard, name, grams, held in zip(*(batch.column(i) for i in (0, 2, 3, 4))):
+            head, tail = _head_and_tail(_decoded(grams.as_py()))
+            if name.as_py() < 0:
+                heads, place = np.unique(head, return_inverse=True)
+                codes, bits = (place.astype(np.int64) << 42) | tail, _opened(held.as_py(), np.float32)
+                continue
+            names.append(name.as_py())
+            shards.append(shard.as_py())
+            bodies.append(_pressed(bits[np.searchsorted(codes, (np.searchsorted(heads, head) << 42) | tail)]))
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(shards, pa.int32()), pa.array(bodies, pa.binary())],
+                                         ["slice", "shard", "body"])
+
+
+def _summed(kind: pa.DataType, shards: int):
+    """Perplexity of the texts of a slice from its rows and the costs of its n-grams."""
     def run(table: pa.Table) -> pa.Table:
-        named = pa.compute.less(table["number"], 0)
-        about, grams = pa.ipc.open_stream(table.filter(named)["about"][0].as_py()).read_all(), table.filter(pa.compute.invert(named))
-        bits = np.zeros(grams.num_rows)
-        bits[grams["number"].to_numpy()] = grams["bits"].to_numpy()
-        ids, langs, chars, sizes, rows, times = (about[c].combine_chunks().flatten() for c in about.column_names)
-        rows, times = np.cumsum(rows.to_numpy(), dtype=np.uint16), times.to_numpy()
-        n = chars.to_numpy()
-        sums = np.bincount(rows, weights=times * np.repeat(bits, sizes.to_numpy()), minlength=len(n))
-        return pa.table([ids.cast(kind), langs, chars, pa.array(np.exp2(sums / np.maximum(n, 1)), pa.float64(), mask=n == 0)],
+        bodies = dict(zip(table["shard"].to_pylist(), table["body"]))
+        own = pa.ipc.open_stream(bodies.pop(-1).as_py()).read_all()
+        texts = [text or "" for text in own["text"].to_pylist()]
+        n = np.array([len(text) for text in texts])
+        points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+        number, parts = point_grams(points, np.concatenate([[0], np.cumsum(n)]))
+        order, at = _cut(parts, shards)
+        bits = np.full(len(parts), np.nan)
+        for shard, body in bodies.items():
+            bits[order[at[shard]: at[shard + 1]]] = _opened(body.as_py(), np.float32)
+        sums = np.bincount(np.repeat(np.arange(len(n)), n), weights=bits[number], minlength=len(n))
+        return pa.table([own["doc_id"].cast(kind), own["lang"], pa.array(n, pa.int64()),
+                         pa.array(np.exp2(sums / np.maximum(n, 1)), pa.float64(), mask=n == 0)],
                         ["doc_id", "lang", "n_chars", "perplexity"])
     return run
 
@@ -204,50 +241,10 @@ def _discounts(counts: DataFrame) -> list[float]:
     return [min(max(i - (i + 1) * y * n[i + 1] / n[i], 0.05), i - 0.05) for i in (1, 2, 3)]
 
 
-def _level(counts: DataFrame) -> DataFrame:
-    """Share of each n-gram in its context after discounting, and the context's back-off weight: g, own, back."""
-    d = _discounts(counts)
-    off = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
-    rows = counts.withColumn("context", F.shiftright("g", 6)).withColumn("off", off)
-    sums = rows.groupBy("context").agg(F.sum("c").alias("total"), F.sum("off").alias("spared"))
-    return rows.join(sums, "context").select("g", "context", ((F.col("c") - F.col("off")) / F.col("total")).alias("own"),
-                                             (F.col("spared") / F.col("total")).alias("back"))
-
-
-def model(counts: DataFrame) -> np.ndarray:
-    """Cost in 1/SCALE bits of every n-gram, from the counts of the highest order."""
-    levels = [counts]
-    for order in range(ORDER - 1, 0, -1):  # in how many ways a shorter n-gram is continued to the left
-        levels.append(levels[-1].groupBy(F.col("g").bitwiseAND(SYMBOLS ** order - 1).alias("g")).agg(F.count("*").alias("c")))
-    below, costs = None, np.full(1, 1.0 / SYMBOLS)
-    for order, counted in enumerate(reversed(levels), 1):
-        level = _level(materialized(counted, "grams"))
-        if below is None:
-            seen = level.withColumn("p", F.col("own") + F.col("back") / SYMBOLS)
-        else:
-            shorter = F.col("g").bitwiseAND(SYMBOLS ** (order - 1) - 1).alias("shorter")
-            seen = (level.select("g", "context", "own", "back", shorter)
-                    .join(below.select(F.col("g").alias("shorter"), F.col("p").alias("q")), "shorter")
-                    .withColumn("p", F.col("own") + F.col("back") * F.col("q")))
-        below = materialized(seen.select("g", "context", "back", "p"), "level")
-        backs = below.groupBy("context").agg(F.max("back").alias("back")).toArrow()
-        found = below.select("g", "p").toArrow()
-        back = np.ones(SYMBOLS ** (order - 1), np.float32)
-        back[backs["context"].to_numpy()] = backs["back"].to_numpy()
-        # n-grams not seen: the context's back-off weight times the shorter n-gram
-        full = (back[:, None].reshape(SYMBOLS if order > 1 else 1, -1, 1)
-                * costs.astype(np.float32).reshape(1, -1, SYMBOLS if order > 1 else 1)).reshape(-1)
-        if order == 1:
-            full = np.full(SYMBOLS, back[0] / SYMBOLS, np.float32)
-        full[found["g"].to_numpy()] = found["p"].to_numpy()
-        costs = full
-    return np.minimum(-np.log2(np.maximum(costs, 1e-18)) * SCALE, 65_000).astype(np.uint16)
-
-
 def levels(counts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
     """For each order from 1: share of every seen n-gram after discounting (signs, own), and back-off weights of the
     contexts (signs before the last, back)."""
-    counted = [materialized(counts, "grams")]
+    counted = [counts]
     for order in range(ORDER - 1, 0, -1):  # in how many ways a shorter n-gram is continued to the left
         counted.append(materialized(counted[-1].groupBy(KEYS[:order]).agg(F.count("*").alias("c")), "grams"))
     out = []
@@ -269,7 +266,7 @@ def levels(counts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
 
 def costs(wanted: DataFrame, counts: DataFrame) -> DataFrame:
     """Cost in bits of every n-gram of ``wanted`` (distinct signs): signs and bits, whether the n-gram was seen or not."""
-    asked = [materialized(wanted, "asked")]
+    asked = [wanted]
     for order in range(ORDER - 1, 0, -1):
         asked.append(materialized(asked[-1].select(KEYS[:order]).distinct(), "asked"))
     below = None
@@ -280,24 +277,36 @@ def costs(wanted: DataFrame, counts: DataFrame) -> DataFrame:
         else:
             both = (both.join(backs, KEYS[1:order], "left").join(below.withColumnRenamed("p", "q"), KEYS[:order - 1]))
             p = F.col("own") + F.coalesce("back", F.lit(1.0)) * F.col("q")
-        below = materialized(both.select(*KEYS[:order], p.alias("p")), "level")
+        below = both.select(*KEYS[:order], p.alias("p"))
+        if order < ORDER:
+            below = materialized(below, "level")
     return below.select(*KEYS, (-F.log2("p")).alias("bits"))
 
 
 def perplexities(docs: DataFrame, counts: DataFrame | None) -> DataFrame:
     """doc_id, lang, n_chars and perplexity of each row of docs (doc_id, lang, text)."""
+    if counts is None:
+        n = F.coalesce(F.char_length("text"), F.lit(0)).cast("bigint")
+        return docs.select("doc_id", "lang", n.alias("n_chars"), F.when(n > 0, float(CODE_POINTS)).alias("perplexity"))
     field = docs.schema["doc_id"].dataType
     kind, name = to_arrow_type(field), field.simpleString()
     gram = ", ".join(f"{k} int" for k in KEYS)
-    held = docs.select("doc_id", "lang", "text").mapInArrow(
-        _held(kind), f"slice bigint, number int, {gram}, about binary")
-    if counts is None:
-        held = held.withColumn("bits", F.lit(math.log2(CODE_POINTS)))
-    else:
-        wanted = docs.select("text").mapInArrow(_counted, f"{gram}, c bigint").select(KEYS).distinct()
-        held = held.join(costs(wanted, counts), KEYS, "left")
-    return held.drop(*KEYS).groupBy("slice").applyInArrow(
-        _summed(kind), f"doc_id {name}, lang string, n_chars bigint, perplexity double")
+    packed = materialized(docs.select("doc_id", "lang", "text").mapInArrow(
+        _sliced(kind), "slice bigint, rows binary, grams binary"), "slices")
+    wanted = materialized(packed.select("grams").mapInArrow(_unpacked, gram).distinct(), "wanted")
+    shards = max(1, math.ceil(wanted.count() / SHARD_GRAMS))
+    groups = max(1, math.ceil(packed.count() / GROUP_SLICES))
+    shard = sum((F.col(k).cast("bigint") * m for k, m in zip(KEYS, MIX)), F.lit(0)) % PRIME % shards
+    shelves = costs(wanted, counts).withColumn("shard", shard.cast("int")).groupBy("shard").applyInArrow(
+        _shelved, "shard int, grams binary, bits binary")
+    # a shard's costs come before its slices, because no slice has a negative name
+    shelves = shelves.select("shard", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), F.lit(-1).cast("bigint").alias("slice"), "grams", "bits")
+    asked = packed.select("slice", "grams").mapInArrow(
+        _asked(shards, groups), "shard int, group int, slice bigint, grams binary, bits binary")
+    answers = (asked.unionByName(shelves).repartition("shard", "group").sortWithinPartitions("shard", "group", "slice")
+               .mapInArrow(_priced, "slice bigint, shard int, body binary"))
+    return (packed.select("slice", F.lit(-1).alias("shard"), F.col("rows").alias("body")).unionByName(answers)
+            .groupBy("slice").applyInArrow(_summed(kind, shards), f"doc_id {name}, lang string, n_chars bigint, perplexity double"))
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:

@@ -415,12 +415,61 @@ def test_language_model(spark, empty):
     assert kneser.quality(empty, labels).count() == 0 and kneser.quality(docs, labels.limit(0)).where("kept").count() == 126
 
 
-def test_language_model_is_a_distribution(spark):
-    data = np.frombuffer(b"the cat sat on the mat and the rat ran to the cat" * 3, np.uint8)
-    found, times = np.unique(kneser.grams(data, np.array([0, 60, len(data)]))[0], return_counts=True)
-    counts = spark.createDataFrame([(int(g), int(c)) for g, c in zip(found, times)], "g bigint, c bigint")
-    p = np.exp2(-kneser.model(counts).astype(float) / kneser.SCALE).reshape(-1, kneser.SYMBOLS)
-    assert np.allclose(p.sum(axis=1), 1, atol=0.01)
+def kneser_ney_perplexity(trusted, text, order=4):
+    """Interpolated modified Kneser-Ney by its textbook recursion over dictionaries."""
+    counts = Counter(p[i: i + order] for t in trusted for p in ["\n" * (order - 1) + t] for i in range(len(t)))
+    levels = {order: counts}
+    for k in range(order - 1, 0, -1):
+        levels[k] = Counter(g[1:] for g in levels[k + 1])
+
+    def discount(k, c):
+        n = Counter(levels[k].values())
+        if not all(n[i] for i in (1, 2, 3, 4)):
+            return (0.5, 0.75, 0.9)[min(c, 3) - 1]
+        i = min(c, 3)
+        return min(max(i - (i + 1) * n[1] / (n[1] + 2 * n[2]) * n[i + 1] / n[i], 0.05), i - 0.05)
+
+    def share(gram):
+        if not gram:
+            return 1 / 0x110000
+        k, context = len(gram), gram[:-1]
+        after = {g: c for g, c in levels[k].items() if g[:-1] == context}
+        if not after:
+            return share(gram[1:])
+        total, c = sum(after.values()), after.get(gram, 0)
+        spared = sum(discount(k, x) for x in after.values())
+        return ((c - discount(k, c)) if c else 0) / total + spared / total * share(gram[1:])
+
+    padded = "\n" * (order - 1) + text
+    return 2 ** (-sum(np.log2(share(padded[i: i + order])) for i in range(len(text))) / len(text))
+
+
+@pytest.mark.parametrize("shard_grams, slice_bytes, group_slices", [(65_536, 4_000_000, 4_096), (40, 300, 2)])
+def test_perplexity_equals_brute_force(spark, monkeypatch, shard_grams, slice_bytes, group_slices):
+    """With one shard and slice, and with many shards, slices and groups of slices."""
+    monkeypatch.setattr(kneser, "SHARD_GRAMS", shard_grams)
+    monkeypatch.setattr(kneser, "SLICE_BYTES", slice_bytes)
+    monkeypatch.setattr(kneser, "GROUP_SLICES", group_slices)
+    rng = random.Random(9)
+    syllables = ["ab ", "abc", "ba", "日本", "é", "c\n", "😀"]
+    texts = ["".join(rng.choice(syllables) for _ in range(rng.randrange(1, 40))) for _ in range(40)] + [None, "", "z", "\n\n\n"]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id bigint, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(i, 1) for i in range(25)] + [(41, 1)], "doc_id bigint, quality int")
+    got = {r["doc_id"]: r["perplexity"] for r in kneser.quality(docs, labels).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        assert got[i] == (pytest.approx(kneser_ney_perplexity(texts[:25], t), rel=1e-5) if t else None)
+
+
+def test_language_model_scores_a_very_long_text_whole(spark):
+    rng = random.Random(2)
+    rows = [(i, prose(rng, 60), "en") for i in range(40)]
+    tail = "".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(100_000))
+    rows += [(50, prose(rng, 1_500_000), "en"), (51, prose(rng, 50_000) + tail, "en"), (52, prose(rng, 60), "en"), (52, prose(rng, 60), "en")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(40)], "doc_id bigint, quality int")
+    got = [(r["doc_id"], r["n_chars"], r["kept"]) for r in kneser.quality(docs, labels).collect()]
+    assert sorted(got) == sorted((i, len(t), i != 51) for i, t, _ in rows)
 
 
 def test_language_model_tells_code_points_apart(spark):
