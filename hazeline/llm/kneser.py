@@ -31,7 +31,6 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from hazeline.llm.bits import bit_table, in_table
 from hazeline.llm.spans import slices
 from hazeline.session import materialized
 
@@ -40,7 +39,7 @@ QUANTILE, MARGIN = 0.99, 1.25
 MIN_CHARS, MIN_TRUSTED = 100, 20
 CODE_POINTS = 0x110000
 SLICE_BYTES = 4_000_000
-SLICE_ROWS = 30_000
+SLICE_ROWS = 30_000  # places of texts in a slice are 16-bit integers
 SHARD_GRAMS = 65_536  # about so many n-grams share a shard of the costs
 GROUP_SLICES = 4_096  # a shard's costs are repeated for each group of so many slices
 PRIME, MIX = 2_147_483_647, (1_000_003, 1_299_709_411, 15_485_863, 179_424_673)  # weights of signs in the shard of an n-gram
@@ -60,14 +59,15 @@ def point_slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nd
 
 def _numbered(codes: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct codes in order and the place of each code among them; codes are below ``bound``."""
-    if bound > 8 * len(codes) + (1 << 22):
-        return np.unique(codes, return_inverse=True)
+    if bound > 2 * len(codes) + (1 << 22):
+        found, place = np.unique(codes, return_inverse=True)
+        return found, place.astype(np.int32)
     seen = np.zeros(bound, bool)
     seen[codes] = True
     found = np.flatnonzero(seen)
     place = np.zeros(bound, np.int32)
     place[found] = np.arange(len(found))
-    return found, place[codes].astype(np.int64)
+    return found, place[codes]
 
 
 def point_grams(points: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -77,22 +77,24 @@ def point_grams(points: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndar
     """
     n = len(points)
     if not n:
-        return np.zeros(0, np.int64), np.zeros((0, ORDER), np.int64)
+        return np.zeros(0, np.int32), np.zeros((0, ORDER), np.int64)
     seen = np.zeros(CODE_POINTS, bool)
     seen[points] = True
     seen[ord("\n")] = True
     signs = np.flatnonzero(seen)
-    place_of = np.zeros(CODE_POINTS, np.int64)
+    place_of = np.zeros(CODE_POINTS, np.int32)
     place_of[signs] = np.arange(len(signs))
     local, edge = place_of[points], place_of[ord("\n")]
-    place = np.arange(n) - np.repeat(of[:-1], np.diff(of))
-    width = len(signs)
+    width, lengths = len(signs), np.diff(of)
     number, parts = local, signs[:, None]
     for j in range(1, ORDER):
+        codes = number.astype(np.int64) * width
         before = np.full(n, edge)
-        before[j:] = local[: n - j] if n > j else before[j:]
-        before[place < j] = edge
-        found, number = _numbered(number * width + before, len(parts) * width)
+        before[j:] = local[: max(0, n - j)]
+        for i in range(j):  # the first signs of a text have none before them
+            before[of[:-1][lengths > i] + i] = edge
+        codes += before
+        found, number = _numbered(codes, len(parts) * width)
         parts = np.concatenate([parts[found // width], signs[found % width][:, None]], axis=1)
     return number, parts
 
@@ -101,12 +103,20 @@ def _gram_columns(parts: np.ndarray) -> list[pa.Array]:
     return [pa.array(parts[:, j].astype(np.int32), pa.int32()) for j in range(ORDER)]
 
 
+def _texts(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all texts of a slice and how many each text has."""
+    texts = [text or "" for text in rows["text"].to_pylist()]
+    return np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32), np.array([len(text) for text in texts], np.int64)
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The n-grams of each slice of texts and their counts."""
+    """The n-grams of the named texts of each slice and their counts."""
     for batch in batches:
-        for _, _, points, of in point_slices(batch.column(0)):
+        for body, which in zip(batch.column(0), batch.column(1)):
+            rows = pa.ipc.open_stream(body.as_py()).read_all()
+            points, n = _texts(rows.take(which.values))
             if len(points):
-                number, parts = point_grams(points, of)
+                number, parts = point_grams(points, np.concatenate([[0], np.cumsum(n)]))
                 times = np.bincount(number, minlength=len(parts))
                 yield pa.RecordBatch.from_arrays([*_gram_columns(parts), pa.array(times, pa.int64())], [*KEYS, "c"])
 
@@ -140,7 +150,7 @@ def _cut(parts: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sliced(kind: pa.DataType):
-    """One row for each slice of texts: its name, its rows packed, and its n-grams packed."""
+    """One row for each slice of texts: its name, its ids, its rows packed, and its n-grams packed."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, serial = TaskContext.get().partitionId(), 0
         for batch in batches:
@@ -153,8 +163,9 @@ def _sliced(kind: pa.DataType):
                 with pa.ipc.new_stream(sink, own.schema, options=options) as out:
                     out.write_batch(own)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([(task << 32) + serial]), pa.array([sink.getvalue().to_pybytes()]),
-                     pa.array([_coded(point_grams(points, of)[1])])], ["slice", "rows", "grams"])
+                    [pa.array([(task << 32) + serial]), pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own.column(0)),
+                     pa.array([sink.getvalue().to_pybytes()]), pa.array([_coded(point_grams(points, of)[1])])],
+                    ["slice", "ids", "rows", "grams"])
                 serial += 1
     return run
 
@@ -217,9 +228,7 @@ def _summed(kind: pa.DataType, shards: int):
     def run(table: pa.Table) -> pa.Table:
         bodies = dict(zip(table["shard"].to_pylist(), table["body"]))
         own = pa.ipc.open_stream(bodies.pop(-1).as_py()).read_all()
-        texts = [text or "" for text in own["text"].to_pylist()]
-        n = np.array([len(text) for text in texts])
-        points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+        points, n = _texts(own)
         number, parts = point_grams(points, np.concatenate([[0], np.cumsum(n)]))
         order, at = _cut(parts, shards)
         bits = np.full(len(parts), np.nan)
@@ -283,16 +292,32 @@ def costs(wanted: DataFrame, counts: DataFrame) -> DataFrame:
     return below.select(*KEYS, (-F.log2("p")).alias("bits"))
 
 
-def perplexities(docs: DataFrame, counts: DataFrame | None) -> DataFrame:
-    """doc_id, lang, n_chars and perplexity of each row of docs (doc_id, lang, text)."""
-    if counts is None:
-        n = F.coalesce(F.char_length("text"), F.lit(0)).cast("bigint")
-        return docs.select("doc_id", "lang", n.alias("n_chars"), F.when(n > 0, float(CODE_POINTS)).alias("perplexity"))
+def sliced(docs: DataFrame) -> DataFrame:
+    """The rows of docs (doc_id, lang, text) in slices, written once: slice, ids, rows and grams."""
     field = docs.schema["doc_id"].dataType
+    return materialized(docs.select("doc_id", "lang", "text").mapInArrow(
+        _sliced(to_arrow_type(field)), f"slice bigint, ids array<{field.simpleString()}>, rows binary, grams binary"), "slices")
+
+
+def counted(packed: DataFrame, trusted: DataFrame) -> DataFrame:
+    """The n-grams of all texts whose doc_id is in ``trusted`` (distinct) and their counts.
+
+    Only ids meet the trusted ids; each slice then learns which of its texts are trusted, two bytes a text. Where this
+    table is small, slices are not shuffled for it; beyond Spark's broadcast threshold they are, packed.
+    """
+    ids = packed.select("slice", F.posexplode("ids").alias("at", "doc_id"))
+    which = materialized(ids.join(trusted, "doc_id", "left_semi").groupBy("slice")
+                         .agg(F.sort_array(F.collect_list(F.col("at").cast("smallint"))).alias("which")), "which")
+    gram = ", ".join(f"{k} int" for k in KEYS)
+    return (packed.select("slice", "rows").join(which, "slice").select("rows", "which")
+            .mapInArrow(_counted, f"{gram}, c bigint").groupBy(KEYS).agg(F.sum("c").alias("c")))
+
+
+def perplexities(packed: DataFrame, counts: DataFrame) -> DataFrame:
+    """doc_id, lang, n_chars and perplexity of each row in the slices of ``sliced``."""
+    field = packed.schema["ids"].dataType.elementType
     kind, name = to_arrow_type(field), field.simpleString()
     gram = ", ".join(f"{k} int" for k in KEYS)
-    packed = materialized(docs.select("doc_id", "lang", "text").mapInArrow(
-        _sliced(kind), "slice bigint, rows binary, grams binary"), "slices")
     wanted = materialized(packed.select("grams").mapInArrow(_unpacked, gram).distinct(), "wanted")
     shards = max(1, math.ceil(wanted.count() / SHARD_GRAMS))
     groups = max(1, math.ceil(packed.count() / GROUP_SLICES))
@@ -317,12 +342,13 @@ def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, marg
     """doc_id, n_chars, perplexity, threshold and kept for each row of docs (doc_id, text, lang)."""
     spark = docs.sparkSession
     trusted = materialized(trusted_ids(labels), "trusted")
-    table = materialized(bit_table(trusted.select(F.xxhash64("doc_id").alias("key")), "key"), "bits").scalar()
-    texts = (docs.select("doc_id", "text").where(in_table(F.xxhash64("doc_id"), table))
-             .join(trusted, "doc_id", "left_semi").select("text"))
-    gram = ", ".join(f"{k} int" for k in KEYS)
-    counts = materialized(texts.mapInArrow(_counted, f"{gram}, c bigint").groupBy(KEYS).agg(F.sum("c").alias("c")), "counts")
-    scored = materialized(perplexities(docs, counts if counts.head(1) else None), "perplexity")
+    packed = sliced(docs)
+    counts = materialized(counted(packed, trusted), "counts")
+    if counts.head(1):
+        scored = materialized(perplexities(packed, counts), "perplexity")
+    else:
+        n = F.coalesce(F.char_length("text"), F.lit(0)).cast("bigint")
+        scored = docs.select("doc_id", "lang", n.alias("n_chars"), F.when(n > 0, float(CODE_POINTS)).alias("perplexity"))
     judged = scored.join(trusted, "doc_id", "left_semi").where(F.col("n_chars") >= MIN_CHARS)
 
     def limit(name: str) -> Column:

@@ -473,7 +473,7 @@ def test_language_model_scores_a_very_long_text_whole(spark):
 
 
 def test_language_model_tells_code_points_apart(spark):
-    from hazeline.llm.kneser import CODE_POINTS, KEYS, ORDER, costs, perplexities
+    from hazeline.llm.kneser import CODE_POINTS, KEYS, ORDER, costs, perplexities, sliced
 
     rng = random.Random(7)
     clean = ["".join(rng.choice(["привет ", "мир ", "слово ", "язык "]) for _ in range(40)) for _ in range(40)]
@@ -497,7 +497,7 @@ def test_language_model_tells_code_points_apart(spark):
     bits = {tuple(r[k] for k in KEYS): r["bits"] for r in costs(wanted, counts).collect()}
     mass = sum(2 ** -bits[c, *context] for c in signs[:-1]) + (CODE_POINTS - len(signs) + 1) * 2 ** -bits[signs[-1], *context]
     assert mass == pytest.approx(1)
-    one = perplexities(spark.createDataFrame([(1, text, "x")], "doc_id bigint, text string, lang string"), counts).first()
+    one = perplexities(sliced(spark.createDataFrame([(1, text, "x")], "doc_id bigint, text string, lang string")), counts).first()
     assert one["perplexity"] == pytest.approx(2 ** (sum(bits[g] * c for g, c in grams.items()) / len(text)))
 
 
