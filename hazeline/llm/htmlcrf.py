@@ -8,8 +8,9 @@ labels scores blocks and the steps between neighbours; Viterbi gives the best la
 Defined results: null and empty pages, and pages without an article, have the empty text. Unclosed tags, stray end tags
 and missing ends of script or comment are read as browsers do, up to the end of the page. Bodies of scripts and other raw
 text are skipped to their end tag without looking for tags in them; a head ends at its end tag or at the first tag or
-text that does not belong there. White space is that of
-Unicode, so that no-break spaces count. Repeated rows get equal results; other columns are not read.
+text that does not belong there. Formulas and drawings (``math``, ``svg``) and what ``object`` and ``canvas`` hold are text
+of the block around them. White space is that of Unicode, so that no-break spaces count. Time grows with the page's length,
+however many tags it leaves open or nests. Repeated rows get equal results; other columns are not read.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Container, Iterable, Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -28,15 +29,19 @@ from hazeline.llm.mainpages import labelled_pages
 # Names of HTML elements by how they are read.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span "
-                   "strike strong sub sup time tt u var br wbr img".split())
-SILENT = frozenset("script style noscript template textarea select button svg math iframe object title head canvas".split())
+                   "strike strong sub sup time tt u var br wbr img object param canvas".split())
+SILENT = frozenset("script style noscript template textarea select button iframe title head".split())
 RAW = frozenset("script style template textarea title noscript iframe noframes".split())  # up to their end tag
 HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 SELF_CLOSING = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"),
                 "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+FOREIGN = frozenset("svg math".split())  # what they hold is read as inline, up to one of these tags
+BREAKOUT = frozenset("blockquote body center dd div dl dt embed h1 h2 h3 h4 h5 h6 head hr li listing menu meta ol p pre ruby "
+                     "table ul".split())
 SCOPES = frozenset("ul ol dl table tbody thead tr div section article main aside nav body".split())
 
-PART = re.compile(r"<!--(?:-?>|.*?(?:--!?>|$))|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+OPEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|$))|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?]|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)", re.S)
+STOP = re.compile("[>\"']")
 RAW_END = {tag: re.compile(rf"</{tag}(?:[\s/][^>]*)?(?:>|$)", re.I) for tag in RAW}
 NAMED = re.compile(r"\b(class|id|role|data-main)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 NAME_WORD = re.compile(r"[a-z]+")
@@ -44,26 +49,69 @@ NAME_WORD = re.compile(r"[a-z]+")
 
 class Block(NamedTuple):
     text: str
-    path: tuple[str, ...]  # tags of the open elements, outermost first
+    tag: str  # of the innermost open element
+    tags: frozenset[str]  # of all open elements
     names: frozenset[str]  # words of their class, id and role
     linked: int  # characters inside links
     label: int
 
 
-def blocks(page: str) -> list[Block]:
-    """Leaf blocks of a page in order."""
+class Element(NamedTuple):
+    """An open element with what it and those around it hand down; sets are shared where an element adds nothing."""
+
+    tag: str
+    tags: frozenset[str]
+    names: frozenset[str]
+    label: int
+    scope: int  # place of the nearest element that bounds the search for open paragraphs and the like
+
+
+class TagEnds:
+    """Ends of the tags of a page. What led to no end once is not read again, so all tags together take linear time."""
+
+    def __init__(self, page: str):
+        self.page, self.dead = page, set()
+        self.begin, self.stop = 0, -1  # the first stop after ``begin`` is at ``stop``
+        self.last = {sign: page.rfind(sign) for sign in "\"'>"}
+
+    def after(self, at: int) -> int:
+        """Place of the ">" of the tag whose attributes begin at ``at``, beyond its quoted values, or -1."""
+        page, seen = self.page, []
+        if not self.begin <= at <= self.stop:
+            self.begin, self.stop = at, self._next(at)
+        stop = self.stop
+        while self.last[">"] >= stop and stop not in self.dead:
+            sign = page[stop]
+            if sign == ">":
+                return stop
+            seen.append(stop)
+            if self.last[sign] <= stop:
+                break
+            stop = self._next(page.index(sign, stop + 1) + 1)
+        self.dead.update(seen)
+        return -1
+
+    def _next(self, at: int) -> int:
+        found = STOP.search(self.page, at)
+        return found.start() if found else len(self.page)
+
+
+def blocks(page: str, known: Container[str] | None = None) -> list[Block]:
+    """Leaf blocks of a page in order; tags and names whose features are not ``known`` are left out of their sets."""
     out: list[Block] = []
-    stack: list[tuple[str, frozenset, int]] = []
+    stack: list[Element] = []
+    places: dict[str, list[int]] = {}  # where in the stack each tag is open
+    top = Element("", frozenset(), frozenset(), 0, -1)
     text: list[str] = []
-    linked, links, at, silent = 0, 0, 0, ""
+    linked, links, at, look, silent, foreign = 0, 0, 0, 0, "", 0
+    ends = TagEnds(page)
 
     def flush() -> None:
         nonlocal text, linked
         joined = " ".join(html.unescape("".join(text)).split())
         if joined:
-            names = frozenset().union(*(s[1] for s in stack))
-            label = next((s[2] for s in reversed(stack) if s[2] >= 0), 0)
-            out.append(Block(joined, tuple(s[0] for s in stack), names, min(linked, len(joined)), label))
+            own = stack[-1] if stack else top
+            out.append(Block(joined, own.tag, own.tags, own.names, min(linked, len(joined)), own.label))
         text, linked = [], 0
 
     def add(piece: str) -> None:
@@ -75,20 +123,37 @@ def blocks(page: str) -> list[Block]:
             if links:
                 linked += len(piece)
 
-    while m := PART.search(page, at):
-        add(page[at: m.start()])
-        at = m.end()
+    def close(depth: int) -> None:
+        while len(stack) > depth:
+            places[stack.pop().tag].pop()
+
+    def among(old: frozenset[str], new: Iterable[str], kind: str) -> frozenset[str]:
+        more = {x for x in new if x not in old and (known is None or f"{kind}={x}" in known)}
+        return old | more if more else old
+
+    while m := OPEN.search(page, look):
+        start, end, attributes = m.start(), m.end(), ""
+        if m[0] in ("<!", "<?"):
+            end = page.index(">", end) + 1 if ends.last[">"] >= end else -1
+        elif m[2] is not None:
+            stop = ends.after(end)
+            attributes, end = page[end: stop], stop + 1 if stop >= 0 else -1
+        if end < 0:
+            look = start + 1
+            continue
+        add(page[at: start])
+        at = look = end
         if m[2] is None:
             continue
-        tag, closing = m[2].lower(), bool(m[1])
+        tag, closing, empty = m[2].lower(), bool(m[1]), attributes.endswith("/")
         if silent == "head" and (tag in ("head", "body", "html") if closing else tag not in HEAD and tag not in ("head", "html")):
             silent = ""
             if closing and tag == "head":
                 continue
-        if not closing and tag in RAW and not (m[3].endswith("/") and silent in ("svg", "math")):
-            end = RAW_END[tag].search(page, at)
-            at = end.end() if end else len(page)
-            if not silent and tag not in ("script", "style"):
+        if not closing and tag in RAW and not (empty and foreign):
+            found = RAW_END[tag].search(page, at)
+            at = look = found.end() if found else len(page)
+            if not silent and tag not in ("script", "style") and not foreign:
                 flush()
             continue
         if silent:
@@ -96,11 +161,19 @@ def blocks(page: str) -> list[Block]:
                 silent = ""
             continue
         if tag in SILENT and not closing:
-            if not m[3].endswith("/"):
+            if not empty:
                 silent = tag
-            if tag not in ("svg", "math"):
+            if not foreign:
                 flush()
             continue
+        if tag in FOREIGN:
+            foreign = max(0, foreign - 1) if closing else foreign + (not empty)
+            continue
+        if foreign:
+            if tag not in BREAKOUT or closing:
+                text.append("" if tag in INLINE else " ")
+                continue
+            foreign = 0
         if tag == "a":
             links = 0 if closing else 1
         if tag in INLINE:
@@ -110,29 +183,28 @@ def blocks(page: str) -> list[Block]:
         flush()
         links = 0
         if closing:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
-            if depth >= 0:
-                del stack[depth:]
+            if places.get(tag):
+                close(places[tag][-1])
             continue
         if tag in SELF_CLOSING:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in SELF_CLOSING[tag]:
-                    del stack[i:]
-                    break
-                if stack[i][0] in SCOPES:
-                    break
-        elif stack and stack[-1][0] == "p":
-            stack.pop()
-        if tag in VOID or m[3].endswith("/"):
+            nearest = max((places[t][-1] for t in SELF_CLOSING[tag] if places.get(t)), default=-1)
+            if nearest >= 0 and nearest >= stack[-1].scope:
+                close(nearest)
+        elif stack and stack[-1].tag == "p":
+            close(len(stack) - 1)
+        if tag in VOID or empty:
             continue
-        words, label = set(), -1
-        for name, *values in NAMED.findall(m[3]):
+        own = stack[-1] if stack else top
+        words, label = set(), own.label
+        for name, *values in NAMED.findall(attributes):
             value = "".join(values).lower()
             if name.lower() == "data-main":
                 label = int(value == "1")
             else:
                 words.update(NAME_WORD.findall(value))
-        stack.append((tag, frozenset(words), label))
+        places.setdefault(tag, []).append(len(stack))
+        stack.append(Element(tag, among(own.tags, (tag,), "in"), among(own.names, words, "name"), label,
+                             len(stack) if tag in SCOPES else own.scope))
     add(page[at:])
     flush()
     return out
@@ -143,15 +215,15 @@ def features(block: Block, place: float) -> list[str]:
     n = len(block.text)
     words = block.text.count(" ") + 1
     share = block.linked / n
-    out = ["1", f"tag={block.path[-1] if block.path else ''}", f"len={min(6, int(math.log2(words + 1)))}",
+    out = ["1", f"tag={block.tag}", f"len={min(6, int(math.log2(words + 1)))}",
            f"link={0 if share == 0 else 1 if share < 0.3 else 2 if share < 0.8 else 3}",
            f"end={'.' if block.text[-1] in '.!?:' else 'w'}", f"place={int(place * 3)}"]
-    out += [f"in={tag}" for tag in set(block.path)]
+    out += [f"in={tag}" for tag in block.tags]
     out += [f"name={word}" for word in block.names]
     if "©" in block.text:
         out.append("copyright")
     if words < 4:
-        out.append(f"short,in={block.path[-1] if block.path else ''}")
+        out.append(f"short,in={block.tag}")
     return out
 
 
@@ -220,7 +292,7 @@ def trained(pages: list[str], epochs: int = 8, rate: float = 0.2, decay: float =
 
 
 def main_text(chain: Chain, page: str) -> str:
-    found = blocks(page)
+    found = blocks(page, chain.weights)
     return " ".join(b.text for b, label in zip(found, chain.labels(found)) if label)
 
 

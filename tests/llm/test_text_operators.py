@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 from math import comb
 
@@ -285,6 +286,26 @@ def test_text_after_scripts_and_open_heads_stays():
     assert texts("<p>one<!--> two<p>three<script>never closed <p>four") == ["one two", "three"]
 
 
+def test_formulas_drawings_and_objects_stay():
+    def texts(page):
+        return [b.text for b in htmlcrf.blocks(page)]
+    assert texts("<p>a <math><mi>x</mi><mo>=</mo><mn>2</mn></math> b</p>") == ["a x = 2 b"]
+    assert texts("<p>a<svg><title/><script/><g><text>label</text></g></svg> b</p>") == ["a label b"]
+    assert texts("<p>a <object data=x><param name=y>fallback</object> <canvas>drawn</canvas></p>c") == ["a fallback drawn", "c"]
+    assert texts("<p>a <svg><path d='M0'/><div>b</div>c") == ["a", "b", "c"]
+
+
+def test_pages_take_linear_time():
+    chain = htmlcrf.trained(labelled_pages(20, 3), epochs=1)
+    forms = ["<a " * 100_000, "<!" * 100_000, "<a " * 100_000 + "\"x\" ' >", "<a \"x\" '" * 60_000 + ">", "<a b='" * 100_000,
+             "<div class=content>x" * 40_000, "".join(f"<t{i % 3000} class=n{chr(97 + i % 26)}{chr(97 + i % 25)}>x" for i in range(40_000)),
+             "<center>" * 30_000 + "<li>x</li></i>" * 30_000, "<blockquote>" * 30_000 + "</x>y<p>z</p>" * 30_000, "<svg>" * 100_000 + "x"]
+    for form in forms:
+        begin = time.monotonic()
+        htmlcrf.main_text(chain, form)
+        assert time.monotonic() - begin < 10, form[:30]
+
+
 def test_block_labels_on_pages_not_seen():
     chain = htmlcrf.trained(labelled_pages(200, 1))
     pages = [htmlcrf.blocks(page) for page in labelled_pages(80, 2)]
