@@ -30,6 +30,7 @@ KINDS = ("email", "ip", "card", "phone", "secret", "ssn", "iban", "address")
 BASE_KINDS = 4
 ROUNDS = 40
 NEAR = 32
+CHUNK = 512  # code points; no less than NEAR
 
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
@@ -56,11 +57,22 @@ def _bound(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def _sums(values: Column) -> Column:
-    """Running sums of an array in about log2(n) passes."""
+def _running(values: Column, join) -> Column:
+    """Each value of an array joined with all before it, in about log2(n) passes; ``join`` is associative, 0 changes nothing."""
     steps = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(values), F.lit(1)))).cast("int"))
     return F.aggregate(steps, values, lambda s, k: F.transform(
-        s, lambda x, i: x + F.coalesce(F.get(s, i - F.expr("1") * F.pow(F.lit(2), k).cast("int")), F.lit(0))))
+        s, lambda x, i: join(x, F.coalesce(F.get(s, i - F.expr("1") * F.pow(F.lit(2), k).cast("int")), F.lit(0)))))
+
+
+def _sums(values: Column) -> Column:
+    return _running(values, lambda x, y: x + y)
+
+
+def _part(chunks: Column, start: Column, length: Column) -> Column:
+    """At most CHUNK code points of a text from its chunks, without counting from the text's start."""
+    at = (start / CHUNK).cast("int")
+    two = F.concat(F.coalesce(F.get(chunks, at), F.lit("")), F.coalesce(F.get(chunks, at + 1), F.lit("")))
+    return F.substring(two, start - at * CHUNK + 1, length)
 
 
 def _valid(kind: int, hit: Column) -> Column:
@@ -128,12 +140,16 @@ def candidates(docs: DataFrame) -> DataFrame:
     filled = docs.withColumn("text", F.coalesce("text", F.lit("")))
     spans = F.concat(*[_matches(k) for k in range(len(KINDS))])
 
-    def voted(s: Column) -> Column:
-        before = F.substring(F.col("text"), F.greatest(s["start"] - NEAR, F.lit(0)) + 1, F.least(s["start"], F.lit(NEAR)))
-        after = F.substring(F.col("text"), s["end"] + 1, F.lit(1))
+    def voted(s: Column, chunks: Column) -> Column:
+        before = _part(chunks, F.greatest(s["start"] - NEAR, F.lit(0)), F.least(s["start"], F.lit(NEAR)))
+        after = _part(chunks, s["end"], F.lit(1))
         return F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"),
                         *[v.alias(n) for n, v in zip(LABELERS, _votes(s, before, after))])
-    return filled.withColumn("found", F.sort_array(F.transform(spans, voted)))
+
+    def judged(spans: Column) -> Column:
+        chunks = F.when(F.size(spans) > 0, F.regexp_extract_all("text", F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)))
+        return _bound(chunks, lambda c: F.transform(spans, lambda s: voted(s, c)))
+    return filled.withColumn("found", F.sort_array(_bound(spans, judged)))
 
 
 class Classifier(NamedTuple):
@@ -207,9 +223,20 @@ def _kept(classifier: Classifier) -> Column:
     """Base spans and the accepted others that overlap none of them."""
     base = F.filter("found", lambda s: s["kind"] < BASE_KINDS)
     more = F.filter("found", lambda s: (s["kind"] >= BASE_KINDS) & classifier.accepts(s))
-    free = _bound(base, lambda b: F.filter(more, lambda s: ~F.exists(
-        b, lambda x: (x["start"] < s["end"]) & (s["start"] < x["end"]))))
-    return F.when(F.size(more) == 0, base).otherwise(F.sort_array(F.concat(base, free)))
+
+    def mark(place: Column, order: int, end: Column, s: Column) -> Column:
+        return F.struct(place.alias("place"), F.lit(order).alias("order"), end.alias("end"), s.alias("span"))
+
+    # in order of base starts and other ends, a span is free if no base span that starts before its end ends after its start
+    marks = F.sort_array(F.concat(F.transform(base, lambda s: mark(s["start"], 1, s["end"], s)),
+                                  F.transform(more, lambda s: mark(s["end"], 0, F.lit(0), s))))
+
+    def unmet(marks: Column) -> Column:
+        reach = _running(F.transform(marks, lambda m: m["end"]), F.greatest)
+        both = F.arrays_zip(marks.alias("marks"), reach.alias("reach"))
+        free = F.filter(both, lambda x: (x["marks"]["order"] == 1) | (x["reach"] <= x["marks"]["span"]["start"]))
+        return F.sort_array(F.transform(free, lambda x: x["marks"]["span"]))
+    return F.when(F.size(more) == 0, base).otherwise(_bound(marks, unmet))
 
 
 def _written(spans: Column) -> Column:

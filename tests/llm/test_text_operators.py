@@ -572,6 +572,19 @@ def test_long_secrets_and_addresses_go_whole(spark):
     assert clean[50] == "config: [SECRET] end" and clean[51] == "mail [ADDRESS] end"
 
 
+def test_thousands_of_spans_in_one_text(spark):
+    """Ten thousand addresses and secrets, base spans that cover wider ones, and context across the borders of chunks."""
+    n, part = 10_000, "mail a.b@mail.example.com or token=abcdefgh12345678 and key 😀 token=x@y.example.com now "
+    docs = spark.createDataFrame([(1, part * n)], "doc_id bigint, text string")
+    begin = time.monotonic()
+    row = pii.personal_data(docs).first()
+    assert time.monotonic() - begin < 60
+    spans = [(kind, int(a), int(b)) for kind, a, b in (x.split(":") for x in row["spans"].split(","))]
+    text = part * n
+    assert row["n_email"] == 2 * n and sum(kind == "secret" for kind, _, _ in spans) == n
+    assert all(text[a:b] in ("a.b@mail.example.com", "x@y.example.com", "token=abcdefgh12345678") for _, a, b in spans)
+
+
 def test_span_votes_tell_true_from_false():
     rows = [(0, (1, 1, 1, 1), 500), (0, (1, 0, -1, 1), 20), (4, (1, -1, 1, 1), 60), (4, (0, -1, -1, 0), 80), (4, (0, -1, -1, 1), 10)]
     labels = pii._expected(rows)
