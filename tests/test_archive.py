@@ -369,3 +369,26 @@ def test_written_files_can_be_removed(spark, tmp_path, monkeypatch):
     assert df.count() == 5 and session.still_written(spark, path)
     assert session.remove_written(spark) == 1 and not session.still_written(spark, path)
     assert not (pathlib.Path(path.removeprefix("file:"))).exists() and session.remove_written(spark) == 0
+
+
+def test_a_task_of_the_writer_gets_a_bounded_number_of_rows(spark, tmp_path):
+    """However many months and rows, no task sorts and writes twice the rows of a file, and every file has its header first."""
+    df = spark.range(24_000).select((F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(hours=F.col("id"))).alias("timestamp"),
+                                    F.col("id").alias("sensor_id"), F.lit(1.5).alias("pm2.5"))
+    sinks.write_archive(df, f"{tmp_path}/measurements", [("timestamp", "sensor_id", "pm2.5")], rows_per_file=1000)
+    tasks = {}
+    for part in pathlib.Path(tmp_path, "measurements").glob("file=*/part-*"):
+        lines = part.read_text().splitlines()
+        assert lines[:2] == ["SET", "timestamp,sensor_id,pm2.5"]
+        times = [line.split(",")[0] for line in lines[2:]]
+        assert times == sorted(times)
+        task = part.name.split("-")[1]
+        tasks[task] = tasks.get(task, 0) + len(times)
+    assert sum(tasks.values()) == 24_000 and max(tasks.values()) < 2000
+    assert len({str(p.parent) for p in pathlib.Path(tmp_path, "measurements").glob("file=*/part-*")}) == 33
+
+
+def test_nothing_to_write_leaves_an_empty_archive(spark, tmp_path):
+    df = spark.createDataFrame([(None, 1)], "timestamp timestamp_ntz, sensor_id long")
+    sinks.write_archive(df, f"{tmp_path}/measurements", [("timestamp", "sensor_id")])
+    assert Archive(spark, str(tmp_path)).inventory().count() == 0
