@@ -392,3 +392,14 @@ def test_nothing_to_write_leaves_an_empty_archive(spark, tmp_path):
     df = spark.createDataFrame([(None, 1)], "timestamp timestamp_ntz, sensor_id long")
     sinks.write_archive(df, f"{tmp_path}/measurements", [("timestamp", "sensor_id")])
     assert Archive(spark, str(tmp_path)).inventory().count() == 0
+
+
+def test_a_line_is_parsed_once_and_its_file_name_never(archive, capsys):
+    """Filters on cells do not repeat the parser, and the period is found per file, not per line."""
+    df = archive.pm25_tolerant(2025)
+    df.explain()
+    plan = capsys.readouterr().out
+    assert plan.count("from_csv(") == 1
+    above_join = plan[:plan.index("Join")]
+    assert "year" in df.columns and "measurements_(" not in above_join
+    assert {(r.year, r.month) for r in df.collect()} >= {(2025, 1), (2025, 2)}
