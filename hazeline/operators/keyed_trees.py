@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from functools import reduce
 from math import exp, factorial
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from hazeline.session import materialized
 
@@ -78,45 +78,66 @@ def _edges(df: DataFrame, keys: Sequence[str], features: Sequence[str], max_bins
 def _leaf(splits: Column, depth: int) -> Column:
     """The node of a row in one tree: from the root down, left where its bin is not above the split's."""
     def down(node: Column, _) -> Column:
-        split = F.get(splits, node)
-        right = (F.get("_x", split["f"]) > split["b"]).cast("int")
-        return F.when(split.isNull(), node).otherwise(2 * node + 1 + right)
+        return _step(node, F.get(splits, node))
     return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.lit(0), down) if depth else F.lit(0)
 
 
+def _step(node: Column, split: Column) -> Column:
+    """The child that a row goes to; without a split it stays."""
+    right = (F.get("_x", split["f"]) > split["b"]).cast("int")
+    return F.when(split.isNull(), node).otherwise(2 * node + 1 + right)
+
+
 def _total(depth: int) -> Column:
     """Sum of the leaves that a row reaches, over the trees of its key."""
     return F.aggregate("_trees", F.lit(0.0), lambda total, tree: total + F.coalesce(
         F.get(tree["leaves"], _leaf(tree["splits"], depth)), F.lit(0.0)))
 
 
-def _draws(tree: Column, seed: int) -> Column:
-    """How often a row is in a tree's sample: Poisson with mean 1, from a hash of the row, so repeatable."""
-    u = F.pmod(F.xxhash64(F.lit(seed), tree, F.col("_row")), F.lit(1 << 53)) / F.lit(float(1 << 53))
+def _drawn(rows: DataFrame, seed: int) -> DataFrame:
+    """The rows in each tree's sample, ``_w`` times: Poisson with mean 1, from a hash of the row, so repeatable."""
+    u = F.pmod(F.xxhash64(F.lit(seed), F.col("_tree"), F.col("_row")), F.lit(1 << 53)) / F.lit(float(1 << 53))
     bounds = [sum(exp(-1) / factorial(j) for j in range(k + 1)) for k in range(12)]
-    return reduce(lambda a, b: a + b, [(u >= F.lit(b)).cast("long") for b in bounds])
-
-
-def _best_splits(placed: DataFrame, keys: Sequence[str], tried: Column | None, min_rows: int) -> DataFrame:
-    """The best split of every (key, tree, node): f, b and gain, where any split gains."""
-    cells = placed.select(*keys, "_tree", "_node", "_w", (F.col("_w") * F.col("_r")).alias("_s"),
-                          F.posexplode("_x").alias("f", "b"))
-    sums = cells.groupBy(*keys, "_tree", "_node", "f", "b").agg(F.sum("_w").alias("_w"), F.sum("_s").alias("_s"))
-    if tried is not None:
-        sums = sums.where(tried)
-    feature = W.partitionBy(*keys, "_tree", "_node", "f")
-    up_to = feature.orderBy("b").rowsBetween(W.unboundedPreceding, W.currentRow)
+    times = reduce(lambda a, b: a + b, [(F.col("_u") >= F.lit(b)).cast("long") for b in bounds])
+    return rows.withColumn("_u", u).where(F.col("_u") >= bounds[0]).withColumn("_w", times).drop("_u")
+
+
+def _tried(spark: SparkSession, n_trees: int, level: int, seed: int, share: tuple[int, int]) -> DataFrame:
+    """The features that each node of a level tries, its own few, as ``_f``: one row for each tree and node."""
+    width = 2**level
+    node = (width - 1 + F.col("id") % width).cast("int")
+    order = F.transform(F.sequence(F.lit(0), F.lit(share[1] - 1)), lambda i: F.struct(
+        F.xxhash64(F.lit(seed), F.col("_tree"), F.col("_node"), i).alias("h"), i.alias("f")))
+    return spark.range(n_trees * width).select(F.floor(F.col("id") / width).cast("int").alias("_tree"), node.alias("_node")).select(
+        "_tree", "_node", F.transform(F.slice(F.array_sort(order), 1, share[0]), lambda e: e["f"]).alias("_f"))
+
+
+def _best_splits(placed: DataFrame, keys: Sequence[str], n_nodes: int, tried: DataFrame, min_rows: int) -> DataFrame:
+    """The best split of every (key, tree, node) in ``tried``: f, b and gain, where any split gains.
+
+    Rows in other nodes, which have become leaves, find no partner there. Only cells of features that a node tries are
+    made. Tree and node travel as one number, ``_at``.
+    """
+    weighed = (F.col("_w") * F.col("_r")).alias("_s")
+    at = (F.col("_tree") * n_nodes + F.col("_node")).alias("_at")
+    cells = placed.join(F.broadcast(tried), ["_tree", "_node"]).select(*keys, at, "_w", weighed, "_x", F.explode("_f").alias("f")) \
+        .select(*keys, "_at", "_w", "_s", "f", F.get("_x", F.col("f")).alias("b"))
+    sums = cells.groupBy(*keys, "_at", "f", "b").agg(F.sum("_w").alias("_w"), F.sum("_s").alias("_s"))
+    feature = W.partitionBy(*keys, "_at", "f").orderBy("b")
+    up_to = feature.rowsBetween(W.unboundedPreceding, W.currentRow)
+    whole = feature.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)  # same order, so one pass gives both
     n_left, s_left = F.sum("_w").over(up_to), F.sum("_s").over(up_to)
-    sides = sums.select(*keys, "_tree", "_node", "f", "b", n_left.alias("nl"), s_left.cast("double").alias("sl"),
-                        (F.sum("_w").over(feature) - n_left).alias("nr"),
-                        (F.sum("_s").over(feature) - s_left).cast("double").alias("sr"))
+    sides = sums.select(*keys, "_at", "f", "b", n_left.alias("nl"), s_left.cast("double").alias("sl"),
+                        (F.sum("_w").over(whole) - n_left).alias("nr"),
+                        (F.sum("_s").over(whole) - s_left).cast("double").alias("sr"))
     able = sides.where((F.col("nl") >= min_rows) & (F.col("nr") >= min_rows))
     both = F.col("sl") + F.col("sr")
     gain = F.expr("sl * sl / nl + sr * sr / nr") - both * both / (F.col("nl") + F.col("nr"))
-    best = able.groupBy(*keys, "_tree", "_node").agg(
+    best = able.groupBy(*keys, "_at").agg(
         F.max(F.struct(gain.alias("gain"), (-F.col("f")).alias("f"), (-F.col("b")).alias("b"))).alias("_m"))
-    return best.where("_m.gain > 0").select(*keys, "_tree", "_node", (-F.col("_m.f")).cast("int").alias("f"),
-                                            (-F.col("_m.b")).cast("int").alias("b"), F.col("_m.gain").alias("gain"))
+    return best.where("_m.gain > 0").select(
+        *keys, F.floor(F.col("_at") / n_nodes).cast("int").alias("_tree"), (F.col("_at") % n_nodes).alias("_node"),
+        (-F.col("_m.f")).cast("int").alias("f"), (-F.col("_m.b")).cast("int").alias("b"), F.col("_m.gain").alias("gain"))
 
 
 def _packed(rows: DataFrame, keys: Sequence[str], n_trees: int, n_nodes: int, entry: Column, kind: str, name: str) -> DataFrame:
@@ -129,7 +150,7 @@ def _packed(rows: DataFrame, keys: Sequence[str], n_trees: int, n_nodes: int, en
 
 
 def _grown(rows: DataFrame, keys: Sequence[str], residual: Column, n_trees: int, depth: int, min_rows: int, seed: int,
-           sample: bool, share: tuple[int, int] | None) -> tuple[DataFrame, DataFrame]:
+           sample: bool, share: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
     """Grow ``n_trees`` trees per key side by side; their splits and leaves per key, and the splits as rows."""
     base = rows.withColumn("_r", F.round(residual * SCALE).cast("long"))
     splits: list[DataFrame] = []
@@ -140,17 +161,16 @@ def _grown(rows: DataFrame, keys: Sequence[str], residual: Column, n_trees: int,
         here = base if kept is None else base.join(kept, list(keys), "left")
         trees = F.array(*[none] * n_trees) if kept is None else F.coalesce("_splits", F.array(*[none] * n_trees))
         here = here.select(*keys, "_x", "_r", "_row", F.posexplode(trees).alias("_tree", "_s"))
-        here = here.withColumn("_w", _draws(F.col("_tree"), seed) if sample else F.lit(1).cast("long")).where("_w > 0")
-        return here.withColumn("_node", _leaf(F.col("_s"), level))
+        here = _drawn(here, seed) if sample else here.withColumn("_w", F.lit(1).cast("long"))
+        here = here.withColumn("_node", F.lit(0))
+        for _ in range(level):  # a step is plain column work, which compiles; a loop in a lambda does not
+            here = here.withColumn("_split", F.get("_s", F.col("_node"))).withColumn(
+                "_node", F.coalesce(_step(F.col("_node"), F.col("_split")), F.lit(0)))
+        return here  # a filter on _node would repeat every step inside the next; never NULL, a join adds none
 
     for level in range(depth):
-        open_nodes = placed(level).where(F.col("_node") >= 2**level - 1)  # shallower ones have become leaves
-        tried = None
-        if share is not None:  # each node tries its own few features
-            order = F.transform(F.sequence(F.lit(0), F.lit(share[1] - 1)), lambda i: F.struct(
-                F.xxhash64(F.lit(seed), F.col("_tree"), F.col("_node"), i).alias("h"), i.alias("f")))
-            tried = F.exists(F.slice(F.array_sort(order), 1, share[0]), lambda e: e["f"] == F.col("f"))
-        splits.append(materialized(_best_splits(open_nodes, keys, tried, min_rows), "splits"))
+        tried = _tried(rows.sparkSession, n_trees, level, seed, share)
+        splits.append(materialized(_best_splits(placed(level), keys, 2**depth, tried, min_rows), "splits"))
         every = reduce(DataFrame.unionByName, splits)
         kept = _packed(every, keys, n_trees, 2**depth - 1, F.struct("f", "b"), _SPLIT, "_splits")
         if n_trees > 1:  # packing many trees costs more than reading them; one tree is packed where it is used
@@ -191,7 +211,7 @@ def train_keyed(df: DataFrame, features: Sequence[str], label: str = "pm25", key
         "_trees", F.array().cast("array<struct<splits:array<struct<f:int,b:int>>,leaves:array<double>>>"))
     if kind != "gbt":
         n = 1 if kind == "tree" else n_trees
-        share = None if kind == "tree" else (max(1, -(-len(features) // 3)), len(features))
+        share = (len(features) if kind == "tree" else max(1, -(-len(features) // 3)), len(features))
         grown, gains = _grown(rows, keys, F.col("_y"), n, depth, min_rows, seed, kind != "tree", share)
         table = table.drop("_trees").join(grown.withColumnRenamed("_grown", "_trees"), keys)
         return KeyedTrees(tuple(keys), tuple(features), depth, 1.0 / n, materialized(table, "models"), gains)
@@ -203,7 +223,7 @@ def train_keyed(df: DataFrame, features: Sequence[str], label: str = "pm25", key
         so_far = rows.join(table.select(*keys, "_base", "_trees"), keys)
         residual = F.col("_y") - (F.col("_base") + F.lit(rate) * _total(depth))
         left_over = so_far.select(*keys, "_x", "_row", residual.alias("_left"))
-        grown, found = _grown(left_over, keys, F.col("_left"), 1, depth, min_rows, seed, False, None)
+        grown, found = _grown(left_over, keys, F.col("_left"), 1, depth, min_rows, seed, False, (len(features), len(features)))
         gains.append(found.withColumn("_tree", F.lit(t)))
         table = materialized(table.join(grown, keys).withColumn("_trees", F.concat("_trees", "_grown")).drop("_grown"), "models")
     return KeyedTrees(tuple(keys), tuple(features), depth, rate, table, reduce(DataFrame.unionByName, gains))

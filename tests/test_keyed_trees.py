@@ -123,3 +123,30 @@ def test_unknown_kinds_and_empty_tables(spark, frame):
         T.train_keyed(frame, ["hour"], kind="linear")
     model = T.train_keyed(frame.limit(0), ["hour"], kind="tree", depth=2)
     assert model.predict(frame).count() == 0 and model.importance().count() == 0
+
+
+def test_a_level_pass_is_plain_column_work(spark, frame, monkeypatch, capsys):
+    """Rows go down the trees without lambdas, cells are made for tried features only, and no level repeats the one before."""
+    plans, written = [], T.materialized
+
+    def noted(df, label):
+        if label == "splits":
+            df.explain()
+            plans.append(capsys.readouterr().out)
+        return written(df, label)
+    monkeypatch.setattr(T, "materialized", noted)
+    T.train_keyed(frame, ["hour", "day"], kind="random_forest", n_trees=4, depth=4, levels=LEVELS)
+    assert len(plans) == 4
+    for plan in plans:
+        assert "aggregate(sequence" not in plan and "exists(" not in plan  # the walk, and what a node tries
+    steps = [plan.count("isnull(") for plan in plans]
+    assert steps[3] <= 3 * max(1, steps[1])
+
+
+def test_every_node_tries_its_own_few_features(spark):
+    for level in (0, 2):
+        got = T._tried(spark, 5, level, 7, (2, 4)).collect()
+        assert sorted((r["_tree"], r["_node"]) for r in got) == [(t, n) for t in range(5) for n in range(2**level - 1, 2**(level + 1) - 1)]
+        assert all(len(set(r["_f"])) == 2 and set(r["_f"]) <= set(range(4)) for r in got)
+    assert len({tuple(r["_f"]) for r in got}) > 1
+    assert {tuple(sorted(r["_f"])) for r in T._tried(spark, 1, 1, 7, (3, 3)).collect()} == {(0, 1, 2)}
